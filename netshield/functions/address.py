@@ -10,13 +10,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_HEXTET = r"[0-9a-fA-F]{1,4}"
-_RUN = rf"{_HEXTET}(?::{_HEXTET})*"
 _V4_TEXT = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 _V4 = rf"\A{_V4_TEXT}\z"
-_V6_FULL = rf"\A{_HEXTET}(?::{_HEXTET}){{7}}\z"
-_V6_SHORT = rf"\A(?:{_RUN})?::(?:{_RUN})?\z"
-_V4_TAIL = rf":({_V4_TEXT})\z"
+_V4_TAIL = rf"(?<=:){_V4_TEXT}\z"
+_HEXTET = r"[0-9a-fA-F]{1,4}"
+_RUN = rf"{_HEXTET}(?::{_HEXTET})*"
+_V6 = (
+    rf"\A(?:{_HEXTET}(?::{_HEXTET}){{7}}"
+    rf"|(?!(?::*{_HEXTET}(?=:|\z)){{8}})(?:{_RUN})?::(?:{_RUN})?)\z"
+)
 
 
 def is_ipv4(ip: Column) -> Column:
@@ -24,40 +26,31 @@ def is_ipv4(ip: Column) -> Column:
     return F.coalesce(ip.rlike(_V4), F.lit(False))
 
 
-def _v4_number(ip: Column) -> Column:
-    part = [F.split_part(ip, F.lit("."), F.lit(i)).try_cast("bigint") for i in (1, 2, 3, 4)]
-    return part[0] * 16777216 + part[1] * 65536 + part[2] * 256 + part[3]
-
-
 def _v4_hex(ip: Column) -> Column:
-    return F.lpad(F.hex(_v4_number(ip)), 8, "0")
+    octets = [F.split_part(ip, F.lit("."), F.lit(i)).try_cast("bigint") for i in (1, 2, 3, 4)]
+    return F.concat(*[F.lpad(F.hex(octet), 2, "0") for octet in octets])
 
 
-def _plain_v6(ip: Column) -> Column:
-    """Rewrite a dotted IPv4 tail as two hextets."""
-    tail = F.regexp_extract(ip, _V4_TAIL, 1)
-    digits = _v4_hex(tail)
-    head = F.left(ip, F.length(ip) - F.length(tail))
-    return F.when(
-        tail != "", F.concat(head, F.left(digits, F.lit(4)), F.lit(":"), F.right(digits, F.lit(4)))
-    ).otherwise(ip)
+def _hextet_digits(text: Column) -> Column:
+    """Every hextet padded to four digits, colons dropped."""
+    longer = F.regexp_replace(text, _HEXTET, "000$0")
+    return F.translate(
+        F.regexp_replace(longer, r"[0-9a-fA-F]{0,3}([0-9a-fA-F]{4})(?=:|\z)", "$1"), ":", "")
 
 
-def _hextets(text: Column) -> Column:
-    return F.filter(F.split(text, ":"), lambda part: part != "")
+def _v6_digits(ip: Column) -> Column:
+    """Hex text of an IPv6 address without dotted tail; NULL when malformed."""
+    left = _hextet_digits(F.split_part(ip, F.lit("::"), F.lit(1)))
+    right = _hextet_digits(F.split_part(ip, F.lit("::"), F.lit(2)))
+    filled = F.concat(F.rpad(left, F.lit(32) - F.length(right), F.lit("0")), right)
+    return F.when(ip.rlike(_V6), F.upper(filled))
 
 
 def _v6_hex(ip: Column) -> Column:
-    ip = _plain_v6(ip)
-    left = _hextets(F.split_part(ip, F.lit("::"), F.lit(1)))
-    right = _hextets(F.split_part(ip, F.lit("::"), F.lit(2)))
-    given = F.size(left) + F.size(right)
-    parts = F.when(ip.rlike(_V6_FULL), F.split(ip, ":")).when(
-        ip.rlike(_V6_SHORT) & (given <= 7),
-        F.concat(left, F.array_repeat(F.lit("0"), F.lit(8) - given), right),
-    )
-    padded = F.transform(parts, lambda part: F.lpad(part, 4, "0"))
-    return F.when(parts.isNotNull(), F.upper(F.array_join(padded, "")))
+    dotted = F.concat(
+        F.left(_v6_digits(F.regexp_replace(ip, _V4_TAIL, "0:0")), F.lit(24)),
+        _v4_hex(F.regexp_substr(ip, F.lit(_V4_TAIL))))
+    return F.when(ip.contains("."), dotted).otherwise(_v6_digits(ip))
 
 
 def ip_hex(ip: Column) -> Column:
