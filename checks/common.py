@@ -53,3 +53,9 @@ def plain_types(df: DataFrame) -> DataFrame:
     """Every timestamp column as timestamp_ntz."""
     return df.select(*[ntz(f.name) if f.dataType.typeName() == "timestamp" else f.name
                        for f in df.schema.fields])
+
+
+def over_logs(spark, text: str, logs: DataFrame) -> DataFrame:
+    """Run SQL text over the access log named ``{logs}``; other braces are literal."""
+    escaped = text.replace("{", "{{").replace("}", "}}").replace("{{logs}}", "{logs}")
+    return spark.sql(escaped, logs=logs)

@@ -80,7 +80,7 @@ FEATURE_CTES = """
     string_split(request, ' ')[1] AS m, string_split(request, ' ')[2] AS p,
     string_split(request, ' ')[3] AS v,
     us - coalesce(lag(us) OVER (PARTITION BY ip, minute ORDER BY us, seq), us) AS gap
-  FROM logs
+  FROM {source}
 ),
 flagged AS (
   SELECT *, gap <= 100000 AND NOT coalesce(
@@ -146,9 +146,14 @@ feats AS (
 ))
 
 
+def feature_ctes(source="logs"):
+    """CTEs up to ``feats``; ``source`` may fold further keys into its ``ip`` column."""
+    return FEATURE_CTES.replace("{source}", source)
+
+
 def feature_sql(names, extra="", tail=""):
     columns = ", ".join(["ip", "win", *([extra] if extra else []), *map(shown_sql, names)])
-    return with_logs(f"{FEATURE_CTES} SELECT {columns} FROM feats {tail}")
+    return with_logs(f"{feature_ctes()} SELECT {columns} FROM feats {tail}")
 
 
 _COUNTS = ("request_count", "request_rate", "unique_paths", "unique_paths_ratio",

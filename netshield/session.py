@@ -3,7 +3,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,14 @@ def rows_within(df: DataFrame, limit: int) -> bool:
 def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     """Hint a broadcast only after the row count is checked; otherwise leave the join to AQE."""
     return F.broadcast(df) if rows_within(df, limit) else df
+
+
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later expressions reuse without re-evaluation.
+
+    Filters and projections above a plain projection are rewritten in terms of its expressions, so
+    costly ones (parsing, regular expressions) would run once per use. A one-row generator keeps
+    their values.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(row)))

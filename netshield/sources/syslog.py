@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netshield.constants import (
     JSON_PATTERN, MAX_DATAGRAM_BYTES, PAYLOAD_FIELDS, SYSLOG_PATTERN,
 )
+from netshield.session import compute_once
 
 RAW_SCHEMA = "client_address string, data binary, recv_ts timestamp"
 
@@ -34,37 +35,38 @@ def decode(data: Column) -> Column:
 
 def parse_messages(raw: DataFrame) -> DataFrame:
     """Adds the syslog header parts, ``payload`` (map of text) and ``reason`` for unusable rows."""
-    line = F.col("line")
-
-    def header(i: int) -> Column:
-        return F.nullif(F.regexp_extract(line, f"(?d){SYSLOG_PATTERN}", i), F.lit(""))
-
-    matched = line.rlike(f"(?d){SYSLOG_PATTERN}")
-    message = F.regexp_extract(line, f"(?d){SYSLOG_PATTERN}", 4)
-    json = F.nullif(F.regexp_extract(F.col("message"), f"(?d){JSON_PATTERN}", 0), F.lit(""))
-    size = F.octet_length("data")
-    return (
-        raw.withColumn("oversize", size > MAX_DATAGRAM_BYTES)
-        .withColumn("line", F.when(~F.col("oversize"), decode(F.col("data"))))
-        .select(
-            "client_address", "recv_ts", "data", "oversize", "line",
-            header(1).try_cast("int").alias("priority"),
-            header(2).alias("header_time"),
-            header(3).alias("hostname"),
-            F.when(matched, message).alias("message"),
-        )
-        .withColumn("json", json)
-        .withColumn("payload", F.from_json("json", "map<string,string>"))
-        .withColumn(
-            "reason",
-            F.when(F.col("oversize"), "oversize")
-            .when(F.col("message").isNull(), "no header")
-            .when(F.col("json").isNull(), "no json")
-            .when(F.col("payload").isNull(), "bad json")
-            .when(F.col("payload")["remote_addr"].isNull(), "no remote_addr")
-            .when(F.col("payload")["request"].isNull(), "no request"),
-        )
-        .drop("json", "oversize")
+    oversize = F.octet_length("data") > MAX_DATAGRAM_BYTES
+    lines = compute_once(
+        raw.select("client_address", "recv_ts", "data"),
+        line=F.when(~oversize, decode(F.col("data"))))
+    # One pass marks the four header groups; whatever follows the message's line is dropped.
+    pattern = f"(?d){SYSLOG_PATTERN}"
+    marked = F.regexp_replace("line", pattern + r"(?s:.*)\z", "$1\u0001$2\u0001$3\u0001$4")
+    headed = compute_once(
+        lines, parts=F.when(F.col("line").rlike(pattern), F.split(marked, "\u0001", 4)))
+    message = F.get("parts", F.lit(3))
+    json = F.nullif(F.regexp_extract(message, f"(?d){JSON_PATTERN}", 0), F.lit(""))
+    opened = compute_once(headed, json=json)
+    # The brackets make trailing text an error instead of being ignored.
+    objects = F.from_json(
+        F.concat(F.lit("["), "json", F.lit("]")), "array<map<string,string>>",
+        {"allowSingleQuotes": "false"})
+    parsed = compute_once(opened, objects=objects)
+    payload = F.when(F.size("objects") == 1, F.get("objects", F.lit(0)))
+    return parsed.select(
+        "client_address", "recv_ts", "data",
+        F.get("parts", F.lit(0)).try_cast("int").alias("priority"),
+        F.get("parts", F.lit(1)).alias("header_time"),
+        F.get("parts", F.lit(2)).alias("hostname"),
+        message.alias("message"),
+        payload.alias("payload"),
+        F.when(oversize, "oversize")
+        .when(F.col("parts").isNull(), "no header")
+        .when(F.col("json").isNull(), "no json")
+        .when(payload.isNull(), "bad json")
+        .when(payload["remote_addr"].isNull(), "no remote_addr")
+        .when(payload["request"].isNull(), "no request")
+        .alias("reason"),
     )
 
 
