@@ -9,7 +9,6 @@ from netshield.constants import FEATURES
 from netshield.operators import blocklist as bl
 from netshield.operators import scoring
 from netshield.operators.features import minute_features
-from netshield.operators.lookup import match_geo
 from netshield.operators.preview import preview_rows, previews
 from netshield.operators.running import running_features, trailing_buffer
 from netshield.operators.ticks import scored_windows, tick_features, tick_rows
@@ -62,8 +61,8 @@ def split_results(spark, sf_dir):
 
 
 def alerts(spark, sf_dir):
-    located = match_geo(logs(spark, sf_dir), "ip", geo_dimension(spark, sf_dir))
-    return detection.detect(located, scorer(), resolutions(spark, sf_dir), OPTIONS)
+    return detection.detect(logs(spark, sf_dir), scorer(), resolutions(spark, sf_dir),
+                            geo_dimension(spark, sf_dir), OPTIONS)
 
 
 def detect_alerts(spark, sf_dir):

@@ -9,23 +9,22 @@ from netshield.sources.testdata import logs
 
 KEYS = ["ip", "win"]
 
-# Averages of whole microseconds are the same double in both engines and stay unrounded.
-_EXACT = {"request_count", "unique_paths", "interval_mean", "burst_duration_mean", "session_length",
-          "bytes_min", "bytes_max", "time_min", "time_max"}
-_HIGHER = {"interval_skew", "interval_kurt", "bytes_skew", "bytes_kurt", "time_skew", "time_kurt"}
+# Ratios and averages of whole numbers are the same double in both engines and stay unrounded;
+# the rest depends on summation order in its last bits.
+_DIGITS = {
+    "path_entropy": 6, "method_entropy": 6, "status_entropy": 6,
+    "interval_std": 6, "bytes_std": 6, "time_std": 6, "time_mean": 10,
+    "interval_skew": 4, "interval_kurt": 4, "bytes_skew": 4, "bytes_kurt": 4,
+    "time_skew": 4, "time_kurt": 4,
+}
 
 
 def shown(name):
-    if name in _EXACT:
-        return F.col(name)
-    return rounded(name, 4 if name in _HIGHER else 6)
+    return rounded(name, _DIGITS[name]) if name in _DIGITS else F.col(name)
 
 
-def shown_sql(name, source=None):
-    source = source or name
-    if name in _EXACT:
-        return f"{source} AS {name}"
-    return f"round({source}, {4 if name in _HIGHER else 6}) AS {name}"
+def shown_sql(name):
+    return f"round({name}, {_DIGITS[name]}) AS {name}" if name in _DIGITS else name
 
 
 def group():
@@ -47,11 +46,10 @@ def feat_counts(spark, sf_dir):
     data = rows(spark, sf_dir)
     joined = ft.counters(data, KEYS).join(ft.diversity(data, KEYS), KEYS, "left")
     return joined.select(
-        *group(), ntz("timestamp"), "request_count", rounded("request_rate"),
+        *group(), ntz("timestamp"), "request_count", "request_rate",
         F.coalesce("unique_paths", F.lit(0)).alias("unique_paths"),
-        F.round(F.coalesce("unique_paths", F.lit(0)) / F.col("request_count"), 6)
-        .alias("unique_paths_ratio"),
-        "session_length", rounded("requests_per_second"),
+        (F.coalesce("unique_paths", F.lit(0)) / F.col("request_count")).alias("unique_paths_ratio"),
+        "session_length", "requests_per_second",
     )
 
 

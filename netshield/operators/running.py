@@ -50,6 +50,64 @@ def _xlogx(n: Column) -> Column:
     return F.when(n > 0, n * F.ln(n)).otherwise(F.lit(0.0))
 
 
+_STATS = {"n": F.count, "mean": F.avg, "var": F.var_pop, "skew": F.skewness, "kurt": F.kurtosis,
+          "min": F.min, "max": F.max}
+
+
+def _sliding_stats(df: DataFrame, keys: list[str], widths: dict[str, int]) -> DataFrame:
+    """Count, mean, central moments 2-4, minimum and maximum of each column's last rows.
+
+    Positions fall into blocks as wide as the frame, so a frame is the end of one block plus the
+    start of the next. Both are running aggregates; merging them costs the same for any width.
+    """
+    columns = df.columns
+    for width in sorted(set(widths.values())):
+        names = [x for x, w in widths.items() if w == width]
+        df = df.withColumn("_block", F.floor((F.col("pos") - 1) / width))
+        block = Window.partitionBy(*keys, "_block")
+        so_far = (Window.unboundedPreceding, 0)
+        start, end = block.orderBy("pos").rowsBetween(*so_far), block.orderBy(
+            F.desc("pos")).rowsBetween(*so_far)
+        df = df.withColumns({f"{x}_a_{s}": fn(x).over(end) for x in names for s, fn in _STATS.items()})
+        df = df.withColumns({f"{x}_b_{s}": fn(x).over(start) for x in names for s, fn in _STATS.items()})
+        ordered = Window.partitionBy(*keys).orderBy("pos")
+        spans_two = F.col("pos") % width != 0
+        df = df.withColumns({
+            f"{x}_a_{s}": F.when(spans_two, F.lag(f"{x}_a_{s}", width - 1).over(ordered))
+            for x in names for s in _STATS})
+    merged = {}
+    for x in widths:
+        def moments(side: str) -> tuple[Column, ...]:
+            n, var = F.coalesce(f"{x}_{side}_n", F.lit(0)).cast("double"), F.col(f"{x}_{side}_var")
+            skew, kurt = F.col(f"{x}_{side}_skew"), F.col(f"{x}_{side}_kurt")
+            zero = F.lit(0.0)
+            return (n, F.coalesce(f"{x}_{side}_mean", zero), F.coalesce(var * n, zero),
+                    F.coalesce(skew * n * F.pow(var, F.lit(1.5)), zero),
+                    F.coalesce((kurt + 3) * n * var * var, zero))
+
+        merged[x] = _merge(moments("a"), moments("b"))
+    return df.select(
+        *columns,
+        *[value.alias(f"{x}_{name}") for x in widths
+          for name, value in zip(("n", "mean", "m2", "m3", "m4"), merged[x])],
+        *[F.least(f"{x}_a_min", f"{x}_b_min").alias(f"{x}_min") for x in widths],
+        *[F.greatest(f"{x}_a_max", f"{x}_b_max").alias(f"{x}_max") for x in widths])
+
+
+def _merge(a: tuple[Column, ...], b: tuple[Column, ...]) -> tuple[Column, ...]:
+    """Count, mean and sums of powers around the mean of two samples together."""
+    (na, ma, a2, a3, a4), (nb, mb, b2, b3, b4) = a, b
+    n = na + nb
+    d = mb - ma
+    mean = ma + d * nb / n
+    m2 = a2 + b2 + d * d * na * nb / n
+    m3 = (a3 + b3 + F.pow(d, F.lit(3)) * na * nb * (na - nb) / (n * n)
+          + 3 * d * (na * b2 - nb * a2) / n)
+    m4 = (a4 + b4 + F.pow(d, F.lit(4)) * na * nb * (na * na - na * nb + nb * nb) / (n * n * n)
+          + 6 * d * d * (na * na * b2 + nb * nb * a2) / (n * n) + 4 * d * (na * b3 - nb * a3) / n)
+    return n, mean, m2, m3, m4
+
+
 def running_features(logs: DataFrame, opts: Options = Options(), chunk_rows: int = 50_000) -> DataFrame:
     """One feature row per request ``(ip, ts, seq, ...)``, exact for any chunk size."""
     depth = opts.buffer_rows
@@ -69,8 +127,6 @@ def running_features(logs: DataFrame, opts: Options = Options(), chunk_rows: int
     keys = [*_KEYS, "chunk"]
     ordered = Window.partitionBy(*keys).orderBy("pos")
     so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    frame = ordered.rowsBetween(-(depth - 1), 0)
-    gap_frame = ordered.rowsBetween(-(depth - 2), 0)
 
     def by_value(name: str):
         return Window.partitionBy(*keys, name).orderBy("pos")
@@ -111,16 +167,11 @@ def running_features(logs: DataFrame, opts: Options = Options(), chunk_rows: int
              "start": starts.cast("bigint"), "burst": F.col("near").cast("bigint"),
              "burst_gap": F.when(F.col("near"), F.col("gap_us")).otherwise(F.lit(0))}
     flagged = spaced.withColumns(flags)
-    gap = seconds(F.col("gap_us"))
-    summed = flagged.withColumns({
+    measured = _sliding_stats(
+        flagged.withColumn("g", seconds(F.col("gap_us"))), keys,
+        {"b": depth, "t": depth, "g": depth - 1})
+    summed = measured.withColumns({
         **{f"cum_{name}": F.sum(name).over(so_far) for name in flags},
-        **{f"{x}_{stat}": fn(x).over(frame)
-           for x in ("b", "t")
-           for stat, fn in (("mean", F.avg), ("std", F.stddev_samp), ("skew", F.skewness),
-                            ("kurt", F.kurtosis), ("min", F.min), ("max", F.max))},
-        "g_n": F.count(gap).over(gap_frame), "g_mean": F.avg(gap).over(gap_frame),
-        "g_var": F.var_pop(gap).over(gap_frame), "g_skew": F.skewness(gap).over(gap_frame),
-        "g_kurt": F.kurtosis(gap).over(gap_frame),
         "first_us": F.coalesce(F.lag("us", depth - 1).over(ordered), F.first("us").over(so_far)),
     })
 
@@ -148,24 +199,23 @@ def running_features(logs: DataFrame, opts: Options = Options(), chunk_rows: int
         inner = (F.col(f"cum_{field}_enter") - F.col(f"old_{field}_leave")) / size
         return F.when(distinct > 1, F.ln(size) - inner).otherwise(F.lit(0.0))
 
-    # The frame's first gap counts as 0: merge the other gaps with that zero where they exclude it.
-    m, zeros = F.col("g_n"), n - F.col("g_n")
-    mean = F.col("g_mean") * m / n
-    shift = F.col("g_mean") - mean
-    var = F.col("g_var")
-    s2 = var * m
-    s3 = F.coalesce(F.col("g_skew"), F.lit(0.0)) * m * F.pow(var, F.lit(1.5))
-    s4 = F.coalesce(F.col("g_kurt") + 3, F.lit(0.0)) * m * var * var
-    m2 = s2 + m * shift * shift + zeros * mean * mean
-    m3 = s3 + 3 * shift * s2 + m * F.pow(shift, F.lit(3)) - zeros * F.pow(mean, F.lit(3))
-    m4 = (s4 + 4 * shift * s3 + 6 * shift * shift * s2 + m * F.pow(shift, F.lit(4))
-          + zeros * F.pow(mean, F.lit(4)))
+    # The frame's first gap counts as 0: a full frame's other gaps merge with one zero.
+    gaps = tuple(F.col(f"g_{name}") for name in ("n", "mean", "m2", "m3", "m4"))
+    zeros = n - F.col("g_n")
+    _, _, m2, m3, m4 = _merge(gaps, (zeros, *[F.lit(0.0)] * 4))
     merged = lagged.withColumns({"n": n, "m2": m2, "m3": m3, "m4": m4})
     n, span = F.col("n"), F.col("us") - F.col("first_us")
     varied, several = span > 0, n > 1
     bursts = 1 + F.col("cum_start") - F.col("old_start")
     session = seconds(span)
     get_ratio, post_ratio = total("gets") / n, total("posts") / n
+
+    def shape(x: str, k: int) -> Column:
+        """Standardised third or fourth (excess) moment; NULL for equal values."""
+        size, m2 = F.col(f"{x}_n"), F.col(f"{x}_m2")
+        value = F.col(f"{x}_m{k}") / size / F.pow(m2 / size, F.lit(k / 2)) - (3 if k == 4 else 0)
+        return F.when(F.col(f"{x}_min") < F.col(f"{x}_max"), value)
+
     features = {
         "request_count": n.cast("bigint"),
         "request_rate": n / F.lit(float(opts.window_seconds)),
@@ -186,9 +236,10 @@ def running_features(logs: DataFrame, opts: Options = Options(), chunk_rows: int
         **{f"{name}_{stat}": column
            for x, name in (("b", "bytes"), ("t", "time"))
            for stat, column in (
-               ("mean", or_zero(F.col(f"{x}_mean"))), ("std", or_zero(F.col(f"{x}_std"))),
-               ("skew", adjusted_skew(n, F.col(f"{x}_skew"))),
-               ("kurt", adjusted_kurt(n, F.col(f"{x}_kurt"))),
+               ("mean", or_zero(F.col(f"{x}_mean"))),
+               ("std", or_zero(F.when(several, F.sqrt(F.col(f"{x}_m2") / (n - 1))))),
+               ("skew", adjusted_skew(n, shape(x, 3))),
+               ("kurt", adjusted_kurt(n, shape(x, 4))),
                ("min", or_zero(F.col(f"{x}_min"))), ("max", or_zero(F.col(f"{x}_max"))))},
         "error_rate": total("errors") / n, "error_4xx_rate": total("errors4") / n,
         "error_5xx_rate": total("errors5") / n,

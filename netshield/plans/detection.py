@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from netshield.constants import FEATURES
 from netshield.operators.blocklist import first_detections
 from netshield.operators.hostnames import match_hostname
+from netshield.operators.lookup import match_geo
 from netshield.operators.preview import previews
 from netshield.operators.scoring import Scorer, decide
 from netshield.operators.ticks import scored_windows, tick_features, tick_rows
 from netshield.options import Options
-from netshield.session import broadcast_if_small
+from netshield.session import broadcast_if_small, settle
 
 _SUMMARY = ("ip", "req_count", "rps", "req_rate", "err_rate", "problem", "normal", "speed")
 
@@ -47,7 +48,8 @@ def split_results(scored: DataFrame, opts: Options = Options()) -> tuple[DataFra
 def score_ticks(logs: DataFrame, scorer: Scorer, opts: Options = Options()) -> DataFrame:
     """Every evaluation ``(ip, tick)`` with its features and probability."""
     rows = tick_rows(logs, opts)
-    return decide(scorer(tick_features(rows, scored_windows(rows, opts), opts)), opts)
+    groups = settle(scored_windows(rows, opts), "windows")
+    return decide(scorer(tick_features(rows, groups, opts)), opts)
 
 
 def detections(logs: DataFrame, scorer: Scorer, opts: Options = Options()) -> DataFrame:
@@ -57,42 +59,42 @@ def detections(logs: DataFrame, scorer: Scorer, opts: Options = Options()) -> Da
     """
     rows = tick_rows(logs, opts)
     busy = scored_windows(rows, opts).where(F.col("n") / opts.window_seconds >= opts.min_rps)
-    return gate(decide(scorer(tick_features(rows, busy, opts)), opts), opts)
+    return gate(decide(scorer(tick_features(rows, settle(busy, "windows"), opts)), opts), opts)
 
 
 def detect(logs: DataFrame, scorer: Scorer, hostnames: DataFrame | None = None,
-           opts: Options = Options()) -> DataFrame:
+           geo: DataFrame | None = None, opts: Options = Options()) -> DataFrame:
     """Alerts, one per address and block period.
 
-    ``logs`` are eligible typed rows with ``seq`` and optionally ``ip2location``. Each alert carries
-    the first record's domain and location, a preview of its requests and its feature row.
+    ``logs`` are eligible typed rows with ``seq``. Each alert carries its window's first domain, its
+    location (looked up in ``geo`` for the few alerted addresses), the name found in ``hostnames``,
+    a preview of its requests and its feature row.
     """
-    found = detections(logs, scorer, opts)
+    found = settle(detections(logs, scorer, opts), "detections")
     raised = first_detections(found.select("ip", F.col("tick").alias("us")), opts)
-    alerts = summarize(found.join(
-        raised.select("ip", F.col("us").alias("tick")), ["ip", "tick"], "left_semi"))
+    alerts = settle(summarize(found.join(
+        raised.select("ip", F.col("us").alias("tick")), ["ip", "tick"], "left_semi")), "alerts")
     wanted = broadcast_if_small(alerts.select("ip", "tick"), opts.broadcast_rows)
     behind = tick_rows(logs, opts).join(wanted, ["ip", "tick"], "left_semi")
-    place = F.col("ip2location") if "ip2location" in logs.columns else F.lit(None).cast(
-        "struct<country:string,region:string,city:string>")
     first = behind.groupBy("ip", "tick").agg(
-        F.min_by(F.struct("domain", place.alias("ip2location")), F.struct("us", "seq")).alias("first"))
-    sample = previews(behind, ["ip", "tick"])
-    full = alerts.join(first, ["ip", "tick"]).join(sample, ["ip", "tick"])
+        F.min_by("domain", F.struct("us", "seq")).alias("domain"))
+    full = alerts.join(first, ["ip", "tick"]).join(previews(behind, ["ip", "tick"]), ["ip", "tick"])
     full = full.withColumn("alert_ts", F.timestamp_micros("tick"))
+    nowhere = F.lit(None).cast("struct<country:string,region:string,city:string>")
     if hostnames is None:
         full = full.withColumn("ptr", F.lit(None).cast("string"))
     else:
         full = match_hostname(full, "ip", "alert_ts", hostnames, opts)
-    where = F.col("first.ip2location")
+    if geo is None:
+        full = full.withColumns(
+            {"ip2location": nowhere, "country": F.lit("NA"), "city": F.lit("NA")})
+    else:
+        full = match_geo(full, "ip", geo, opts)
     return full.select(
         "alert_ts", *_SUMMARY, "message", "ptr", "timestamp",
-        F.col("first.domain").alias("domain"),
-        F.lit(opts.alert_priority).alias("priority"), F.lit(opts.alert_tag).alias("tag"),
+        "domain", F.lit(opts.alert_priority).alias("priority"), F.lit(opts.alert_tag).alias("tag"),
         "ip_data", "ip_data_rows_total", "ip_data_rows_preview",
-        F.struct(*FEATURES).alias("last_feature"), where.alias("ip2location"),
-        F.coalesce(where["country"], F.lit("NA")).alias("country"),
-        F.coalesce(where["city"], F.lit("NA")).alias("city"))
+        F.struct(*FEATURES).alias("last_feature"), "ip2location", "country", "city")
 
 
 def new_blocks(alerts: DataFrame, opts: Options = Options()) -> DataFrame:

@@ -19,6 +19,17 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def settle(df: DataFrame, label: str = "settled") -> DataFrame:
+    """Write an intermediate result to the shared folder and continue from the written table.
+
+    Used where a small result feeds several later steps: they reuse it, lost executors do not
+    recompute it, and its file sizes let Spark choose join strategies.
+    """
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def rows_within(df: DataFrame, limit: int) -> bool:
     """True when ``df`` has at most ``limit`` rows; reads no more than ``limit + 1`` of them."""
     return df.select(F.lit(1)).limit(limit + 1).count() <= limit
