@@ -22,7 +22,7 @@ PREFIX_LINES = """
 SELECT name, line FROM (VALUES
   ('facebookbot', '31.13.64.0/18'), ('googlebot', '31.13.64.0/19'), ('linkedin', '31.13.64.0/24'),
   ('datacenter', '1.116.0.0/15'), ('vpn', '2.56.150.0/24'), ('claude', '2607:6bc0::/48'),
-  ('internal', '10.0.0.0/8'), ('chatgpt', '10.0.0.0/8')) AS fixed(name, line)
+  ('internal', '10.0.0.0/8'), ('chatgpt', '10.0.0.0/8'), ('googlebot', '203.0.113.8/29')) AS fixed(name, line)
 UNION ALL
 SELECT CASE s_suppkey % 6 WHEN 0 THEN 'googlebot' WHEN 1 THEN 'datacenter' WHEN 2 THEN 'vpn'
          WHEN 3 THEN 'claude' WHEN 4 THEN 'internal' ELSE 'fastly' END AS name,
