@@ -191,12 +191,12 @@ def json_rows(spark, sf_dir):
 _RAW_DUCK = RAW.replace("{logs}", "logs")
 _HEADER = r"^<(\d+)>(\w+\s+\d+\s+\d+:\d+:\d+)\s+(\S+)\s+(.*)"
 PARSED = rf""", raw AS ({_RAW_DUCK}),
-cut AS (
+sized AS (
   SELECT *, trim(line) AS t, length(line) > 65535 AS big FROM raw),
 head AS (
   SELECT *, regexp_matches(t, '{_HEADER}') AS matched,
     regexp_extract(t, '{_HEADER}', 1) AS priority, regexp_extract(t, '{_HEADER}', 3) AS host,
-    regexp_extract(t, '{_HEADER}', 4) AS message FROM cut),
+    regexp_extract(t, '{_HEADER}', 4) AS message FROM sized),
 js AS (
   SELECT *, nullif(regexp_extract(message, '\{{.*\}}', 0), '') AS j FROM head),
 msg AS (

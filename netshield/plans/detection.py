@@ -52,25 +52,31 @@ def score_ticks(logs: DataFrame, scorer: Scorer, opts: Options = Options()) -> D
     return decide(scorer(tick_features(rows, groups, opts)), opts)
 
 
-def detections(logs: DataFrame, scorer: Scorer, opts: Options = Options()) -> DataFrame:
-    """Evaluations that pass the gate.
+def detections(logs: DataFrame, scorer: Scorer, opts: Options = Options(),
+               after_us: int | None = None, until_us: int | None = None) -> DataFrame:
+    """Evaluations that pass the gate, optionally only those with ``after_us < tick <= until_us``.
 
     The rate gate depends on counts alone, so windows below it are dropped before any feature work.
     """
     rows = tick_rows(logs, opts)
+    if after_us is not None:
+        rows = rows.where(F.col("tick") > after_us)
+    if until_us is not None:
+        rows = rows.where(F.col("tick") <= until_us)
     busy = scored_windows(rows, opts).where(F.col("n") / opts.window_seconds >= opts.min_rps)
     return gate(decide(scorer(tick_features(rows, settle(busy, "windows"), opts)), opts), opts)
 
 
 def detect(logs: DataFrame, scorer: Scorer, hostnames: DataFrame | None = None,
-           geo: DataFrame | None = None, opts: Options = Options()) -> DataFrame:
+           geo: DataFrame | None = None, opts: Options = Options(), after_us: int | None = None,
+           until_us: int | None = None) -> DataFrame:
     """Alerts, one per address and block period.
 
     ``logs`` are eligible typed rows with ``seq``. Each alert carries its window's first domain, its
     location (looked up in ``geo`` for the few alerted addresses), the name found in ``hostnames``,
     a preview of its requests and its feature row.
     """
-    found = settle(detections(logs, scorer, opts), "detections")
+    found = settle(detections(logs, scorer, opts, after_us, until_us), "detections")
     raised = first_detections(found.select("ip", F.col("tick").alias("us")), opts)
     alerts = settle(summarize(found.join(
         raised.select("ip", F.col("us").alias("tick")), ["ip", "tick"], "left_semi")), "alerts")
