@@ -8,7 +8,8 @@ from checks.feature_queries import ORACLES as FEATURE, feature_sql, shown
 from checks.ingest_queries import PARSED, raw
 from checks.network_queries import _ADDRESSES, _BEST, _PREFIXES, _RANGES, STATIC_SQL, geo_dimension, prefix_load
 from netshield.constants import FEATURES
-from netshield.session import settle, work_dir
+from netshield.operators.lookup import geo_buckets, prefix_buckets
+from netshield.session import work_dir
 from netshield.sources.syslog import RAW_SCHEMA
 from netshield.sources.testdata import access_logs
 from netshield.streaming.blocklist import ALERT_SCHEMA, stream_blocks
@@ -66,8 +67,7 @@ def stream_sink(spark, sf_dir):
     out = work_dir(spark, "ingest")
     raw(spark, sf_dir).select("client_address", "data", "recv_ts").write.parquet(f"{out}/raw")
     stream = spark.readStream.schema(RAW_SCHEMA).parquet(f"{out}/raw")
-    prefixes = settle(prefix_load(spark, sf_dir), "prefixes")
-    geo = settle(geo_dimension(spark, sf_dir), "geo")
+    prefixes, geo = prefix_buckets(prefix_load(spark, sf_dir)), geo_buckets(geo_dimension(spark, sf_dir))
     finish(start_ingest(stream, prefixes, geo, f"{out}/tables", f"{out}/checkpoint", once=True))
     rows = spark.read.parquet(f"{out}/tables/rows")
     return plain_types(rows.drop("seq", "batch_id"))

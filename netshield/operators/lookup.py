@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from netshield.functions.address import ip_hex
 from netshield.options import Options
-from netshield.session import rows_within
+from netshield.session import settle
 
 # Leading hex digits that define a bucket: (IPv4, IPv6), from widest to narrowest.
 _WIDTHS = ((0, 0), (2, 4), (4, 8), (6, 12), (8, 16))
@@ -42,19 +42,31 @@ def prefix_level(fam: Column, plen: Column) -> Column:
     return F.least(F.floor(plen / bits), F.lit(len(_WIDTHS) - 1))
 
 
-def _probe(df: DataFrame, ranges: DataFrame, payload: list[str], rank: list[Column],
-           level_of: Column, found: str, small: bool) -> DataFrame:
-    """Add ``found``: the payload struct of the best range around ``_digits``."""
+def build_buckets(ranges: DataFrame, payload: list[str], rank: list[Column],
+                  level: Column) -> DataFrame:
+    """Written lookup table ``(level, key, entries)`` of ``ranges(lo, hi, ...)``.
+
+    ``rank`` orders the ranges of one bucket; the first that holds an address wins, and a narrower
+    bucket beats a wider one. Build it once and pass it wherever ranges are expected.
+    """
     entry = F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)], "lo", "hi",
                      F.struct(*payload).alias("payload"))
+    homed = ranges.withColumn("level", level.cast("int"))
+    key = F.lit(None).cast("string")
+    for i in range(len(_WIDTHS)):
+        key = F.when(F.col("level") == i, _bucket(F.col("lo"), i)).otherwise(key)
+    table = homed.groupBy("level", key.alias("key")).agg(
+        F.sort_array(F.collect_list(entry)).alias("entries"))
+    return settle(table, "buckets")
+
+
+def _probe(df: DataFrame, buckets: DataFrame, found: str, small: bool) -> DataFrame:
+    """Add ``found``: the payload struct of the best range around ``_digits``."""
     hits = []
     for level in reversed(range(len(_WIDTHS))):
         key, entries = f"_key{level}", f"_entries{level}"
-        table = (
-            ranges.where(level_of == level)
-            .groupBy(_bucket(F.col("lo"), level).alias(key))
-            .agg(F.sort_array(F.collect_list(entry)).alias(entries))
-        )
+        table = buckets.where(F.col("level") == level).select(
+            F.col("key").alias(key), F.col("entries").alias(entries))
         if small or level < _COARSE:
             table = F.broadcast(table)
         df = df.withColumn(key, _bucket(F.col("_digits"), level)).join(table, key, "left").drop(key)
@@ -64,37 +76,48 @@ def _probe(df: DataFrame, ranges: DataFrame, payload: list[str], rank: list[Colu
         *[f"_entries{level}" for level in range(len(_WIDTHS))])
 
 
-def range_lookup(df: DataFrame, ip: str, ranges: DataFrame, payload: list[str],
-                 rank: list[Column], level_of: Column, found: str, opts: Options = Options()) -> DataFrame:
-    """Left lookup of ``df[ip]`` in ``ranges(lo, hi, ...)``; adds struct ``found`` or NULL.
+def range_lookup(df: DataFrame, ip: str, buckets: DataFrame, found: str,
+                 opts: Options = Options()) -> DataFrame:
+    """Left lookup of ``df[ip]``; adds struct ``found`` or NULL.
 
-    ``rank`` orders ranges of the same home width; the first one that holds the address wins, and a
-    narrower home width beats a wider one. A table within ``broadcast_rows`` (counted first) is
-    broadcast and the probe side stays in place. A larger one is looked up once per distinct
-    address and joined back by address, where AQE splits a heavy address.
+    A table within ``broadcast_rows`` ranges (summed first) is broadcast and the probe side stays in
+    place. A larger one is looked up once per distinct address and joined back by address, where AQE
+    splits a heavy address.
     """
-    if rows_within(ranges, opts.broadcast_rows):
+    ranges = buckets.agg(F.sum(F.size("entries"))).first()[0] or 0
+    if ranges <= opts.broadcast_rows:
         with_digits = df.withColumn("_digits", ip_hex(F.col(ip)))
-        return _probe(with_digits, ranges, payload, rank, level_of, found, True).drop("_digits")
+        return _probe(with_digits, buckets, found, True).drop("_digits")
     addresses = (
         df.select(F.col(ip).alias("_ip")).distinct()
         .withColumn("_digits", ip_hex(F.col("_ip"))).where(F.col("_digits").isNotNull())
     )
-    probed = _probe(addresses, ranges, payload, rank, level_of, found, False)
-    known = probed.where(F.col(found).isNotNull())
+    known = _probe(addresses, buckets, found, False).where(F.col(found).isNotNull())
     return df.join(known.drop("_digits"), F.col(ip) == F.col("_ip"), "left").drop("_ip")
 
 
+def prefix_buckets(prefixes: DataFrame) -> DataFrame:
+    """Lookup table of prefixes; one listed twice resolves to the trusted list, ``lan``, then name."""
+    if "entries" in prefixes.columns:
+        return prefixes
+    rank = [-F.col("plen"), -F.col("support"), (F.col("category") != "lan").cast("int"), F.col("name")]
+    return build_buckets(prefixes, ["name", "category", "support"], rank,
+                         prefix_level(F.col("fam"), F.col("plen")))
+
+
+def geo_buckets(ranges: DataFrame) -> DataFrame:
+    if "entries" in ranges.columns:
+        return ranges
+    return build_buckets(ranges, ["country", "region", "city"], [F.col("hi"), F.col("lo")],
+                         home_level(F.col("lo"), F.col("hi")))
+
+
 def match_prefix(df: DataFrame, ip: str, prefixes: DataFrame, opts: Options = Options()) -> DataFrame:
     """Longest matching network: adds ``bot_name``, ``bot_category`` and ``bot_support`` (0 if none).
 
-    A prefix listed twice resolves to the trusted list, then to ``lan``, then by name.
+    Ranks put the longest prefix of a bucket first, so the order is longest-match overall.
     """
-    rank = [-F.col("plen"), -F.col("support"), (F.col("category") != "lan").cast("int"), F.col("name")]
-    payload = ["name", "category", "support"]
-    # Within one home width the longest prefix ranks first, so the order is longest-match overall.
-    found = range_lookup(df, ip, prefixes, payload, rank,
-                         prefix_level(F.col("fam"), F.col("plen")), "_net", opts)
+    found = range_lookup(df, ip, prefix_buckets(prefixes), "_net", opts)
     return found.withColumns({
         "bot_name": F.col("_net.name"),
         "bot_category": F.col("_net.category"),
@@ -104,9 +127,7 @@ def match_prefix(df: DataFrame, ip: str, prefixes: DataFrame, opts: Options = Op
 
 def match_geo(df: DataFrame, ip: str, ranges: DataFrame, opts: Options = Options()) -> DataFrame:
     """Adds struct ``ip2location`` (NULL on a miss), ``country`` and ``city`` (``NA`` on a miss)."""
-    found = range_lookup(
-        df, ip, ranges, ["country", "region", "city"],
-        [F.col("hi"), F.col("lo")], home_level(F.col("lo"), F.col("hi")), "ip2location", opts)
+    found = range_lookup(df, ip, geo_buckets(ranges), "ip2location", opts)
     return found.withColumns({
         "country": F.coalesce("ip2location.country", F.lit("NA")),
         "city": F.coalesce("ip2location.city", F.lit("NA")),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from netshield.operators.gelf import gelf_documents
+from netshield.operators.lookup import geo_buckets, prefix_buckets
 from netshield.options import Options
 from netshield.plans.ingestion import detector_rows, gelf_messages, ingest
 from netshield.streaming.tables import run, write_batch
@@ -17,9 +18,12 @@ def start_ingest(raw: DataFrame, prefixes: DataFrame, geo: DataFrame, out: str,
                  opts: Options = Options()) -> StreamingQuery:
     """Run the ingest job on a stream of raw messages.
 
+    The lookup tables are built once and serve every batch.
     A batch is parsed and enriched once into ``{out}/logs``; the other outputs read that table.
     """
 
+    prefixes, geo = prefix_buckets(prefixes), geo_buckets(geo)
+
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         logs, bad = ingest(batch, prefixes, geo, time_field, opts)
