@@ -55,6 +55,18 @@ def drop_blocked(rows: DataFrame, blocklist: DataFrame, ip: str = "ip", ts: str
         "left_anti")
 
 
+def forget_blocked(rows: DataFrame, blocklist: DataFrame, ip: str = "ip", ts: str = "ts",
+                   opts: Options = Options()) -> DataFrame:
+    """Drop what an address's series lost to its blocks.
+
+    Its records were deleted when it was listed and not collected until the entry expired.
+    """
+    until = blocklist.groupBy(F.col("ip").alias("_ip")).agg(F.max("expires_at").alias("_until"))
+    return rows.join(
+        broadcast_if_small(until, opts.broadcast_rows),
+        (F.col(ip) == F.col("_ip")) & (F.col(ts) < F.col("_until")), "left_anti")
+
+
 def first_detections(detections: DataFrame, opts: Options = Options()) -> DataFrame:
     """Detections ``(ip, us)`` that raise an alert: the first one, then the first after each block.
 

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netshield.constants import FEATURES
-from netshield.operators.blocklist import first_detections
 from netshield.operators.hostnames import match_hostname
 from netshield.operators.lookup import match_geo
 from netshield.operators.preview import previews
 from netshield.operators.scoring import Scorer, decide
 from netshield.operators.ticks import scored_windows, tick_features, tick_rows
 from netshield.options import Options
-from netshield.session import broadcast_if_small, settle
+from netshield.session import broadcast_if_small, rows_within, settle
 
 _SUMMARY = ("ip", "req_count", "rps", "req_rate", "err_rate", "problem", "normal", "speed")
 
@@ -52,19 +53,64 @@ def score_ticks(logs: DataFrame, scorer: Scorer, opts: Options = Options()) -> D
     return decide(scorer(tick_features(rows, groups, opts)), opts)
 
 
+def _busy_windows(rows: DataFrame, opts: Options) -> DataFrame:
+    """Scored windows that reach the gate's request rate, which counts alone decide."""
+    return scored_windows(rows, opts).where(F.col("n") / opts.window_seconds >= opts.min_rps)
+
+
 def detections(logs: DataFrame, scorer: Scorer, opts: Options = Options(),
                after_us: int | None = None, until_us: int | None = None) -> DataFrame:
     """Evaluations that pass the gate, optionally only those with ``after_us < tick <= until_us``.
 
-    The rate gate depends on counts alone, so windows below it are dropped before any feature work.
+    Windows below the gate's rate are dropped before any feature work.
     """
+    rows = _ticks_between(logs, opts, after_us, until_us)
+    return _gated(rows, settle(_busy_windows(rows, opts), "windows"), scorer, opts)
+
+
+def _ticks_between(logs: DataFrame, opts: Options, after_us: int | None,
+                   until_us: int | None) -> DataFrame:
     rows = tick_rows(logs, opts)
     if after_us is not None:
         rows = rows.where(F.col("tick") > after_us)
     if until_us is not None:
         rows = rows.where(F.col("tick") <= until_us)
-    busy = scored_windows(rows, opts).where(F.col("n") / opts.window_seconds >= opts.min_rps)
-    return gate(decide(scorer(tick_features(rows, settle(busy, "windows"), opts)), opts), opts)
+    return rows
+
+
+def _gated(rows: DataFrame, busy: DataFrame, scorer: Scorer, opts: Options) -> DataFrame:
+    return gate(decide(scorer(tick_features(rows, busy, opts)), opts), opts)
+
+
+def raised_alerts(logs: DataFrame, scorer: Scorer, opts: Options = Options(),
+                  after_us: int | None = None, until_us: int | None = None) -> DataFrame:
+    """The detections that raise an alert, with ``resumed_us``, where their address's series began.
+
+    An alert deletes its address's series, and nothing is collected until the block ends. So each
+    round takes every address's first detection and continues, for the few addresses that are busy
+    again later, with their requests from the end of the block on. There are as many rounds as an
+    address can be blocked within the time span of the input.
+    """
+    block_us = opts.block_seconds * 1_000_000
+    rows = _ticks_between(logs, opts, after_us, until_us)
+    starts, rounds = None, []
+    while True:
+        busy = settle(_busy_windows(rows, opts), "windows")
+        found = settle(_gated(rows, busy, scorer, opts), "detections")
+        firsts = found.groupBy("ip").agg(F.min("tick").alias("tick"))
+        alerts = found.join(firsts, ["ip", "tick"], "left_semi")
+        if starts is None:
+            alerts = alerts.withColumn("resumed_us", F.lit(0).cast("long"))
+        else:
+            alerts = alerts.join(starts, "ip")
+        rounds.append(alerts)
+        resumed = firsts.select("ip", (F.col("tick") + block_us).alias("resumed_us"))
+        later = busy.select("ip", "tick").join(resumed, "ip").where(F.col("tick") >= F.col("resumed_us"))
+        starts = settle(later.select("ip", "resumed_us").distinct(), "resumed")
+        if rows_within(starts, 0):
+            return reduce(DataFrame.unionByName, rounds)
+        rows = _ticks_between(logs, opts, after_us, until_us).join(
+            broadcast_if_small(starts, opts.broadcast_rows), "ip").where(F.col("us") >= F.col("resumed_us"))
 
 
 def detect(logs: DataFrame, scorer: Scorer, hostnames: DataFrame | None = None,
@@ -76,12 +122,9 @@ def detect(logs: DataFrame, scorer: Scorer, hostnames: DataFrame | None = None,
     location (looked up in ``geo`` for the few alerted addresses), the name found in ``hostnames``,
     a preview of its requests and its feature row.
     """
-    found = settle(detections(logs, scorer, opts, after_us, until_us), "detections")
-    raised = first_detections(found.select("ip", F.col("tick").alias("us")), opts)
-    alerts = settle(summarize(found.join(
-        raised.select("ip", F.col("us").alias("tick")), ["ip", "tick"], "left_semi")), "alerts")
-    wanted = broadcast_if_small(alerts.select("ip", "tick"), opts.broadcast_rows)
-    behind = tick_rows(logs, opts).join(wanted, ["ip", "tick"], "left_semi")
+    alerts = summarize(raised_alerts(logs, scorer, opts, after_us, until_us))
+    wanted = broadcast_if_small(alerts.select("ip", "tick", "resumed_us"), opts.broadcast_rows)
+    behind = tick_rows(logs, opts).join(wanted, ["ip", "tick"]).where(F.col("us") >= F.col("resumed_us"))
     first = behind.groupBy("ip", "tick").agg(
         F.min_by("domain", F.struct("us", "seq")).alias("domain"))
     full = alerts.join(first, ["ip", "tick"]).join(previews(behind, ["ip", "tick"]), ["ip", "tick"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
-from netshield.operators.blocklist import drop_blocked
+from netshield.operators.blocklist import drop_blocked, forget_blocked
 from netshield.operators.scoring import Scorer
 from netshield.options import Options
 from netshield.plans.detection import detect, new_blocks
@@ -52,6 +52,8 @@ class DetectionLoop:
         stored = StructType([*batch.schema.fields, StructField("win_us", LongType())])
         recent = read_table(spark, f"{self.out}/rows", stored).where(
             (F.col("win_us") >= before - 2 * opts.window_us) & (F.col("batch_id") <= batch_id))
+        if batch_id > 0:
+            recent = forget_blocked(recent, blocks, opts=opts)
         alerts = detect(recent.drop("win_us", "batch_id"), self.scorer, self.hostnames, self.geo,
                         opts, after_us=before, until_us=until)
         write_batch(alerts, f"{self.out}/alerts", batch_id)
