@@ -262,6 +262,15 @@ UNION ALL SELECT ip, 'active', true FROM active"""),
 }
 
 
+ORACLES["replay_report"] = with_logs(f"""{_RUNNING}{feature_ctes("running")},
+hits AS (
+  SELECT string_split(ip, '@')[2]::BIGINT AS line, {SCORE_SQL} AS p FROM feats)
+SELECT line, l.ts, l.status, l.ip, round_even(p * 100, 0)::INTEGER AS ddos_percent,
+  round_even((1 - p) * 100, 0)::INTEGER AS normal_percent,
+  row_number() OVER (ORDER BY l.us, line) AS detections
+FROM hits JOIN logs l ON l.seq = line WHERE p >= 0.7""")
+
+
 def _detect_oracle():
     from checks.network_queries import _ADDRESSES, _RANGES
 

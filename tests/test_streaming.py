@@ -4,13 +4,13 @@ import brute
 from pyspark.sql import functions as F
 
 from netshield.operators.blocklist import first_detections
-from netshield.operators.features import minute_features
+from netshield.operators.features import minute_features, value_counts, with_window
 from netshield.options import Options
 from netshield.plans import detection
 from netshield.session import work_dir
 from netshield.streaming.blocklist import stream_blocks
 from netshield.streaming.detection import DetectionLoop
-from netshield.streaming.features import ClosedWindows
+from netshield.streaming.features import ClosedWindows, stream_value_counts
 from netshield.streaming.tables import finish
 from test_detection import SCORER, traffic
 from test_features import random_rows
@@ -57,6 +57,22 @@ def test_detection_loop_equals_batch(spark):
         (r["ip"], r["added_at"]) for r in whole.collect()}
 
 
+def test_stream_value_counts_equal_batch(spark):
+    out, rows = work_dir(spark, "test"), random_rows(9, 120, span=300_000_000)
+    logs = brute.access_logs(spark, rows)
+    logs.coalesce(1).write.parquet(f"{out}/in")
+    table = stream_value_counts(spark.readStream.schema(logs.schema).parquet(f"{out}/in"))
+    query = (table.writeStream.format("parquet").option("path", f"{out}/counts")
+             .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
+    finish(query, 120)
+    newest = max(r[2] for r in rows) - 100_000_000
+    batch = value_counts(with_window(logs), ["ip", "win"]).where(
+        F.unix_micros("win") + 60_000_000 <= newest)
+    columns = ["ip", "win", "field", "value", "n"]
+    got = {tuple(r) for r in spark.read.parquet(f"{out}/counts").select(*columns).collect()}
+    assert got and got == {tuple(r) for r in batch.select(*columns).collect()}
+
+
 def test_stream_blocks_equal_batch(spark):
     rng = random.Random(2)
     out, opts = work_dir(spark, "test"), Options(block_seconds=60)
