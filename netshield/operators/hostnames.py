@@ -33,7 +33,7 @@ def match_hostname(df: DataFrame, ip: str, ts: str, resolved: DataFrame,
     matched = df.join(
         broadcast_if_small(table, opts.broadcast_rows),
         (F.col(ip) == F.col("_ip"))
-        & (F.floor(at / life) == F.col("_bucket"))
+        & (F.expr(f"unix_micros({ts}) div {life}") == F.col("_bucket"))
         & (at >= F.col("from_us")) & (at < F.col("to_us")),
         "left",
     )
