@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netshield.llm import bpe
+from netshield.llm import bpe, minhash
 from netshield.llm.common import table
 
 
@@ -22,5 +22,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, ranks, pattern))
 
 
-QUERIES = {"op8_bpe": op8_bpe}
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
+QUERIES = {"op4_minhash": op4_minhash, "op8_bpe": op8_bpe}
 ORACLES: dict[str, str] = {}
