@@ -4,10 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netshield.llm import bpe, minhash
+from netshield.llm import bpe, minhash, urlfilter
 from netshield.llm.common import table
 
 
+#: Rules of the URL query: host, path and action.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op1_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP1_SQL = """
+WITH rules(h, p, action) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+  ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+parts AS (
+  SELECT page_id, url,
+    translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages)
+SELECT page_id, host, path,
+  (SELECT h || p FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+   ORDER BY length(h || p) DESC, length(h) DESC LIMIT 1) AS rule,
+  coalesce((SELECT action FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+   ORDER BY length(h || p) DESC, length(h) DESC LIMIT 1), 'allow') AS verdict
+FROM parts
+"""
+
+
 def bpe_files() -> tuple[str, str]:
     """Rank file and pre-splitting pattern of the public tokenizer."""
     import public_tokenizers
@@ -26,5 +55,5 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
-QUERIES = {"op4_minhash": op4_minhash, "op8_bpe": op8_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_urlfilter": op1_urlfilter, "op4_minhash": op4_minhash, "op8_bpe": op8_bpe}
+ORACLES: dict[str, str] = {"op1_urlfilter": OP1_SQL}
