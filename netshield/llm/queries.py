@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netshield.llm import bpe, minhash, urlfilter
+from netshield.llm import bpe, minhash, pii, urlfilter
 from netshield.llm.common import table
 
 
@@ -55,5 +55,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
-QUERIES = {"op1_urlfilter": op1_urlfilter, "op4_minhash": op4_minhash, "op8_bpe": op8_bpe}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",)))
+
+
+QUERIES = {"op1_urlfilter": op1_urlfilter, "op4_minhash": op4_minhash, "op8_bpe": op8_bpe,
+           "op9_pii": op9_pii}
 ORACLES: dict[str, str] = {"op1_urlfilter": OP1_SQL}
