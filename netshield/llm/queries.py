@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netshield.llm import bpe, minhash, pii, urlfilter
+from netshield.llm import bpe, decontaminate, minhash, pii, toxicity, urlfilter
 from netshield.llm.common import table
 
 
@@ -55,10 +56,26 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.search(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "leaks")
+    return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"),
+                        F.transform("leaks", lambda x: x["item_id"]).alias("items"),
+                        F.transform("leaks", lambda x: F.array(x["start"], x["end"], x["edits"])).alias("regions"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",)))
 
 
-QUERIES = {"op1_urlfilter": op1_urlfilter, "op4_minhash": op4_minhash, "op8_bpe": op8_bpe,
+QUERIES = {"op1_urlfilter": op1_urlfilter, "op3_toxicity": op3_toxicity, "op4_minhash": op4_minhash, "op5_decontamination": op5_decontamination, "op8_bpe": op8_bpe,
            "op9_pii": op9_pii}
 ORACLES: dict[str, str] = {"op1_urlfilter": OP1_SQL}
