@@ -11,9 +11,11 @@ their full shingle sets. At similarity 0.8 a pair misses all 42 bands with proba
 Groups of copies never become all pairs:
 
 * Equal sets are one class, found by a digest that is counted map-side.
-* In each band bucket, members are first paired with its smallest and its largest class only.
-* Classes linked so far share a label. Only buckets that still hold several labels are joined
-  with themselves, on members of different labels that pass a size and a bit-sketch test.
+* In each band bucket, members are paired with a few of its classes, drawn by hash, only.
+* Classes linked so far share a label. Buckets that still hold several labels get new draws, each
+  paired with members of other labels, while that leaves many pairs to look at.
+* What then still holds several labels is joined with itself, on members of different labels that
+  pass a size and a bit-sketch test. So every pair that shares a band is linked or looked at.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ _LOW = np.uint64((1 << 50) - 1)
 _GOLDEN, _MIX1, _MIX2 = (np.uint64(c) for c in (
     0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _ROUNDS = (np.arange(2 * SKETCH, dtype=np.uint64) + np.uint64(1)) * _GOLDEN
+#: Classes drawn from a bucket at once, rounds of draws, and pairs a member for which rounds go on.
+DRAWS, DRAW_ROUNDS, PAIRS_A_MEMBER = 4, 6, 2
 #: Words whose hashes a Python worker remembers before it starts anew.
 WORD_MEMORY = 200_000
 
@@ -142,11 +146,11 @@ def _likely(share: int, a: str = "", b: str = "") -> F.Column:
     """Sizes allow ``share`` percent, and the bit sketches don't rule it out.
 
     Bits of equal coordinates agree, others agree half the time, so 256 bits of a pair at
-    similarity s differ in 128 * (1 - s) places on average; eight standard deviations above that
+    similarity s differ in 128 * (1 - s) places on average; six standard deviations above that
     are still let through.
     """
     mean = SKETCH * (100 - share) / 200
-    most = int(mean + 8 * (mean * (1 - mean / SKETCH)) ** 0.5) + 1
+    most = int(mean + 6 * (mean * (1 - mean / SKETCH)) ** 0.5) + 1
     n = [F.col(f"{a}n"), F.col(f"{b}n")]
     apart = sum(F.bit_count(F.col(f"{a}bits")[k].bitwiseXOR(F.col(f"{b}bits")[k])) for k in range(4))
     return (F.least(*n) * 100 >= F.greatest(*n) * share) & (apart <= most)
@@ -180,6 +184,42 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, share: int) -> Dat
             .filter(linked("a", "b", "text_a", "text_b")).select("a", "b"))
 
 
+def _unsettled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members with their labels, of the buckets that hold several labels."""
+    if labels is None:
+        return rows.withColumn("label", F.col("node"))
+    labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = (labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+               .filter("low < high").select("key"))
+    return labelled.join(several, "key")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+
+
+def _drawn(rest: DataFrame, share: int, turn: int) -> DataFrame:
+    """Likely pairs of members with a few members of their bucket that have another label.
+
+    Nodes are hashes, so the least one after flipping fixed bits is a draw.
+    """
+    seeds = [int(x) for x in mix(np.arange(DRAWS, dtype=np.uint64) + np.uint64(1 + turn * DRAWS)).view(np.int64)]
+    drawn = rest.groupBy("key").agg(*[
+        F.min(F.col("node").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)).alias(f"d{k}") for k, x in enumerate(seeds)])
+    drawn = drawn.select("key", F.explode(F.array_distinct(F.array(*[f"d{k}" for k in range(DRAWS)]))).alias("node"))
+    drawn = drawn.join(rest.select("node", "label", "n", "bits").dropDuplicates(["node"]), "node")
+    return _ordered(rest.alias("l").join(
+        drawn.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label"))
+        & _likely(share, "l.", "r.")))
+
+
+def _all_across(rest: DataFrame, share: int) -> DataFrame:
+    """All likely pairs of members of a bucket that have different labels."""
+    return _ordered(rest.alias("l").join(
+        rest.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.label") < F.col("r.label"))
+        & _likely(share, "l.", "r.")))
+
+
 def near_duplicates(df: DataFrame, words: int = 5, share: int = 80, id: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
@@ -201,37 +241,34 @@ def near_duplicates(df: DataFrame, words: int = 5, share: int = 80, id: str = "d
                 "bands", "bits").dropDuplicates(["node"]), "classes")
 
     members = reps.select("node", F.explode("bands").alias("key"))
-    ends = settle(members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-                  .filter("low < high"), "buckets")
-    shared = settle(members.join(ends, "key"), "members")
-    pairs = (shared.select("node", F.explode(F.array("low", "high")).alias("end")).filter("node <> end")
-             .select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct())
-    small = reps.select("node", "n", "bits")
-    left, right = (small.select(F.col("node").alias(c), F.struct("n", "bits").alias(f"of_{c}")) for c in "ab")
-    tested = settle(pairs.join(left, "a").join(right, "b").filter(_likely(share, "of_a.", "of_b."))
-                    .select("a", "b"), "candidates")
+    shared = settle(members.join(members.groupBy("key").count().filter("count > 1").select("key"), "key")
+                    .join(reps.select("node", "n", "bits"), "node"), "members")
     texts = settle(
         df.select(F.col(id).cast("bigint").alias("id"), text_or_empty(text).alias("text"))
         .withColumn("mark", F.xxhash64("text"))
         .join(reps.join(shared.select("node").distinct(), "node", "left_semi").select("id", "mark", "node"),
               ["id", "mark"])
         .select("node", "text").dropDuplicates(["node"]), "texts")
-    links = settle(confirmed(tested, texts, words, share), "links")
-    labels = settle(components(links), "labels")
-
-    labelled = (shared.select("node", "key").join(labels, "node", "left")
-                .withColumn("label", F.coalesce("label", "node")))
-    mixed = (labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-             .filter("x < y").select("key"))
-    rest = settle(labelled.join(mixed, "key").join(small, "node"), "mixed")
-    across = (rest.alias("l").join(rest.alias("r"),
-                                   (F.col("l.key") == F.col("r.key")) & (F.col("l.label") < F.col("r.label"))
-                                   & _likely(share, "l.", "r."))
-              .select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
-              .distinct().join(tested, ["a", "b"], "left_anti"))
-    more = settle(confirmed(settle(across, "candidates"), texts, words, share), "links")
-    if not more.isEmpty():
-        labels = settle(components(links.union(more)), "labels")
+
+    rows_left, labels, tested = shared, None, None
+    for turn in range(DRAW_ROUNDS + 1):
+        rest = settle(_unsettled(rows_left, labels), "mixed")
+        rows_left = rest.drop("label")
+        of_label = rest.groupBy("key", "label").agg(F.count("*").cast("double").alias("m"))
+        work = of_label.groupBy("key").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("w")).agg(
+            F.sum("w") / 2).first()[0] or 0.0
+        last = turn == DRAW_ROUNDS or work <= PAIRS_A_MEMBER * rest.count()
+        pairs = _all_across(rest, share) if last else _drawn(rest, share, turn)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = settle(pairs, "candidates")
+        links = settle(confirmed(pairs, texts, words, share), "links")
+        tested = pairs if tested is None else tested.union(pairs)
+        if labels is not None:
+            links = links.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        labels = settle(components(links), "labels")
+        if last:
+            break
 
     known = labels.join(reps.select("node", "id"), "node")
     named = known.join(known.groupBy("label").agg(F.min("id").alias("component")), "label")
