@@ -14,8 +14,12 @@ Groups of copies never become all pairs:
 * In each band bucket, members are paired with a few of its classes, drawn by hash, only.
 * Classes linked so far share a label. Buckets that still hold several labels get new draws, each
   paired with members of other labels, while that leaves many pairs to look at.
-* What then still holds several labels is joined with itself, on members of different labels that
-  pass a size and a bit-sketch test. So every pair that shares a band is linked or looked at.
+* What then still holds several labels is compared whole. Buckets of at most ``SMALL`` members are
+  joined with themselves, on members of different labels that pass a size and a bit-sketch test.
+  Larger ones are dealt into blocks of about ``BLOCK_SHINGLES`` shingles; a task takes two blocks,
+  counts all intersections as a matrix product, and returns at most one link a member. So every
+  pair that shares a band is linked already or looked at, and no task or row count is quadratic
+  in what it holds at once.
 """
 
 from __future__ import annotations
@@ -42,7 +46,9 @@ _GOLDEN, _MIX1, _MIX2 = (np.uint64(c) for c in (
     0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _ROUNDS = (np.arange(2 * SKETCH, dtype=np.uint64) + np.uint64(1)) * _GOLDEN
 #: Classes drawn from a bucket at once, rounds of draws, and pairs a member for which rounds go on.
-DRAWS, DRAW_ROUNDS, PAIRS_A_MEMBER = 4, 6, 2
+DRAWS, DRAW_ROUNDS, PAIRS_A_MEMBER = 4, 2, 2
+#: Members of a bucket that may be joined with itself, and shingles of a block of a larger one.
+SMALL, BLOCK_SHINGLES = 48, 200_000
 #: Words whose hashes a Python worker remembers before it starts anew.
 WORD_MEMORY = 200_000
 
@@ -156,32 +162,87 @@ def _likely(share: int, a: str = "", b: str = "") -> F.Column:
     return (F.least(*n) * 100 >= F.greatest(*n) * share) & (apart <= most)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, share: int) -> DataFrame:
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """``node, shingles``: the sorted hashes of each text's set, as bytes."""
+
+    @F.arrow_udf("binary")
+    def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memory = _Words()
+        for batch in batches:
+            yield pa.array([shingles(t.as_py(), words, memory).tobytes() for t in batch], pa.binary())
+
+    return texts.select("node", packed("text").alias("shingles"))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Those pairs ``a, b`` whose full shingle sets reach ``share`` percent similarity."""
-    left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
 
     @F.arrow_udf("boolean")
-    def linked(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        memory, sets = _Words(), OrderedDict()
-
-        def found(key: int, text: pa.Scalar) -> np.ndarray:
-            if key not in sets:
-                sets[key] = shingles(text.as_py(), words, memory)
-                if len(sets) > 32:
-                    sets.popitem(last=False)
-            sets.move_to_end(key)
-            return sets[key]
-
-        for ids_a, ids_b, texts_a, texts_b in batches:
+    def linked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for sets_a, sets_b in batches:
             out = []
-            for a, b, s, t in zip(ids_a.to_pylist(), ids_b.to_pylist(), texts_a, texts_b):
-                x, y = found(a, s), found(b, t)
+            for s, t in zip(sets_a, sets_b):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (s, t))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 out.append(100 * both >= share * (len(x) + len(y) - both))
             yield pa.array(out, pa.bool_())
 
-    return (pairs.join(left, "a").join(right, "b")
-            .filter(linked("a", "b", "text_a", "text_b")).select("a", "b"))
+    return pairs.join(left, "a").join(right, "b").filter(linked("set_a", "set_b")).select("a", "b")
+
+
+def linked_in_blocks(nodes: np.ndarray, block: np.ndarray, sets: list[np.ndarray], share: int) -> list[tuple[int, int]]:
+    """Pairs that connect the members as their links do; across the two blocks, or inside a single one."""
+    size = np.array([len(x) for x in sets], np.int64)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    shared = np.flatnonzero(times > 1)
+    place = np.full(len(times), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[column]
+    left = np.flatnonzero(block == block.min())
+    right = np.flatnonzero(block == block.max())
+    both = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for start in range(0, len(shared), 4096):
+        part = slice(*np.searchsorted(column, [start, start + 4096]))
+        table = np.zeros((len(sets), min(4096, len(shared) - start)), np.float32)
+        table[owner[part], column[part] - start] = 1
+        both += table[left] @ table[right].T
+    linked = 100 * both >= share * (size[left][:, None] + size[right][None, :] - both)
+    label = np.arange(len(sets))
+    while True:
+        before = label.copy()
+        np.minimum.at(label, left, np.where(linked, label[right][None, :], len(sets)).min(1))
+        np.minimum.at(label, right, np.where(linked, label[left][:, None], len(sets)).min(0))
+        label = label[label]
+        if (label == before).all():
+            break
+    return [(int(nodes[k]), int(nodes[label[k]])) for k in np.flatnonzero(label != np.arange(len(sets)))]
+
+
+def _in_blocks(large: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Links ``a, b`` of the members of large buckets, from two blocks of a bucket at a time."""
+    blocks = large.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    dealt = (large.join(blocks, "key")
+             .withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+             .select("node", "key", "block", F.least("block", "other").alias("first"),
+                     F.greatest("block", "other").alias("second"))
+             .join(sets, "node"))
+
+    def links(group: pa.Table) -> pa.Table:
+        sets_of = [np.frombuffer(v.as_buffer(), np.uint64) for v in group["shingles"]]
+        block = group["block"].to_numpy()
+        if block.min() == block.max() and group["first"][0] != group["second"][0]:
+            found = []  # one of the two blocks is empty
+        else:
+            found = linked_in_blocks(group["node"].to_numpy(), block, sets_of, share)
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("key", "first", "second").applyInArrow(links, "a long, b long")
 
 
 def _unsettled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -243,12 +304,12 @@ def near_duplicates(df: DataFrame, words: int = 5, share: int = 80, id: str = "d
     members = reps.select("node", F.explode("bands").alias("key"))
     shared = settle(members.join(members.groupBy("key").count().filter("count > 1").select("key"), "key")
                     .join(reps.select("node", "n", "bits"), "node"), "members")
-    texts = settle(
+    sets = settle(shingle_sets(
         df.select(F.col(id).cast("bigint").alias("id"), text_or_empty(text).alias("text"))
         .withColumn("mark", F.xxhash64("text"))
         .join(reps.join(shared.select("node").distinct(), "node", "left_semi").select("id", "mark", "node"),
               ["id", "mark"])
-        .select("node", "text").dropDuplicates(["node"]), "texts")
+        .select("node", "text").dropDuplicates(["node"]), words), "sets")
 
     rows_left, labels, tested = shared, None, None
     for turn in range(DRAW_ROUNDS + 1):
@@ -258,11 +319,17 @@ def near_duplicates(df: DataFrame, words: int = 5, share: int = 80, id: str = "d
         work = of_label.groupBy("key").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("w")).agg(
             F.sum("w") / 2).first()[0] or 0.0
         last = turn == DRAW_ROUNDS or work <= PAIRS_A_MEMBER * rest.count()
-        pairs = _all_across(rest, share) if last else _drawn(rest, share, turn)
+        if last:
+            size = rest.groupBy("key").count()
+            small = rest.join(size.filter(F.col("count") <= SMALL).select("key"), "key")
+            large = rest.join(size.filter(F.col("count") > SMALL).select("key"), "key")
+        pairs = _all_across(small, share) if last else _drawn(rest, share, turn)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = settle(pairs, "candidates")
-        links = settle(confirmed(pairs, texts, words, share), "links")
+        links = settle(confirmed(pairs, sets, share), "links")
+        if last:
+            links = links.union(_in_blocks(large, sets, share))
         tested = pairs if tested is None else tested.union(pairs)
         if labels is not None:
             links = links.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))

@@ -74,10 +74,13 @@ def test_sketch_fills_and_estimates():
     assert abs(np.mean(estimates) - 0.8) < 0.02
 
 
-def test_large_group_of_near_copies(spark):
+@pytest.mark.parametrize("small, shingles", [(10**9, 1), (0, 10**9), (3, 4000)])
+def test_large_group_of_near_copies(spark, monkeypatch, small, shingles):
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", shingles)
     rng = random.Random(5)
     base = [f"v{i}" for i in range(200)]
-    rows = [(i, " ".join(edited(rng, base, 0.04))) for i in range(250)] + [(1000 + i, "copy of one text here") for i in range(300)]
+    rows = [(i, " ".join(edited(rng, base, rng.choice([0.04, 0.12])))) for i in range(250)] + [(1000 + i, "copy of one text here") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((tuple(r) for r in minhash.near_duplicates(df, 2).collect()), key=repr)
     assert got == brute(rows, 2)
