@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netshield.llm import bpe, decontaminate, minhash, pii, toxicity, urlfilter
+from netshield.llm import html as pages_html
 from netshield.llm.common import table
 
 
@@ -72,10 +73,15 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.transform("leaks", lambda x: F.array(x["start"], x["end"], x["edits"])).alias("regions"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return pages_html.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",)))
 
 
-QUERIES = {"op1_urlfilter": op1_urlfilter, "op3_toxicity": op3_toxicity, "op4_minhash": op4_minhash, "op5_decontamination": op5_decontamination, "op8_bpe": op8_bpe,
+QUERIES = {"op1_urlfilter": op1_urlfilter, "op3_toxicity": op3_toxicity, "op4_minhash": op4_minhash, "op5_decontamination": op5_decontamination, "op6_html": op6_html, "op8_bpe": op8_bpe,
            "op9_pii": op9_pii}
 ORACLES: dict[str, str] = {"op1_urlfilter": OP1_SQL}
