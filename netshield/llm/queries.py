@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netshield.llm import bpe, decontaminate, minhash, pii, toxicity, urlfilter
+from netshield.llm import bpe, decontaminate, minhash, neighbours, pii, toxicity, urlfilter
 from netshield.llm import html as pages_html
 from netshield.llm.common import table
 
@@ -57,6 +57,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -82,6 +86,6 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",)))
 
 
-QUERIES = {"op1_urlfilter": op1_urlfilter, "op3_toxicity": op3_toxicity, "op4_minhash": op4_minhash, "op5_decontamination": op5_decontamination, "op6_html": op6_html, "op8_bpe": op8_bpe,
+QUERIES = {"op1_urlfilter": op1_urlfilter, "op2_neighbours": op2_neighbours, "op3_toxicity": op3_toxicity, "op4_minhash": op4_minhash, "op5_decontamination": op5_decontamination, "op6_html": op6_html, "op8_bpe": op8_bpe,
            "op9_pii": op9_pii}
 ORACLES: dict[str, str] = {"op1_urlfilter": OP1_SQL}
