@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netshield.llm import bpe, decontaminate, minhash, neighbours, pii, toxicity, urlfilter
+from netshield.llm import bpe, decontaminate, minhash, neighbours, pii, preference, toxicity, urlfilter, warc
 from netshield.llm import html as pages_html
 from netshield.llm.common import table
 
@@ -82,10 +82,79 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_html.extract(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_pairs(preference.halved_answers(table(spark, sf_dir, "conversations")))
+
+
+OP7_SQL = """
+WITH ends AS (SELECT conv_id, max(turn) AS final FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+joined AS (SELECT c.*, e.final FROM conversations c LEFT JOIN ends e ON c.conv_id IS NOT DISTINCT FROM e.conv_id),
+sides AS (
+  SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM joined
+  UNION ALL
+  SELECT conv_id, 'rejected', turn, role,
+    CASE WHEN turn = final AND role = 'assistant' THEN left(text, length(text) // 2) ELSE text END
+  FROM joined WHERE final IS NULL OR turn IS NULL OR turn <= final),
+rows_ AS (SELECT pair_id, side, coalesce(turn, -9223372036854775808) AS turn, coalesce(role, 'user') AS role,
+  coalesce(text, '') AS text FROM sides),
+apart AS (
+  SELECT pair_id, min(turn) AS first_turn FROM (
+    SELECT pair_id, turn, role, text FROM rows_ GROUP BY ALL
+    HAVING count(*) FILTER (side = 'chosen') <> count(*) FILTER (side = 'rejected')) GROUP BY pair_id),
+placed AS (
+  SELECT r.*, coalesce(r.turn < a.first_turn, true) AS shared
+  FROM rows_ r LEFT JOIN apart a ON r.pair_id IS NOT DISTINCT FROM a.pair_id)
+SELECT pair_id, CASE WHEN shared THEN 'prompt' ELSE side END AS part, turn, role,
+  '<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS rendered,
+  NOT shared AND role = 'assistant' AS trained
+FROM placed WHERE NOT shared OR side = 'chosen'
+"""
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(warc.captures_of(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.select("record_id", "url", "ts", "refers_to", "outcome", F.array_join(lines, "\n").alias("headers"), "digest")
+
+
+OP10_SQL = r"""
+WITH base AS (
+  SELECT page_id AS n, url, '"' || left(md5(coalesce(html, '')), 16) || '"' AS tag, 'day ' || (page_id % 1000) AS modified,
+    strlen(coalesce(html, '')) AS bytes, sha256(coalesce(html, '')) AS digest,
+    regexp_replace(url, '#.*$', '') AS bare FROM pages),
+named AS (
+  SELECT *, regexp_extract(substr(bare, instr(bare, '://') + 3), '^([^/?]*)', 1) AS host,
+    regexp_replace(regexp_extract(substr(bare, instr(bare, '://') + 3), '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '' AND split_part(p, '=', 1) NOT IN
+      ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'gclid', 'fbclid', 'ref', 'sessionid'))) AS params
+  FROM base),
+keyed AS (
+  SELECT *, regexp_replace(lower(host), '^www\.', '') || path
+    || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical FROM named),
+revisits AS (
+  SELECT *, n * 2 + 1 AS record_id, n * 10 + 5 + (n * 7 % 50) * 10 AS ts, bare || '#again' AS shown,
+    CASE WHEN n % 5 = 0 THEN NULL WHEN n % 7 = 0 THEN '"other"' WHEN n % 11 = 0 THEN 'W/' || tag ELSE tag END AS sent_tag,
+    CASE WHEN n % 5 <> 0 THEN NULL WHEN n % 10 = 0 THEN 'never' ELSE modified END AS sent_date FROM keyed),
+met AS (
+  SELECT r.record_id, r.shown, r.ts, r.n, r.sent_tag, r.sent_date, b.n AS base_n, b.tag, b.modified, b.bytes, b.digest,
+    CASE WHEN r.sent_tag IS NOT NULL THEN regexp_replace(r.sent_tag, '^W/', '') = b.tag
+         ELSE r.sent_date = b.modified END AS agree
+  FROM revisits r ASOF LEFT JOIN (SELECT *, n * 10 AS ts FROM keyed) b ON r.canonical = b.canonical AND r.ts > b.ts)
+SELECT record_id, shown AS url, ts, CASE WHEN agree THEN base_n * 2 END AS refers_to,
+  CASE WHEN base_n IS NULL THEN 'missing' WHEN agree THEN 'resolved' ELSE 'changed' END AS outcome,
+  CASE WHEN agree THEN 'content-length: ' || bytes || chr(10) || 'content-type: text/html' || chr(10) || 'date: at ' || n || chr(10)
+         || 'etag: ' || coalesce(sent_tag, tag) || chr(10) || 'last-modified: ' || coalesce(sent_date, modified)
+       ELSE 'content-length: 0' || chr(10) || 'date: at ' || n || chr(10)
+         || coalesce('etag: ' || sent_tag, 'last-modified: ' || sent_date) END AS headers,
+  CASE WHEN agree THEN digest END AS digest
+FROM met
+"""
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",)))
 
 
-QUERIES = {"op1_urlfilter": op1_urlfilter, "op2_neighbours": op2_neighbours, "op3_toxicity": op3_toxicity, "op4_minhash": op4_minhash, "op5_decontamination": op5_decontamination, "op6_html": op6_html, "op8_bpe": op8_bpe,
-           "op9_pii": op9_pii}
-ORACLES: dict[str, str] = {"op1_urlfilter": OP1_SQL}
+QUERIES = {"op1_urlfilter": op1_urlfilter, "op2_neighbours": op2_neighbours, "op3_toxicity": op3_toxicity, "op4_minhash": op4_minhash, "op5_decontamination": op5_decontamination, "op6_html": op6_html, "op7_preference": op7_preference, "op8_bpe": op8_bpe,
+           "op9_pii": op9_pii, "op10_warc": op10_warc}
+ORACLES: dict[str, str] = {"op1_urlfilter": OP1_SQL, "op7_preference": OP7_SQL, "op10_warc": OP10_SQL}
