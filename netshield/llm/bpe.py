@@ -23,6 +23,13 @@ from netshield.llm.common import text_or_empty
 BLOCK = 100_000
 
 
+def public_files() -> tuple[str, str]:
+    """Rank file and pre-splitting pattern of the installed public tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 @lru_cache(maxsize=4)
 def _encoding(rank_path: str, pattern: str):
     import tiktoken

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netshield.llm.common import text_or_empty
+from netshield.llm.common import fresh, quoted, text_or_empty
 from netshield.llm.components import components
 from netshield.session import settle
 
@@ -283,7 +283,7 @@ def _all_across(rest: DataFrame, share: int) -> DataFrame:
 
 def near_duplicates(df: DataFrame, words: int = 5, share: int = 80, id: str = "doc_id",
                     text: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id, kept``.
+    """One row per input row: ``doc_id, text_hash, n_shingles, component_id, kept``.
 
     Rows are linked when ``100 * |A and B| >= share * |A or B|`` for their sets of ``words``-word
     shingles. ``component_id`` is the smallest id that links reach, ``kept`` whether that is the
@@ -342,7 +342,20 @@ def near_duplicates(df: DataFrame, words: int = 5, share: int = 80, id: str = "d
     of_class = (classes.withColumn("node", F.xxhash64("digest"))
                 .join(named.select("node", "component"), "node", "left")
                 .select("digest", F.coalesce("component", "id").alias("component")))
-    result = rows.select("id", "n_shingles", "digest").join(of_class, "digest", "left")
+    result = rows.select("id", "mark", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return result.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"),
+    return result.select(F.col("id").alias("doc_id"), F.col("mark").alias("text_hash"), "n_shingles", component.alias("component_id"),
                          F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(df: DataFrame, words: int = 5, share: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group of ``near_duplicates``: the one with the smallest id.
+
+    All columns stay. Of rows with equal id and text one stays; rows without an id or words stay.
+    """
+    id_key, mark = fresh(df, "id_key"), fresh(df, "mark")
+    number = F.coalesce(F.col(quoted(id)).cast("bigint"), F.lit(-(1 << 63)))
+    kept = (near_duplicates(df, words, share, id, text).filter("kept")
+            .select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias(id_key), F.col("text_hash").alias(mark)).distinct())
+    marked = df.withColumns({id_key: number, mark: F.xxhash64(text_or_empty(text))})
+    return marked.join(kept, [id_key, mark], "left_semi").dropDuplicates([id_key, mark]).drop(id_key, mark)

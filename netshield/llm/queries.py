@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from netshield.llm import bpe, decontaminate, minhash, neighbours, pii, preference, toxicity, urlfilter, warc
 from netshield.llm import html as pages_html
 from netshield.llm.common import table
@@ -39,22 +41,16 @@ FROM parts
 """
 
 
-def bpe_files() -> tuple[str, str]:
-    """Rank file and pre-splitting pattern of the public tokenizer."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-
-
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks, pattern = bpe_files()
+    ranks, pattern = bpe.public_files()
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = bpe.encode(documents, ranks, pattern).select("doc_id", "tokens", "n_tokens")
     return bpe.digests(bpe.decode(encoded, ranks, pattern))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,5 +152,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_urlfilter": op1_urlfilter, "op2_neighbours": op2_neighbours, "op3_toxicity": op3_toxicity, "op4_minhash": op4_minhash, "op5_decontamination": op5_decontamination, "op6_html": op6_html, "op7_preference": op7_preference, "op8_bpe": op8_bpe,
-           "op9_pii": op9_pii, "op10_warc": op10_warc}
+           "op9_pii": op9_pii, "op10_warc": op10_warc,
+           "pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {"op1_urlfilter": OP1_SQL, "op7_preference": OP7_SQL, "op10_warc": OP10_SQL}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -161,9 +161,9 @@ def _log_odds(of_text: list[np.ndarray], labels: np.ndarray, buckets: int, rate:
     return (seen >= 3) * np.clip(np.log(share / (1 - share)) - np.log(rate / (1 - rate)), -3, 6).astype(np.float32)
 
 
-def train(texts: list[str], labels: list[int], rate: float, epochs: int = 8, batch: int = 96, seed: int = 1,
-          step: float = 0.01) -> Model:
-    """Fit the network; without texts of both labels, every text scores ``rate``."""
+def train(texts: list[str], labels: list[int], rate: float, steps: int = 420, batch: int = 96, seed: int = 1,
+          rate_of_steps: float = 0.01) -> Model:
+    """Fit the network in about ``steps`` steps; without texts of both labels, every text scores ``rate``."""
     y = np.asarray(labels, np.float32)
     if len(y) == 0 or y.min() == y.max():
         return Model({}, rate)
@@ -222,7 +222,7 @@ def train(texts: list[str], labels: list[int], rate: float, epochs: int = 8, bat
         return logits, cache, made, mask
 
     count = 0
-    for epoch in range(epochs):
+    for epoch in range(max(2, -(-steps * batch // max(1, len(usable))))):
         if epoch == 0:
             chosen = begin[usable]
         else:
@@ -259,7 +259,7 @@ def train(texts: list[str], labels: list[int], rate: float, epochs: int = 8, bat
                 m, s = moments[name]
                 m += 0.1 * (value - m)
                 s += 0.01 * (value * value - s)
-                w[name] -= step * (m / (1 - 0.9 ** count)) / (np.sqrt(s / (1 - 0.99 ** count)) + 1e-6)
+                w[name] -= rate_of_steps * (m / (1 - 0.9 ** count)) / (np.sqrt(s / (1 - 0.99 ** count)) + 1e-6)
     return model
 
 

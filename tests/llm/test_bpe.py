@@ -4,9 +4,9 @@ import struct
 import pytest
 
 from netshield.llm import bpe
-from netshield.llm.queries import bpe_files, op8_bpe
+from netshield.llm.queries import op8_bpe
 
-RANKS, PATTERN = bpe_files()
+RANKS, PATTERN = bpe.public_files()
 TEXTS = [None, "", " ", "a", "Hello  world\n\n it's  ", "  \n x", "naïve 東京 ١٢٣ 🙂", "a" * 3000,
          "word " * 500, "\n" * 2000 + "x", "x" + " " * 2000]
 

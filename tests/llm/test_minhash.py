@@ -39,6 +39,10 @@ def brute(rows, words, share=80):
                    for i, (d, s) in enumerate(zip(ids, sets))), key=repr)
 
 
+def plain(df):
+    return df.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def edited(rng, words, share):
     return [rng.choice("alpha beta gamma delta".split()) if rng.random() < share else w for w in words]
 
@@ -56,7 +60,7 @@ def test_matches_all_pairs(spark):
     rows += rows[15:20]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, bands int")
     for words in (2, 5):
-        got = sorted((tuple(r) for r in minhash.near_duplicates(df, words).collect()), key=repr)
+        got = sorted((tuple(r) for r in plain(minhash.near_duplicates(df, words)).collect()), key=repr)
         assert got == brute(rows, words)
 
 
@@ -82,7 +86,7 @@ def test_large_group_of_near_copies(spark, monkeypatch, small, shingles):
     base = [f"v{i}" for i in range(200)]
     rows = [(i, " ".join(edited(rng, base, rng.choice([0.04, 0.12])))) for i in range(250)] + [(1000 + i, "copy of one text here") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((tuple(r) for r in minhash.near_duplicates(df, 2).collect()), key=repr)
+    got = sorted((tuple(r) for r in plain(minhash.near_duplicates(df, 2)).collect()), key=repr)
     assert got == brute(rows, 2)
 
 
@@ -102,3 +106,12 @@ def test_query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     got = sorted((tuple(r) for r in op4_minhash(spark, sf_dir).collect()), key=repr)
     assert got == brute([(r.doc_id, r.text) for r in docs], 2)
+
+
+def test_keep_one(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "a"), (2, text, "b"), (3, "other words of another text here", "c"), (3, "other words of another text here", "c"),
+            (4, None, "d"), (None, text, "e"), (2, "yet another text with id two", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    got = sorted((tuple(r) for r in minhash.keep_one(df).collect()), key=repr)
+    assert got == sorted([rows[0], rows[2], rows[4], rows[5], rows[6]], key=repr)
