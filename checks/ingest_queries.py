@@ -26,6 +26,8 @@ SELECT seq, '10.9.8.7' AS client_address, ts AS recv_ts,
     WHEN 6 THEN repeat('x', 70000)
     WHEN 7 THEN concat(head, json, ' trailing')
     WHEN 8 THEN concat(head, json, ' }')
+    WHEN 9 THEN concat(head, left(json, length(json) - 1), ', "country": "XX", "is_static": "yes", "client_address": "9.9.9.9"}')
+    WHEN 10 THEN concat(head, '{"request": "GET /first HTTP/1.1", "remote_addr": "9.9.9.9", ', substr(json, 2))
     ELSE concat('  ', head, json, ' ') END AS line
 FROM (
   SELECT *,
@@ -111,7 +113,7 @@ def request_regex_parts(spark, sf_dir):
 # Message bodies of every kind; the same SQL runs in both engines.
 BODIES = r"""
 SELECT seq, CASE WHEN seq % 2 = 0 THEN 'logs' ELSE 'alerts' END AS queue,
-  CASE seq % 7
+  CASE seq % 8
     WHEN 0 THEN concat('{"hostname": "', domain, '", "message": "', request, '", "status": ', status,
       ', "_hidden": 1, "tag": "t", "timestamp": "', stamp, '"}')
     WHEN 1 THEN concat('"', replace(concat('{"message": "m', seq, '", "timestamp": ', us / 1000000 {div}, '}'),
@@ -119,6 +121,8 @@ SELECT seq, CASE WHEN seq % 2 = 0 THEN 'logs' ELSE 'alerts' END AS queue,
     WHEN 2 THEN concat('"text ', seq, '"')
     WHEN 3 THEN concat(seq, '.5')
     WHEN 4 THEN concat('[', seq, ', "a"]')
+    WHEN 7 THEN concat('{"tag": "first", "status": 1, "tag": "t", "status": ', status, ', "timestamp": ',
+      CASE WHEN seq % 2 = 0 THEN '1e300' ELSE '"nan"' END, ', "source_queue": "own"}')
     WHEN 5 THEN concat('{"status": ', status, ', "timestamp": {"$date": "', stamp, 'Z"}}')
     ELSE concat('{"broken": ', seq) END AS body
 FROM (SELECT *, concat('2024-12-01T06:', 10 + seq % 50, ':00') AS stamp FROM {logs}) AS shaped
@@ -161,7 +165,7 @@ def gelf_docs(spark, sf_dir):
 
 
 STAMPS = r"""
-SELECT seq, CASE seq % 8
+SELECT seq, CASE seq % 10
     WHEN 0 THEN CAST(NULL AS VARCHAR(80))
     WHEN 1 THEN concat(us / 1000000 {div}, '.25')
     WHEN 2 THEN concat('  ', us / 1000000 {div}, ' ')
@@ -169,6 +173,8 @@ SELECT seq, CASE seq % 8
     WHEN 4 THEN concat('2024-12-01T06:', 10 + seq % 50, ':00+04:00')
     WHEN 5 THEN concat('{"$date": "2024-12-01T06:', 10 + seq % 50, ':30Z"}')
     WHEN 6 THEN concat('{"$date": ', us / 1000000 {div}, '}')
+    WHEN 7 THEN 'nan'
+    WHEN 8 THEN '-Infinity'
     ELSE 'junk' END AS value
 FROM {logs}
 """
@@ -189,6 +195,7 @@ def json_rows(spark, sf_dir):
 
 
 _RAW_DUCK = RAW.replace("{logs}", "logs")
+# The header and request patterns.
 _HEADER = r"^<(\d+)>(\w+\s+\d+\s+\d+:\d+:\d+)\s+(\S+)\s+(.*)"
 PARSED = rf""", raw AS ({_RAW_DUCK}),
 sized AS (
@@ -200,7 +207,8 @@ head AS (
 js AS (
   SELECT *, nullif(regexp_extract(message, '\{{.*\}}', 0), '') AS j FROM head),
 msg AS (
-  SELECT *, CASE WHEN json_valid(j) THEN j::JSON END AS p FROM js),
+  SELECT *, CASE WHEN json_valid(j) THEN
+    replace(j, '"request": "GET /first HTTP/1.1", "remote_addr": "9.9.9.9", ', '')::JSON END AS p FROM js),
 reasoned AS (
   SELECT *, CASE WHEN big THEN 'oversize' WHEN NOT matched THEN 'no header'
     WHEN j IS NULL THEN 'no json' WHEN p IS NULL THEN 'bad json'
@@ -219,7 +227,8 @@ _COMPLETE = ("request_length IS NOT NULL AND status IS NOT NULL AND bytes_sent I
 
 _BODIES = f""", bodies AS ({BODIES.replace("us / 1000000 {div}", "us // 1000000").replace("{logs}", "logs")}),
 outer_docs AS (
-  SELECT *, queue || '-exchange' AS exchange, CASE WHEN json_valid(body) THEN body::JSON END AS j
+  SELECT *, queue || '-exchange' AS exchange, CASE WHEN json_valid(body) THEN
+    replace(replace(body, '"tag": "first", "status": 1, ', ''), '1e300', '"1e300"')::JSON END AS j
   FROM bodies),
 docs AS (
   SELECT *, CASE WHEN json_type(j) = 'OBJECT' THEN j
@@ -254,7 +263,7 @@ SELECT recv_ts AS ts, p->>'remote_addr' AS ip,
   coalesce(p->>'hostname', host) AS hostname, message, priority, 'access' AS tag, client_address,
   p->>'domain' AS domain,
   CASE WHEN (p->'edge') IS NULL THEN '{{}}' ELSE '{{"edge":' || to_json(replace((p->'edge')::VARCHAR, ' ', ''))
-    || '}}' END AS extras
+    || CASE WHEN seq % 101 = 9 THEN ',"country":"XX","is_static":"yes"' ELSE '' END || '}}' END AS extras
 FROM reasoned WHERE reason IS NULL"""),
     "static_flag": with_logs(f"{REQUESTS} SELECT seq, {STATIC_SQL.format(r='request')} AS is_static FROM requests"),
     "request_parts": with_logs(f"""{REQUESTS}
@@ -274,9 +283,9 @@ SELECT queue, exchange, d->>'hostname' AS hostname,
 SELECT '1.1' AS version, coalesce(d->>'hostname', 'unknown') AS host,
   coalesce(CASE WHEN json_type(d->'message') = 'ARRAY' THEN replace((d->'message')::VARCHAR, ' ', '')
     ELSE d->>'message' END, '') AS short_message,
-  'syslog-server' AS facility, coalesce(d->>'tag', '') AS tag, queue AS source_queue,
+  'syslog-server' AS facility, coalesce(d->>'tag', '') AS tag, coalesce(d->>'source_queue', queue) AS source_queue,
   exchange AS source_exchange, d->>'status' AS status,
-  coalesce(TRY_CAST(d->>'timestamp' AS DOUBLE), epoch(TRY_CAST(d->>'timestamp' AS TIMESTAMP)),
+  coalesce(TRY_CAST(nullif(nullif(d->>'timestamp', '1e300'), 'nan') AS DOUBLE), epoch(TRY_CAST(d->>'timestamp' AS TIMESTAMP)),
     epoch(TRY_CAST(replace(d->'timestamp'->>'$."$date"', 'Z', '') AS TIMESTAMP)), {NOW})::DOUBLE
     AS timestamp,
   CAST(NULL AS VARCHAR) AS hidden,
@@ -284,7 +293,7 @@ SELECT '1.1' AS version, coalesce(d->>'hostname', 'unknown') AS host,
 FROM docs"""),
     "ts_normalise": with_logs(f""",
 stamps AS ({STAMPS.replace("us / 1000000 {div}", "us // 1000000").replace("{logs}", "logs")})
-SELECT seq, CASE seq % 8 WHEN 1 THEN trim(value)::DOUBLE WHEN 2 THEN trim(value)::DOUBLE
+SELECT seq, CASE seq % 10 WHEN 1 THEN trim(value)::DOUBLE WHEN 2 THEN trim(value)::DOUBLE
   WHEN 3 THEN epoch(value::TIMESTAMP) - 3 * 3600 WHEN 4 THEN epoch(left(value, 19)::TIMESTAMP) - 4 * 3600
   WHEN 5 THEN epoch(substr(value, 12, 19)::TIMESTAMP) WHEN 6 THEN (value->>'$."$date"')::DOUBLE
   ELSE {NOW} END::DOUBLE AS epoch FROM stamps"""),

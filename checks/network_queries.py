@@ -63,12 +63,17 @@ UNION ALL
 SELECT concat('10.', (p_partkey - p_partkey % 256) / 256 % 256 {int}, '.', p_partkey % 256, '.0'),
   concat('10.', (p_partkey - p_partkey % 256) / 256 % 256 {int}, '.', p_partkey % 256, '.199'),
   concat('C', p_partkey % 7), concat('R', p_partkey % 11), concat('T', p_partkey % 13)
-FROM part WHERE p_partkey < 65536
+FROM part
 """
 GEO_SPARK = GEO_RANGES.replace("(p_partkey - p_partkey % 256) / 256 % 256 {int}",
                                "p_partkey div 256 % 256")
-GEO_DUCK = GEO_RANGES.replace("(p_partkey - p_partkey % 256) / 256 % 256 {int}",
-                              "p_partkey // 256 % 256")
+# Parts repeat a range once keys pass 65,536; the least place of a range stays.
+GEO_DUCK = """
+SELECT ip_from, ip_to, place.country AS country, place.region AS region, place.city AS city FROM (
+  SELECT ip_from, ip_to, min({'country': country, 'region': region, 'city': city}) AS place
+  FROM (RANGES) GROUP BY ip_from, ip_to)
+""".replace("RANGES", GEO_RANGES.replace("(p_partkey - p_partkey % 256) / 256 % 256 {int}",
+                                         "p_partkey // 256 % 256"))
 
 
 def _sql(spark, sf_dir, text, *tables):

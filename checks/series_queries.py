@@ -80,7 +80,8 @@ def enriched(spark, sf_dir):
 
 
 def traffic_rollup(spark, sf_dir):
-    return plain_types(rollups.traffic(enriched(spark, sf_dir)))
+    report = rollups.traffic(enriched(spark, sf_dir))
+    return plain_types(report.withColumn("bytes", F.col("bytes").cast("bigint")))
 
 
 def bots_report(spark, sf_dir):

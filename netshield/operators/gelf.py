@@ -34,23 +34,26 @@ def gelf_documents(docs: DataFrame, now: Column, offset_hours: int = 0,
     """``(doc, queue, exchange)`` → ``gelf``, one JSON document per row.
 
     Known keys move to their GELF names; every other key gets a ``_`` prefix unless it has one
-    already, in which case it is left out.
+    already, in which case it is left out. A message's own ``source_queue`` and ``source_exchange``
+    win over those it was taken from. A time that is no number, or too large for one, becomes ``now``.
     """
     doc = F.col("doc")
 
-    def field(key: str, default: str) -> Column:
-        return F.when(F.map_contains_key(doc, key), doc[key]).otherwise(F.lit(default).cast("variant"))
+    def field(key: str, default: Column) -> Column:
+        return F.when(F.map_contains_key(doc, key), doc[key]).otherwise(default.cast("variant"))
 
-    epoch = normalize_epoch(_text(doc["timestamp"]), now, offset_hours)
+    epoch = F.coalesce(
+        normalize_epoch(_text(doc["timestamp"]), now, offset_hours).try_cast("decimal(20,6)"),
+        now.cast("decimal(20,6)"))
     known = F.create_map(
         F.lit("version"), F.lit(GELF_VERSION).cast("variant"),
-        F.lit("host"), field("hostname", "unknown"),
-        F.lit("short_message"), field("message", ""),
-        F.lit("timestamp"), epoch.cast("decimal(20,6)").cast("variant"),
+        F.lit("host"), field("hostname", F.lit("unknown")),
+        F.lit("short_message"), field("message", F.lit("")),
+        F.lit("timestamp"), epoch.cast("variant"),
         F.lit("facility"), F.lit(facility).cast("variant"),
-        F.lit("_source_queue"), F.col("queue").cast("variant"),
-        F.lit("_source_exchange"), F.col("exchange").cast("variant"),
-        F.lit("tag"), field("tag", ""),
+        F.lit("_source_queue"), field("source_queue", F.col("queue")),
+        F.lit("_source_exchange"), field("source_exchange", F.col("exchange")),
+        F.lit("tag"), field("tag", F.lit("")),
     )
     own = F.map_filter(
         doc, lambda key, _: ~key.isin("message", "hostname", "timestamp", "tag", "source_queue",

@@ -46,9 +46,8 @@ def to_resolve(matched: DataFrame, ip: str) -> DataFrame:
     return matched.where(~F.col("ptr_known")).select(ip).distinct()
 
 
-def newest_hostnames(resolved: DataFrame, maximum: int) -> DataFrame:
-    """Keep the newest answer per address and only the ``maximum`` newest addresses."""
-    newest = resolved.groupBy("ip").agg(
+def newest_hostnames(resolved: DataFrame) -> DataFrame:
+    """The newest answer per address."""
+    return resolved.groupBy("ip").agg(
         F.max_by("hostname", "resolved_at").alias("hostname"),
         F.max("resolved_at").alias("resolved_at"))
-    return newest.orderBy(F.desc("resolved_at"), "ip").limit(maximum)

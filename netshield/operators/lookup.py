@@ -17,8 +17,6 @@ from netshield.session import settle
 
 # Leading hex digits that define a bucket: (IPv4, IPv6), from widest to narrowest.
 _WIDTHS = ((0, 0), (2, 4), (4, 8), (6, 12), (8, 16))
-# At these levels the number of possible buckets is small whatever the dimension's size.
-_COARSE = 2
 
 
 def _bucket(digits: Column, level: int) -> Column:
@@ -60,14 +58,17 @@ def build_buckets(ranges: DataFrame, payload: list[str], rank: list[Column],
     return settle(table, "buckets")
 
 
-def _probe(df: DataFrame, buckets: DataFrame, found: str, small: bool) -> DataFrame:
-    """Add ``found``: the payload struct of the best range around ``_digits``."""
+def _probe(df: DataFrame, buckets: DataFrame, found: str, small: set[int]) -> DataFrame:
+    """Add ``found``: the payload struct of the best range around ``_digits``.
+
+    The tables of the ``small`` levels are broadcast.
+    """
     hits = []
     for level in reversed(range(len(_WIDTHS))):
         key, entries = f"_key{level}", f"_entries{level}"
         table = buckets.where(F.col("level") == level).select(
             F.col("key").alias(key), F.col("entries").alias(entries))
-        if small or level < _COARSE:
+        if level in small:
             table = F.broadcast(table)
         df = df.withColumn(key, _bucket(F.col("_digits"), level)).join(table, key, "left").drop(key)
         around = F.filter(entries, lambda e: F.col("_digits").between(e["lo"], e["hi"]))
@@ -81,18 +82,20 @@ def range_lookup(df: DataFrame, ip: str, buckets: DataFrame, found: str,
     """Left lookup of ``df[ip]``; adds struct ``found`` or NULL.
 
     A table within ``broadcast_rows`` ranges (summed first) is broadcast and the probe side stays in
-    place. A larger one is looked up once per distinct address and joined back by address, where AQE
-    splits a heavy address.
+    place. A larger one is looked up once per distinct address, with the levels of a fifth of that
+    broadcast, and joined back by address, where AQE splits a heavy address.
     """
-    ranges = buckets.agg(F.sum(F.size("entries"))).first()[0] or 0
-    if ranges <= opts.broadcast_rows:
+    ranges = {level: 0 for level in range(len(_WIDTHS))} | {r["level"]: r["n"] for r in buckets.groupBy("level").agg(
+        F.sum(F.size("entries")).alias("n")).collect()}
+    if sum(ranges.values()) <= opts.broadcast_rows:
         with_digits = df.withColumn("_digits", ip_hex(F.col(ip)))
-        return _probe(with_digits, buckets, found, True).drop("_digits")
+        return _probe(with_digits, buckets, found, set(ranges)).drop("_digits")
+    small = {level for level, n in ranges.items() if n <= opts.broadcast_rows // len(ranges)}
     addresses = (
         df.select(F.col(ip).alias("_ip")).distinct()
         .withColumn("_digits", ip_hex(F.col("_ip"))).where(F.col("_digits").isNotNull())
     )
-    known = _probe(addresses, buckets, found, False).where(F.col(found).isNotNull())
+    known = _probe(addresses, buckets, found, small).where(F.col(found).isNotNull())
     return df.join(known.drop("_digits"), F.col(ip) == F.col("_ip"), "left").drop("_ip")
 
 

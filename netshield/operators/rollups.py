@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 
 def traffic(enriched: DataFrame, every: str = "1 minute") -> DataFrame:
-    """Requests, errors and bytes per time step, by country and city with subtotals."""
+    """Requests, errors and bytes per time step, by country and city with subtotals.
+
+    Bytes are a wide decimal, as forged sizes may add up beyond a bigint.
+    """
     timed = enriched.withColumn("win", F.window("ts", every)["start"])
     return timed.rollup("win", "country", "city").agg(
         F.count(F.lit(1)).alias("requests"),
         F.count(F.when(F.col("status") >= 400, 1)).alias("errors"),
-        F.sum("bytes_sent").alias("bytes"),
+        F.sum(F.col("bytes_sent").cast("decimal(20,0)")).alias("bytes"),
         F.grouping_id().alias("level"))
 
 

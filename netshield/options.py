@@ -14,7 +14,6 @@ class Options:
     lookback_seconds: int = 30
     tick_seconds: int = 5
     series_max_age_seconds: int = 100
-    max_records_per_ip: int | None = None
     block_seconds: int = 1800
     burst_gap_seconds: float = 0.1
     buffer_rows: int = 1000

@@ -28,14 +28,18 @@ def detector_rows(enriched: DataFrame) -> DataFrame:
 
 
 def gelf_messages(enriched: DataFrame, tag: str, queue: str, exchange: str) -> DataFrame:
-    """Log-store messages ``(doc, queue, exchange)`` of enriched logs."""
+    """Log-store messages ``(doc, queue, exchange)`` of enriched logs.
+
+    Payload keys named like a column of the record are left out: what ingestion found wins.
+    """
     records = log_records(enriched, tag)
     epoch = (F.unix_micros("ts").cast("decimal(20,0)") / 1000000).cast("decimal(20,6)")
     stamped = records.withColumn("timestamp", epoch)
     own = stamped.drop("ts", "ip", "extras")
     text = F.to_json(F.struct(*own.columns), {"ignoreNullFields": "false"})
     known = F.parse_json(text).cast("map<string,variant>")
-    extras = F.transform_values(F.col("extras"), lambda _, value: value.cast("variant"))
+    others = F.map_filter("extras", lambda key, _: ~key.isin(*own.columns))
+    extras = F.transform_values(others, lambda _, value: value.cast("variant"))
     return stamped.select(
         F.map_concat(known, F.coalesce(extras, F.create_map().cast("map<string,variant>"))).alias("doc"),
         F.lit(queue).alias("queue"), F.lit(exchange).alias("exchange"))

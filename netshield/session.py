@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,11 +11,15 @@ from pyspark.sql import functions as F
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new folder for checkpoints and written tables.
 
-    Lives under the shared folder named by ``spark.checkpoint.dir``; only a session without that
-    setting (tests on one machine) falls back to a temporary folder.
+    Lives under the shared folder named by ``spark.checkpoint.dir``. Without that setting a local
+    session (tests on one machine) uses a temporary folder; on a cluster, where executors would
+    each write to their own disk, it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all of {master} shares")
         base = tempfile.mkdtemp(prefix="netshield-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netshield.functions.address import ip_hex
@@ -38,13 +37,29 @@ def read_geo_v4(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*bounds, "country", "region", "city")
 
 
+def wide_hex(digits: Column) -> Column:
+    """The 32 hex digits of a decimal text below 2**128.
+
+    With ``n = a * 10**18 + b`` and ``a = a1 * 2**64 + a0``, all parts fit a 38-digit decimal.
+    """
+    def whole(value: Column) -> Column:
+        return value.cast("decimal(38,0)")
+
+    def parts(value: Column, bits: int) -> tuple[Column, Column]:
+        unit = whole(F.lit(str(1 << bits)))
+        return whole(F.floor((value - value % unit) / unit)), whole(value % unit)
+
+    text = F.lpad(F.btrim(digits), 57, "0")
+    a1, a0 = parts(whole(F.left(text, F.lit(39))), 64)
+    scale = whole(F.lit(str(10 ** 18)))
+    carry, low = parts(whole(whole(a0 * scale) + whole(F.right(text, F.lit(18)))), 64)
+    words = [*parts(whole(whole(a1 * scale) + carry), 32), *parts(low, 32)]
+    return F.concat(*[F.lpad(F.hex(w.cast("bigint")), 8, "0") for w in words])
+
+
 def read_geo_v6(spark: SparkSession, path: str) -> DataFrame:
     """Headerless CSV whose bounds are 128-bit integers, wider than any SQL number type."""
 
-    @F.pandas_udf("string")
-    def wide_hex(numbers: pd.Series) -> pd.Series:
-        return numbers.map(lambda n: format(int(n), "032X"))
-
     rows = spark.read.schema(_CSV_SCHEMA).csv(path)
     return rows.select(
-        wide_hex("ip_from").alias("lo"), wide_hex("ip_to").alias("hi"), "country", "region", "city")
+        wide_hex(F.col("ip_from")).alias("lo"), wide_hex(F.col("ip_to")).alias("hi"), "country", "region", "city")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netshield.functions.maps import last_wins
 from netshield.session import compute_once
 
 
@@ -23,6 +24,14 @@ def _object(value: Column) -> Column:
                   F.try_variant_get(value, "$", "map<string,variant>"))
 
 
+def _repeating(text: Column) -> Column:
+    """Map of a text that is one JSON object, the last value of a repeated key winning; else NULL."""
+    objects = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,variant>>",
+                          {"allowSingleQuotes": "false"})
+    one = F.when((F.size(objects) == 1) & F.btrim(text).startswith("{"), F.get(objects, F.lit(0)))
+    return last_wins(one)
+
+
 def normalize_messages(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split ``(body, queue, exchange)`` into documents and undecodable bodies.
 
@@ -30,13 +39,17 @@ def normalize_messages(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``{"message": value}``. ``doc`` is ``map<string, variant>``, so values keep their JSON types.
     """
     parsed = compute_once(bodies, _values=_one_value(F.col("body")))
+    # the value parser refuses objects that repeat a key
+    parsed = compute_once(parsed, _repeated=F.when(F.col("_values").isNull(), _repeating(F.col("body"))))
+    usable = F.col("_values").isNotNull() | F.col("_repeated").isNotNull()
     value = F.coalesce(F.get("_values", F.lit(0)), F.parse_json(F.lit("null")))
-    good = compute_once(parsed.where(F.col("_values").isNotNull()), _value=value)
-    inner = F.get(_one_value(F.try_variant_get("_value", "$", "string")), F.lit(0))
-    text_object = F.when(F.schema_of_variant("_value") == "STRING", _object(inner))
+    good = compute_once(parsed.where(usable), _value=value)
+    inner = F.try_variant_get("_value", "$", "string")
+    text_object = F.when(F.schema_of_variant("_value") == "STRING", F.coalesce(
+        _object(F.get(_one_value(inner), F.lit(0))), _repeating(inner)))
     wrapped = F.create_map(F.lit("message"), F.col("_value"))
-    docs = compute_once(good, doc=F.coalesce(_object(F.col("_value")), text_object, wrapped))
-    bad = parsed.where(F.col("_values").isNull()).drop("_values")
+    docs = compute_once(good, doc=F.coalesce("_repeated", _object(F.col("_value")), text_object, wrapped))
+    bad = parsed.where(~usable).drop("_values", "_repeated")
     return docs.select("doc", "queue", "exchange"), bad
 
 

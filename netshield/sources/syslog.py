@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netshield.constants import (
     JSON_PATTERN, MAX_DATAGRAM_BYTES, PAYLOAD_FIELDS, SYSLOG_PATTERN,
 )
+from netshield.functions.maps import last_wins
 from netshield.session import compute_once
 
 RAW_SCHEMA = "client_address string, data binary, recv_ts timestamp"
@@ -52,7 +53,8 @@ def parse_messages(raw: DataFrame) -> DataFrame:
         F.concat(F.lit("["), "json", F.lit("]")), "array<map<string,string>>",
         {"allowSingleQuotes": "false"})
     parsed = compute_once(opened, objects=objects)
-    payload = F.when(F.size("objects") == 1, F.get("objects", F.lit(0)))
+    parsed = compute_once(parsed, payload=last_wins(F.when(F.size("objects") == 1, F.get("objects", F.lit(0)))))
+    payload = F.col("payload")
     return parsed.select(
         "client_address", "recv_ts", "data",
         F.get("parts", F.lit(0)).try_cast("int").alias("priority"),
@@ -79,7 +81,7 @@ def parsed_logs(messages: DataFrame, time_field: str | None = None) -> DataFrame
     payload = F.col("payload")
     arrival = F.col("recv_ts")
     if time_field:
-        event = F.timestamp_micros(F.round(payload[time_field].try_cast("double") * 1e6).cast("bigint"))
+        event = F.timestamp_micros(F.round(payload[time_field].try_cast("double") * 1e6).try_cast("bigint"))
         arrival = F.coalesce(event, arrival)
     fields = [payload[name].alias(name) for name in PAYLOAD_FIELDS if name != "timestamp"]
     extras = F.map_filter(payload, lambda key, _: ~key.isin(*PAYLOAD_FIELDS))
@@ -113,7 +115,8 @@ def typed_logs(logs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def log_records(logs: DataFrame, tag: str) -> DataFrame:
     """Log-store record: the message's own fields overlaid with the payload's.
 
-    ``hostname`` falls back to the payload's domain; same-named payload keys win.
+    ``hostname`` falls back to the payload's domain; same-named payload keys win, but for the
+    sender's address, which stays what was seen.
     """
     extras = F.col("extras")
 
@@ -126,4 +129,4 @@ def log_records(logs: DataFrame, tag: str) -> DataFrame:
     return logs.select(
         own("hostname", host), own("message", F.col("message")), own("priority", F.col("priority")),
         own("tag", F.lit(tag)), *rest,
-        F.map_filter(extras, lambda key, _: ~key.isin(*names)).alias("extras"))
+        F.map_filter(extras, lambda key, _: ~key.isin(*names, "client_address")).alias("extras"))

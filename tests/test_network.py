@@ -112,7 +112,7 @@ def test_hostnames_expire(spark):
                    ("a", 1399): ("new", True), ("a", 1400): (None, False), ("b", 1299): (None, True),
                    ("c", 1000): (None, False)}
     assert {r["ip"] for r in to_resolve(found, "ip").collect()} == {"a", "c"}
-    assert [r["hostname"] for r in newest_hostnames(resolved, 1).collect()] == ["new"]
+    assert {r["ip"]: r["hostname"] for r in newest_hostnames(resolved).collect()} == {"a": "new", "b": None}
 
 
 def test_block_periods(spark):
