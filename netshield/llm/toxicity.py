@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
-from typing import Iterator
+from typing import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ WINDOW, STEP = 32, 16
 WORD_BUCKETS = CHAR_BUCKETS = 1 << 15
 SIZE, STATE, POOL = 12, 8, 8
 #: Bounds of the training sample: texts of each label, and characters of one text.
-POSITIVES, NEGATIVES, TRAINING_CHARS = 3000, 5000, 200_000
+POSITIVES, NEGATIVES, TRAINING_CHARS = 2000, 3000, 20_000
 #: Windows of one text that training keeps: those of the highest log odds.
 CANDIDATES = 4
 #: Words remembered by a Python worker, and words scored at once.
@@ -147,7 +147,7 @@ def _start(rng: np.random.Generator) -> dict[str, np.ndarray]:
             "va": drawn(POOL, scale=0.3), "wo": drawn(2 * STATE, scale=0.3), "bo": np.zeros(1, np.float32)}
 
 
-def _log_odds(of_text: list[np.ndarray], labels: np.ndarray, buckets: int, rate: float) -> np.ndarray:
+def _log_odds(of_text: Iterable[np.ndarray], labels: np.ndarray, buckets: int, rate: float) -> np.ndarray:
     """Smoothed log odds of label 1 among the texts that have each bucket, less the overall ones.
 
     Zero for buckets of fewer than three texts, which would only name those texts.
@@ -161,7 +161,7 @@ def _log_odds(of_text: list[np.ndarray], labels: np.ndarray, buckets: int, rate:
     return (seen >= 3) * np.clip(np.log(share / (1 - share)) - np.log(rate / (1 - rate)), -3, 6).astype(np.float32)
 
 
-def train(texts: list[str], labels: list[int], rate: float, steps: int = 420, batch: int = 96, seed: int = 1,
+def train(texts: list[str], labels: list[int], rate: float, steps: int = 160, batch: int = 96, seed: int = 1,
           rate_of_steps: float = 0.01) -> Model:
     """Fit the network in about ``steps`` steps; without texts of both labels, every text scores ``rate``."""
     y = np.asarray(labels, np.float32)
@@ -173,26 +173,31 @@ def train(texts: list[str], labels: list[int], rate: float, steps: int = 420, ba
         found = words_of(text)
         parts.append(np.fromiter((numbers.setdefault(x, len(numbers)) for x in found), np.int64, len(found)))
         sizes.append(len(found))
-    word, grams, lengths = hashes_of(list(numbers))
+    known = list(numbers)
+    word, grams, lengths = (np.concatenate(x) for x in zip(
+        *(hashes_of(known[k:k + 4096]) for k in range(0, len(known) or 1, 4096))))
     gram_at = np.concatenate([[0], np.cumsum(lengths)])
     w = _start(rng)
     sample_rate = float(np.clip(y.mean(), 0.01, 0.99))
-    odds_w = _log_odds([word[p] for p in parts], y, WORD_BUCKETS, sample_rate)
-    odds_c = _log_odds([np.concatenate([grams[gram_at[k]:gram_at[k + 1]] for k in np.unique(p)]) if len(p)
-                        else np.empty(0, int) for p in parts], y, CHAR_BUCKETS, sample_rate)
+    odds_w = _log_odds((word[p] for p in parts), y, WORD_BUCKETS, sample_rate)
+    odds_c = _log_odds((np.concatenate([grams[gram_at[k]:gram_at[k + 1]] for k in np.unique(p)]) if len(p)
+                        else np.empty(0, int) for p in parts), y, CHAR_BUCKETS, sample_rate)
     w["ew"][:, 0], w["odds"] = odds_w / 3, odds_c / 3
     hint = odds_w[word] + np.maximum.reduceat(odds_c[grams], gram_at[:-1]) if len(word) else np.empty(0)
 
     # the windows with the highest hints of every text, padded
-    flat = np.concatenate(parts)
-    owner, start, length = windows_of(np.asarray(sizes, np.int64))
-    offset = np.arange(WINDOW)
-    index = np.where(offset < length[:, None], flat[np.minimum(start[:, None] + offset, len(flat) - 1)], len(numbers))
-    best = np.sort(np.append(hint, 0)[index], 1)[:, -3:].sum(1)
-    order = np.lexsort((-best, owner))
-    rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
-    order = order[rank < CANDIDATES]
-    index, owner = index[order], owner[order]
+    hint, offset, pads = np.append(hint, 0), np.arange(WINDOW), len(numbers)
+    chosen_windows, owners = [], []
+    for k, part in enumerate(parts):
+        _, start, length = windows_of(np.array([len(part)], np.int64))
+        if len(start):
+            windows = np.where(offset < length[:, None], part[np.minimum(start[:, None] + offset, len(part) - 1)], pads)
+            best = np.argsort(-np.sort(hint[windows], 1)[:, -3:].sum(1), kind="stable")[:CANDIDATES]
+            chosen_windows.append(windows[best])
+            owners += [k] * len(best)
+    if not owners:
+        return Model({}, rate)
+    index, owner = np.concatenate(chosen_windows), np.array(owners)
     first, number = np.unique(owner, return_index=True)[1], np.bincount(owner, minlength=len(y))
     usable = np.flatnonzero(number)
     begin = np.zeros(len(y), np.int64)
