@@ -25,37 +25,52 @@ from pyspark.sql import functions as F
 from netshield.llm.common import quoted, text_or_empty
 from netshield.llm.minhash import mix
 
-Q, PROBE, EDITS = 7, 100, 0.12
+Q, PROBE, EDITS = 7, 100, 0.1
 #: Normalised items with fewer characters identify nothing and are left out.
 SHORTEST = 30
 #: Bytes of benchmark texts that one index holds; a larger benchmark is searched in several passes.
 INDEX_BYTES = 8_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SPACES = np.array([0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+# White space, as Python splits at it.
+_SPACES = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 _TABLE_BITS = 20
+#: Bits of a band's number beside its probe.
+_SHIFT = 34
 
 
-def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the normalised text, and the place of each in the text."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    space = (codes == 32) | ((codes >= 9) & (codes <= 13))
-    if len(codes) and codes.max() > 0x84:
-        space |= np.isin(codes, _SPACES)
+def _lowered(codes: np.ndarray) -> np.ndarray:
+    return codes + ((codes >= 65) & (codes <= 90)) * np.uint32(32)
+
+
+def normalised(text: str) -> np.ndarray:
+    """Code points of the normalised text."""
+    return _lowered(np.frombuffer(" ".join(text.split()).encode("utf-32-le", "surrogatepass"), np.uint32))
+
+
+def places(text: str) -> np.ndarray:
+    """The place in the text of each character of the normalised text; of white space, the run's last."""
+    space = np.isin(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), _SPACES)
     keep = ~space
     keep[:-1] |= keep[1:] & space[:-1]
     place = np.flatnonzero(keep)
-    if len(place) and space[place[0]]:
-        place = place[1:]
-    out = codes[place]
-    out = np.where((out >= 65) & (out <= 90), out + 32, np.where(space[place], 32, out))
-    return out.astype(np.uint32), place
+    return place[1:] if len(place) and space[place[0]] else place
 
 
-def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
-    value = np.full(max(0, len(codes) - q + 1), q, np.uint64)
-    for k in range(q if len(value) else 0):
-        value = value * _BASE + codes[k:len(codes) - q + 1 + k]
-    return mix(value)
+def grams(codes: np.ndarray) -> np.ndarray:
+    """Hashes of the text's q-grams, joined from those of shorter ones."""
+    if len(codes) < Q:
+        return np.empty(0, np.uint64)
+    one = codes.astype(np.uint64)
+    value, size, power, base = None, 0, one, _BASE
+    for bit in range(Q.bit_length()):
+        width = 1 << bit
+        if Q & width:
+            value = power if value is None else value[:len(power) - size] * base + power[size:]
+            size += width
+        if width * 2 <= Q:
+            power = power[:-width] * base + power[width:]
+            base = np.uint64(int(base) ** 2 & 0xFFFFFFFFFFFFFFFF)
+    return mix(value[:len(codes) - Q + 1])
 
 
 @dataclass
@@ -77,7 +92,7 @@ class Index:
     def build(cls, rows: list[tuple]) -> Index:
         items, probes, item_of = [], [], []
         for item, text in sorted(rows, key=repr):
-            codes = normalised(text)[0]
+            codes = normalised(text)
             if len(codes) < SHORTEST:
                 continue
             last = max(0, len(codes) - PROBE)
@@ -100,7 +115,7 @@ class Index:
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """Item number, start, end and edits of every item that the text holds (its best probe)."""
-        codes, place = normalised(text)
+        codes = normalised(text)
         if not self.probes or len(codes) < Q:
             return []
         found = grams(codes)
@@ -130,20 +145,76 @@ class Index:
         diagonal = np.repeat(at, many) - self.offset[post]
         width = self.budget[probe] + 1
         band = diagonal // width + 1 + PROBE  # not negative
-        key = (probe[None, :] << 40) + np.stack([band, band - 1])
-        bands, counts = np.unique(key.ravel(), return_counts=True)
-        bands = bands[counts >= self.bound[bands >> 40]]
+        key = np.concatenate([(probe << _SHIFT) + band, (probe << _SHIFT) + band - 1])
+        offset = np.tile(self.offset[post], 2)
+        # bands that could reach the bound: counted by hash first, then by place of the probe, each once
+        bits = max(8, int(4 * len(key)).bit_length())
+        cell = ((key.astype(np.uint64) * _BASE) >> np.uint64(64 - bits)).astype(np.int64)
+        likely = np.bincount(cell, minlength=1 << bits)[cell] >= least
+        if not likely.any():
+            return []
+        placed = np.sort(key[likely] * PROBE + offset[likely])
+        placed = placed[np.append(True, placed[1:] != placed[:-1])] // PROBE
+        bands, counts = np.unique(placed, return_counts=True)
+        bands = bands[counts >= self.bound[bands >> _SHIFT]]
         best: dict[int, tuple] = {}
+        spans = []
         for one in bands.tolist():
-            p, b = one >> 40, (one & ((1 << 40) - 1)) - 1 - PROBE
+            p, b = one >> _SHIFT, (one & ((1 << _SHIFT) - 1)) - 1 - PROBE
             w = int(self.budget[p]) + 1
-            hit = aligned(self.probes[p], codes, b * w - w + 1, (b + 2) * w + w - 2, w - 1)
-            item = int(self.item_of[p])
-            if hit and (item not in best or (hit[2], hit[0]) < (best[item][2], best[item][0])):
-                best[item] = hit
+            spans.append((int(self.item_of[p]), one, p, b * w - w + 1, (b + 2) * w + w - 2, w))
+        for item, _, p, low, high, _ in spans:
+            if item not in best:
+                start = exact(self.probes[p], codes, low, high)
+                if start >= 0:
+                    best[item] = (start, start + len(self.probes[p]), 0)
+        tried = []
+        for item, one, p, low, high, w in spans:
+            if item not in best:
+                edits = fewest_edits(self.probes[p], codes, low, high)
+                if edits < w:
+                    tried.append((item, edits, one, p, low, high, w))
+        for item, edits, _, p, low, high, w in sorted(tried):
+            if item not in best or edits < best[item][2]:
+                hit = aligned(self.probes[p], codes, low, high, w - 1)
+                if hit and (item not in best or hit[2] < best[item][2]):
+                    best[item] = hit
+        if not best:
+            return []
+        place = places(text)
         return [(item, int(place[s]), int(place[e - 1]) + 1, edits) for item, (s, e, edits) in sorted(best.items())]
 
 
+def exact(probe: np.ndarray, codes: np.ndarray, low: int, high: int) -> int:
+    """Where the text holds the probe unchanged on one of the diagonals, or -1."""
+    first = max(0, low)
+    region, wanted = codes[first:max(first, high + len(probe))].tobytes(), probe.tobytes()
+    at = region.find(wanted)
+    while at % 4 and at >= 0:
+        at = region.find(wanted, at + 1)
+    return first + at // 4 if at >= 0 else -1
+
+
+def fewest_edits(probe: np.ndarray, codes: np.ndarray, low: int, high: int) -> int:
+    """Edits of the best alignment on diagonals ``low`` to ``high``, or fewer at the ends of the text.
+
+    What lies outside the text counts as characters that match nothing.
+    """
+    width = high - low + 1
+    first, last = max(0, low), max(0, min(len(codes), high + len(probe)))
+    text = np.full(width + len(probe) - 1, 0xFFFFFFFF, np.uint32)
+    text[first - low:max(first, last) - low] = codes[first:last]
+    slope = np.arange(width)
+    cost = np.zeros(width, np.int64)
+    skip = np.empty(width, np.int64)
+    skip[-1] = 1 << 30
+    for i, code in enumerate(probe):
+        np.add(cost[1:], 1, out=skip[:-1])
+        new = np.minimum(cost + (text[i:i + width] != code), skip) - slope
+        cost = np.minimum.accumulate(new) + slope
+    return int(cost.min())
+
+
 def aligned(probe: np.ndarray, codes: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
     """Start, end and edits of the best region for the probe on diagonals ``low`` to ``high``.
 
