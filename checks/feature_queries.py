@@ -65,9 +65,7 @@ def value_counts(spark, sf_dir):
 
 def last_window(spark, sf_dir):
     """The most recent feature row of each address, the one a scorer sees."""
-    table = ft.minute_features(logs(spark, sf_dir))
-    newest = table.groupBy("ip").agg(F.max_by(F.struct(*table.columns[1:]), "win").alias("row"))
-    return newest.select("ip", "row.*").select(
+    return ft.last_windows(ft.minute_features(logs(spark, sf_dir))).select(
         *group(), ntz("timestamp"), *[shown(n) for n in FEATURES]
     )
 

@@ -1,9 +1,8 @@
 """Per-group request statistics.
 
-Three aggregations over the same keys, each combined map-side before its shuffle, joined on those
-keys. No task ever holds one address's requests: counters and moments combine algebraically,
-entropies work on value counts, and gaps work on distinct instants (at most one row per microsecond
-of the window, however many requests share it).
+Three aggregations over the same keys, joined on those keys. No task ever holds one address's
+requests: counters and moments combine algebraically, entropies work on value counts, both map-side
+before their shuffle, and gaps order the requests of one second at a time.
 """
 
 from __future__ import annotations
@@ -18,6 +17,9 @@ from netshield.functions.moments import adjusted_kurt, adjusted_skew, or_zero, r
 from netshield.functions.request import match_request
 from netshield.options import Options
 
+#: Width of the slices in which an address's requests are put in order.
+SLICE_US = 1_000_000
+
 
 def minute_start(us: Column, opts: Options) -> Column:
     """Start of the calendar-aligned window that holds a microsecond instant."""
@@ -143,41 +145,54 @@ def diversity(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def gaps(rows: DataFrame, keys: Sequence[str], opts: Options = Options()) -> DataFrame:
     """Inter-arrival statistics and bursts.
 
-    The gap before a group's first request counts as 0. Requests that share an instant are counted
-    first (map-side), then one row per instant stands for one gap and ``c - 1`` zero gaps.
+    The gap before a group's first request counts as 0. Requests are ordered inside one-second
+    slices only, so a group's requests are never in one task; each slice leaves one row, and the
+    gaps between slices are added from their ends. A burst starts at a near request whose
+    predecessor isn't near; whether a slice's first request is near shows at its edge.
     """
-    whole = Window.partitionBy(*keys)
-    ordered = whole.orderBy("us")
-    instants = rows.groupBy(*keys, "us").agg(F.count(F.lit(1)).alias("c"))
-    gap_us = F.col("us") - F.lag("us").over(ordered)
-    spaced = instants.select(
-        *keys, "c",
-        F.coalesce(gap_us, F.lit(0)).alias("gap_us"),
-        F.sum("c").over(whole).alias("n"),
-        (F.max("us").over(whole) - F.min("us").over(whole)).alias("span_us"),
-        F.row_number().over(ordered).alias("i"),
-        F.lag("c").over(ordered).alias("prev_c"),
-        F.lag(gap_us).over(ordered).alias("prev_gap_us"),
-    )
-    near = F.col("gap_us") <= opts.burst_gap_us
-    before_near = (
-        (F.col("prev_c") > 1) | (F.coalesce(F.col("prev_gap_us"), F.lit(0)) <= opts.burst_gap_us)
+    sliced = [*keys, F.expr(f"us div {SLICE_US}").alias("slice")]
+    inside = Window.partitionBy(*keys, "slice").orderBy("us")
+    near_gap = F.col("gap_us") <= opts.burst_gap_us
+    ordered = rows.select(*sliced, "us").select(
+        *keys, "slice", "us", F.row_number().over(inside).alias("i"),
+        (F.col("us") - F.lag("us").over(inside)).alias("gap_us"),
+    ).withColumn("near", F.coalesce(near_gap, F.lit(False)))
+    ordered = ordered.withColumn("prev_near", F.lag("near").over(inside))
+    gap = seconds(F.col("gap_us"))
+    slices = ordered.groupBy(*keys, "slice").agg(
+        F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"),
+        *[F.coalesce(F.sum(F.pow(gap, F.lit(k))), F.lit(0.0)).alias(f"s{k}") for k in (2, 3, 4)],
+        _count((F.col("i") > 2) & F.col("near") & ~F.col("prev_near")).alias("starts"),
+        _count(F.col("near")).alias("near"),
+        F.sum(F.when(F.col("near"), F.col("gap_us")).otherwise(F.lit(0))).alias("near_us"),
+        F.max((F.col("i") == 2) & F.col("near")).alias("second_near"),
+        F.max_by("near", "i").alias("last_near"),
     )
-    starts = (F.col("i") == 1) | (near & ~before_near) | (~near & (F.col("c") > 1))
-    gap, mean = seconds(F.col("gap_us")), seconds(F.col("span_us")) / F.col("n")
-    ties = F.col("c") - 1
-
-    def power(k: int) -> Column:
-        return F.sum(F.pow(gap - mean, F.lit(k)) + ties * F.pow(-mean, F.lit(k)))
-
-    sums = spaced.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        F.max("span_us").alias("span_us"),
-        *[power(k).alias(f"m{k}") for k in (2, 3, 4)],
-        _count(starts).alias("bursts"),
-        F.sum(ties + F.when(near, 1).otherwise(0)).alias("burst_requests"),
-        F.sum(F.when(near, F.col("gap_us")).otherwise(F.lit(0))).alias("burst_us"),
+    order = Window.partitionBy(*keys).orderBy("slice")
+    edged = slices.withColumn(
+        "edge_us", F.coalesce(F.col("first_us") - F.lag("last_us").over(order), F.lit(0)))
+    edged = edged.withColumn("first_near", F.col("edge_us") <= opts.burst_gap_us)
+    edged = edged.withColumn(
+        "before_near",
+        F.lag(F.when(F.col("n") > 1, F.col("last_near")).otherwise(F.col("first_near")), 1, False).over(order))
+    edge = seconds(F.col("edge_us"))
+    flag = lambda condition: F.when(condition, 1).otherwise(0)
+    raw = edged.groupBy(*keys).agg(
+        F.sum("n").alias("n"), (F.max("last_us") - F.min("first_us")).alias("span_us"),
+        *[F.sum(F.col(f"s{k}") + F.pow(edge, F.lit(k))).alias(f"s{k}") for k in (2, 3, 4)],
+        F.sum(F.col("starts") + flag(F.col("second_near") & ~F.col("first_near"))
+              + flag(F.col("first_near") & ~F.col("before_near"))).alias("bursts"),
+        F.sum(F.col("near") + flag(F.col("first_near"))).alias("burst_requests"),
+        F.sum(F.col("near_us") + F.when(F.col("first_near"), F.col("edge_us")).otherwise(F.lit(0))).alias("burst_us"),
     )
+    # power sums about the mean from those about zero; a group's zero gap keeps them well apart
+    n, mean = F.col("n"), seconds(F.col("span_us")) / F.col("n")
+    s2, s3, s4 = (F.col(f"s{k}") for k in (2, 3, 4))
+    sums = raw.withColumns({
+        "m2": F.greatest(s2 - n * mean * mean, F.lit(0.0)),
+        "m3": s3 - 3 * mean * s2 + 2 * n * F.pow(mean, F.lit(3)),
+        "m4": s4 - 4 * mean * s3 + 6 * mean * mean * s2 - 3 * n * F.pow(mean, F.lit(4)),
+    })
     n, varied = F.col("n"), F.col("span_us") > 0
     variance = F.col("m2") / n
     several = n > 1
@@ -213,3 +228,10 @@ def grouped_features(rows: DataFrame, keys: Sequence[str], opts: Options = Optio
 def minute_features(logs: DataFrame, opts: Options = Options()) -> DataFrame:
     """The feature row of every (ip, calendar window) that has requests."""
     return grouped_features(with_window(logs, opts), ["ip", "win"], opts)
+
+
+def last_windows(features: DataFrame) -> DataFrame:
+    """The feature row of each address's newest window, the one a scorer sees."""
+    rest = [c for c in features.columns if c != "ip"]
+    newest = features.groupBy("ip").agg(F.max_by(F.struct(*rest), "win").alias("row"))
+    return newest.select("ip", "row.*")

@@ -12,6 +12,7 @@ from netshield.operators.hostnames import match_hostname
 from netshield.operators.lookup import match_geo
 from netshield.operators.preview import previews
 from netshield.operators.scoring import Scorer, decide
+from netshield.operators.features import last_windows, minute_features
 from netshield.operators.ticks import scored_windows, tick_features, tick_rows
 from netshield.options import Options
 from netshield.session import broadcast_if_small, rows_within, settle
@@ -46,6 +47,11 @@ def split_results(scored: DataFrame, opts: Options = Options()) -> tuple[DataFra
     return scored.where(~problem), scored.where(problem)
 
 
+def score_history(logs: DataFrame, scorer: Scorer, opts: Options = Options()) -> DataFrame:
+    """Each address's newest window with its features and probability."""
+    return decide(scorer(last_windows(minute_features(logs, opts))), opts)
+
+
 def score_ticks(logs: DataFrame, scorer: Scorer, opts: Options = Options()) -> DataFrame:
     """Every evaluation ``(ip, tick)`` with its features and probability."""
     rows = tick_rows(logs, opts)
@@ -89,8 +95,23 @@ def raised_alerts(logs: DataFrame, scorer: Scorer, opts: Options = Options(),
     An alert deletes its address's series, and nothing is collected until the block ends. So each
     round takes every address's first detection and continues, for the few addresses that are busy
     again later, with their requests from the end of the block on. There are as many rounds as an
-    address can be blocked within the time span of the input.
+    address can be blocked within the time span of the input. The whole log is read for the first
+    round's counts only; all else reads ``busy_requests``.
+    """
+    return _raised(busy_requests(logs, opts, after_us, until_us), scorer, opts, after_us, until_us)
+
+
+def busy_requests(logs: DataFrame, opts: Options = Options(), after_us: int | None = None,
+                  until_us: int | None = None) -> DataFrame:
+    """The requests of addresses that reach the gate's rate at some tick, written once.
+
+    A series cut by an alert is never busier than the whole, so no other address can be detected.
     """
+    busy = settle(_busy_windows(_ticks_between(logs, opts, after_us, until_us), opts).select("ip").distinct(), "busy")
+    return settle(logs.join(broadcast_if_small(busy, opts.broadcast_rows), "ip", "left_semi"), "requests")
+
+
+def _raised(logs: DataFrame, scorer: Scorer, opts: Options, after_us: int | None, until_us: int | None) -> DataFrame:
     block_us = opts.block_seconds * 1_000_000
     rows = _ticks_between(logs, opts, after_us, until_us)
     starts, rounds = None, []
@@ -122,7 +143,8 @@ def detect(logs: DataFrame, scorer: Scorer, hostnames: DataFrame | None = None,
     location (looked up in ``geo`` for the few alerted addresses), the name found in ``hostnames``,
     a preview of its requests and its feature row.
     """
-    alerts = summarize(raised_alerts(logs, scorer, opts, after_us, until_us))
+    logs = busy_requests(logs, opts, after_us, until_us)
+    alerts = settle(summarize(_raised(logs, scorer, opts, after_us, until_us)), "alerts")
     wanted = broadcast_if_small(alerts.select("ip", "tick", "resumed_us"), opts.broadcast_rows)
     behind = tick_rows(logs, opts).join(wanted, ["ip", "tick"]).where(F.col("us") >= F.col("resumed_us"))
     first = behind.groupBy("ip", "tick").agg(
