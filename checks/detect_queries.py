@@ -9,11 +9,14 @@ from netshield.constants import FEATURES
 from netshield.operators import blocklist as bl
 from netshield.operators import scoring
 from netshield.operators.features import minute_features
+from netshield.operators.gelf import gelf_documents
 from netshield.operators.preview import preview_rows, previews
+from netshield.operators.rollups import detection_counts
 from netshield.operators.running import running_features, trailing_buffer
 from netshield.operators.ticks import scored_windows, tick_features, tick_rows
 from netshield.options import Options
 from netshield.plans import detection
+from netshield.plans.ingestion import alert_messages
 from netshield.plans.replay import replay_report as report
 from netshield.sources.testdata import logs
 
@@ -75,6 +78,29 @@ def detect_alerts(spark, sf_dir):
         F.col("ip2location.region").alias("region"))
 
 
+def gelf_alerts(spark, sf_dir):
+    """Alerts as log-store documents."""
+    documents = gelf_documents(alert_messages(alerts(spark, sf_dir), "alerts", "alerts"), F.lit(0.0))
+
+    def part(key):
+        return F.get_json_object("gelf", f"$['{key}']")
+
+    return documents.select(
+        part("host").alias("host"), part("short_message").alias("short_message"), part("tag").alias("tag"),
+        part("timestamp").cast("double").alias("timestamp"), part("_ip").alias("ip"), part("_domain").alias("domain"),
+        part("_req_count").cast("bigint").alias("req_count"), part("_country").alias("country"),
+        part("_source_queue").alias("source_queue"))
+
+
+def detections_report(spark, sf_dir):
+    return plain_types(detection_counts(alerts(spark, sf_dir)))
+
+
+def score_history(spark, sf_dir):
+    return detection.score_history(logs(spark, sf_dir), scorer(), OPTIONS).select(
+        "ip", ntz("win"), F.round("p", 6).alias("p"), "is_ddos")
+
+
 def block_output(spark, sf_dir):
     found = detection.detect(logs(spark, sf_dir), scorer(), opts=OPTIONS)
     return plain_types(detection.new_blocks(found, OPTIONS))
@@ -185,6 +211,9 @@ QUERIES = {
     "score_logistic": score_logistic,
     "split_results": split_results,
     "detect_alerts": detect_alerts,
+    "gelf_alerts": gelf_alerts,
+    "detections_report": detections_report,
+    "score_history": score_history,
     "block_output": block_output,
     "alert_preview": alert_preview,
     "preview_texts": preview_texts,
@@ -228,6 +257,10 @@ JOIN latest l ON f.addr = l.addr AND f.tick = l.tick AND f.win = make_timestamp(
     "score_logistic": with_logs(f"""{feature_ctes()}
 SELECT ip, win, round(p, 6) AS p, p >= 0.7 AS is_ddos, round(1 - p, 6) AS normal
 FROM (SELECT ip, win, {SCORE_SQL} AS p FROM feats)"""),
+    "score_history": with_logs(f"""{feature_ctes()}
+SELECT ip, win, round(p, 6) AS p, p >= 0.7 AS is_ddos
+FROM (SELECT ip, win, {SCORE_SQL} AS p FROM feats)
+QUALIFY row_number() OVER (PARTITION BY ip ORDER BY win DESC) = 1"""),
     "split_results": with_logs(f"""{feature_ctes()}
 SELECT ip, win, CASE WHEN {SCORE_SQL} >= 0.7 AND request_rate >= 1.0 THEN 'problem' ELSE 'normal' END
   AS result FROM feats"""),
@@ -296,3 +329,9 @@ LEFT JOIN located l ON l.ip = f.ip""")
 
 
 ORACLES["detect_alerts"] = _detect_oracle()
+ORACLES["gelf_alerts"] = f"""
+SELECT 'unknown' AS host, message AS short_message, tag, epoch(timestamp)::DOUBLE AS timestamp, ip, domain,
+  req_count::BIGINT AS req_count, country, 'alerts' AS source_queue FROM ({ORACLES["detect_alerts"]}) found"""
+ORACLES["detections_report"] = f"""
+SELECT date_trunc('minute', alert_ts) AS win, country, count(*) AS alerts, max(problem) AS highest
+FROM ({ORACLES["detect_alerts"]}) found GROUP BY 1, 2"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netshield.operators.enrich import enrich, is_candidate
+from netshield.operators.gelf import JSON_OPTIONS
 from netshield.options import Options
 from netshield.sources.syslog import log_records, parse_messages, parsed_logs, quarantine, typed_logs
 
@@ -43,3 +44,12 @@ def gelf_messages(enriched: DataFrame, tag: str, queue: str, exchange: str) -> D
     return stamped.select(
         F.map_concat(known, F.coalesce(extras, F.create_map().cast("map<string,variant>"))).alias("doc"),
         F.lit(queue).alias("queue"), F.lit(exchange).alias("exchange"))
+
+
+def alert_messages(alerts: DataFrame, queue: str, exchange: str) -> DataFrame:
+    """Log-store messages ``(doc, queue, exchange)`` of alerts, nested parts kept as JSON values."""
+    epoch = (F.unix_micros("timestamp").cast("decimal(20,0)") / 1000000).cast("decimal(20,6)")
+    own = alerts.withColumn("timestamp", epoch).drop("alert_ts")
+    text = F.to_json(F.struct(*own.columns), JSON_OPTIONS)
+    return own.select(F.parse_json(text).cast("map<string,variant>").alias("doc"),
+                      F.lit(queue).alias("queue"), F.lit(exchange).alias("exchange"))

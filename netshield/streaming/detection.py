@@ -8,10 +8,12 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
 from netshield.operators.blocklist import drop_blocked, forget_blocked
+from netshield.operators.gelf import gelf_documents
 from netshield.operators.scoring import Scorer
 from netshield.options import Options
 from netshield.plans.detection import detect, new_blocks
-from netshield.streaming.tables import read_table, run, write_batch
+from netshield.plans.ingestion import alert_messages
+from netshield.streaming.tables import forget, read_table, run, write_batch
 
 _BLOCKS = StructType([
     StructField("ip", StringType()), StructField("added_at", TimestampType()),
@@ -23,7 +25,10 @@ class DetectionLoop:
     """Alerts and blocklist entries from a stream of eligible typed rows.
 
     Rows of blocked addresses are not collected. Rows are kept in a table partitioned by window, of
-    which a batch reads only the windows that its new ticks reach back to.
+    which a batch reads only the windows that its new ticks reach back to; older windows are
+    deleted. Rows no newer than the last evaluated tick can't be evaluated at their time any more;
+    they still count in later windows and are listed in the table ``late``. Alerts are also
+    written as log-store documents, to ``gelf``.
     """
 
     def __init__(self, out: str, scorer: Scorer, hostnames: DataFrame | None = None,
@@ -48,6 +53,7 @@ class DetectionLoop:
         write_batch(rows, f"{self.out}/rows", batch_id, "win_us")
         newest = batch.agg(F.max(F.unix_micros("ts"))).first()[0]
         step, before = opts.tick_seconds * 1_000_000, self._last_tick(spark, batch_id)
+        write_batch(batch.where(F.unix_micros("ts") <= before), f"{self.out}/late", batch_id)
         until = before if newest is None else max(before, newest // step * step)
         stored = StructType([*batch.schema.fields, StructField("win_us", LongType())])
         recent = read_table(spark, f"{self.out}/rows", stored).where(
@@ -61,6 +67,10 @@ class DetectionLoop:
         write_batch(new_blocks(written, opts), f"{self.out}/blocks", batch_id)
         write_batch(spark.range(1).select(F.lit(until).cast("long").alias("tick_us")),
                     f"{self.out}/progress", batch_id)
+        documents = gelf_documents(alert_messages(written, "alerts", "alerts"),
+                                   F.unix_timestamp(F.current_timestamp()))
+        write_batch(documents, f"{self.out}/gelf", batch_id)
+        forget(spark, f"{self.out}/rows", "win_us", before - 2 * opts.window_us, batch_id)
 
     def start(self, stream: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
         return run(stream, self.handle, checkpoint, once, self.opts)

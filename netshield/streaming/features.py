@@ -9,7 +9,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from netshield.operators.features import counters, minute_features, value_counts, with_window
 from netshield.options import Options
-from netshield.streaming.tables import read_table, run, write_batch
+from netshield.streaming.tables import forget, read_table, run, write_batch
 
 _PROGRESS = StructType([StructField("closed_us", LongType())])
 
@@ -37,6 +37,8 @@ class ClosedWindows:
     Gaps and bursts need a window's requests in order, which streaming aggregations cannot see. So
     rows go to a table partitioned by window, and each batch computes the windows that it closes with
     the batch operators. State is two tables of per-batch folders, so a retried batch repeats itself.
+    Rows that arrive after their window was closed go to the table ``late``, whose batches count
+    them. Rows of closed windows are deleted one batch after their features were written.
     """
 
     def __init__(self, out: str, delay_seconds: int | None = None, opts: Options = Options()):
@@ -59,11 +61,13 @@ class ClosedWindows:
         rows = batch.withColumn("us", F.unix_micros("ts")).withColumn("win_us", start)
         in_time = rows.where(F.col("win_us") + window_us > before)
         write_batch(in_time.drop("us"), f"{self.out}/rows", batch_id, "win_us")
+        write_batch(rows.where(F.col("win_us") + window_us <= before).drop("us"), f"{self.out}/late", batch_id)
         newest = rows.agg(F.max("us")).first()[0] or 0
         closed = max(before, (newest - self.delay_us) // window_us * window_us)
         self._emit(spark, batch.schema, before, closed, batch_id)
         write_batch(spark.range(1).select(F.lit(closed).cast("long").alias("closed_us")),
                     f"{self.out}/progress", batch_id)
+        forget(spark, f"{self.out}/rows", "win_us", before, batch_id)
 
     def _rows(self, spark, schema) -> DataFrame:
         return read_table(spark, f"{self.out}/rows", StructType([*schema.fields, StructField("win_us", LongType())]))

@@ -20,6 +20,31 @@ def read_table(spark: SparkSession, table: str, schema: StructType) -> DataFrame
     return spark.read.schema(stored).parquet(table)
 
 
+def forget(spark: SparkSession, table: str, partition: str, before: int, keep_batch: int) -> None:
+    """Delete the folders ``partition=value`` with values under ``before``, and emptied batches.
+
+    The folders of batch ``keep_batch`` stay. Deleting again what is gone does nothing, so a retried
+    batch repeats it.
+    """
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(table)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(root):
+        return
+    for batch in store.listStatus(root):
+        if not batch.isDirectory() or batch.getPath().getName() == f"batch_id={keep_batch}":
+            continue
+        left = 0
+        for part in store.listStatus(batch.getPath()):
+            name, _, value = part.getPath().getName().partition("=")
+            if name == partition and value.lstrip("-").isdigit() and int(value) < before:
+                store.delete(part.getPath(), True)
+            elif part.isDirectory():
+                left += 1
+        if not left:
+            store.delete(batch.getPath(), True)
+
+
 def run(stream: DataFrame, handle, checkpoint: str, once: bool = False,
         opts: Options = Options()) -> StreamingQuery:
     """Start a query that hands each micro-batch to ``handle(batch, batch_id)``.

@@ -11,7 +11,7 @@ from netshield.session import work_dir
 from netshield.streaming.blocklist import stream_blocks
 from netshield.streaming.detection import DetectionLoop
 from netshield.streaming.features import ClosedWindows, stream_value_counts
-from netshield.streaming.tables import finish
+from netshield.streaming.tables import finish, forget
 from test_detection import SCORER, traffic
 from test_features import random_rows
 
@@ -47,6 +47,21 @@ def test_closed_windows_equal_batch(spark):
         brute.assert_same(got[key], {k: v for k, v in row.items() if k not in ("ip", "win", "timestamp")}, key)
 
 
+def test_late_rows_and_retention(spark):
+    rows = random_rows(6, 60, span=400_000_000)
+    batches = split(spark, rows, [200, 390])
+    windows = ClosedWindows(work_dir(spark, "test"), delay_seconds=0)
+    late = batches[0].limit(7)
+    feed([batches[0], batches[1], late.unionByName(batches[2])], windows.handle)
+    found = spark.read.parquet(f"{windows.out}/late")
+    assert found.where("batch_id = 2").count() >= 7
+    stored = spark.read.parquet(f"{windows.out}/rows")
+    progress = spark.read.parquet(f"{windows.out}/progress").where("batch_id < 2").agg(F.max("closed_us")).first()[0]
+    assert stored.where(F.col("win_us") < progress).count() == 0 and stored.count() > 0
+    forget(spark, f"{windows.out}/rows", "win_us", 2**62, -1)
+    forget(spark, f"{windows.out}/missing", "win_us", 2**62, -1)
+
+
 def test_detection_loop_equals_batch(spark):
     opts = Options()
     loop = DetectionLoop(work_dir(spark, "test"), SCORER, opts=opts)
@@ -55,6 +70,9 @@ def test_detection_loop_equals_batch(spark):
     whole = detection.new_blocks(detection.detect(brute.access_logs(spark, traffic()), SCORER, opts=opts), opts)
     assert {(r["ip"], r["added_at"]) for r in got.collect()} == {
         (r["ip"], r["added_at"]) for r in whole.collect()}
+    documents = spark.read.parquet(f"{loop.out}/gelf")
+    assert documents.count() == spark.read.parquet(f"{loop.out}/alerts").count() > 0
+    assert documents.where("gelf like '%\"tag\":\"alert\"%'").count() == documents.count()
 
 
 def test_stream_value_counts_equal_batch(spark):
