@@ -7,12 +7,13 @@ window; windows of ``WINDOW`` words overlap by half and cover the whole text.
 
 Training sees a text's label only, so each step uses the window that scores highest so far. The
 vectors start from smoothed log odds of the labels, and whole words are dropped at random so that
-the network also learns from characters. It runs on the driver over a bounded sample of labelled
-texts; scoring runs in tasks over Arrow batches, in blocks of bounded size.
+the network also learns from characters. One task trains, over a bounded sample of labelled texts;
+scoring runs in all tasks over Arrow batches, in blocks of bounded size.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from dataclasses import dataclass
@@ -337,11 +338,18 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     rate = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 10)
     picked = known.filter("label = 1").orderBy(F.xxhash64("id"), "id").limit(positives).union(
         known.filter("label = 0").orderBy(F.xxhash64("id"), "id").limit(negatives))
-    rows = (docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
-            .filter(F.length("text") <= chars).join(F.broadcast(picked), "id")  # a bounded number of rows
-            .groupBy("id", "label").agg(F.min("text").alias("text")).collect())
-    rows.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))
-    return train([r["text"] for r in rows], [r["label"] for r in rows], rate)
+    sample = (docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
+              .filter(F.length("text") <= chars).join(F.broadcast(picked), "id")  # a bounded number of rows
+              .groupBy("id", "label").agg(F.min("text").alias("text")))
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        rows.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))
+        model = train([r["text"] for r in rows], [r["label"] for r in rows], rate)
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    found = sample.repartition(1).mapInArrow(trained, "model binary").first()
+    return pickle.loads(found["model"]) if found else Model({}, rate)
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
