@@ -59,7 +59,9 @@ def batch_push(spark, sf_dir):
 
 
 def series_flush(spark, sf_dir):
-    return plain_types(sr.flush_all(series(spark, sf_dir)))
+    """The series of some addresses flushed, beside the others."""
+    data, some = series(spark, sf_dir), F.col("ip").like("203.%")
+    return plain_types(sr.flush_all(data.where(some)).unionByName(data.where(~some)))
 
 
 def limited(spark, sf_dir):
@@ -187,7 +189,7 @@ SELECT l.ip, count(*) FILTER (l.ts <= a.alert_ts) AS deleted
 FROM logs l LEFT JOIN alerts a USING (ip) GROUP BY l.ip"""),
     "series_delete_records": _series(
         f"SELECT * FROM series WHERE NOT ts BETWEEN {_NOW} - INTERVAL 60 SECOND AND {_NOW}"),
-    "series_flush": _series("SELECT * FROM series WHERE false"),
+    "series_flush": _series("SELECT * FROM series WHERE ip NOT LIKE '203.%'"),
     "active_ips": _series(
         f"SELECT DISTINCT ip FROM series WHERE ts BETWEEN {_NOW} - INTERVAL 30 SECOND AND {_NOW}"),
     "batch_push": with_logs(f"""
@@ -213,3 +215,22 @@ WHERE bot_category IN ('search', 'minor_search') GROUP BY ALL"""),
     "message_counters": with_logs(f"""{PARSED}
 SELECT coalesce(reason, 'accepted') AS outcome, count(*) AS messages FROM reasoned GROUP BY 1"""),
 }
+
+
+def _draw(field, low, count):
+    a = synthetic.DRAWS[field]
+    return f"((event_id % {synthetic.PRIME}) * {a} + {a // 7}) % {synthetic.PRIME} % {count} + {low}"
+
+
+def _choice(values, field):
+    return f"([{', '.join(repr(v) for v in values)}])[{_draw(field, 1, len(values))}]"
+
+
+ORACLES["synthetic_logs"] = f"""
+SELECT '{synthetic.TEST_IP}' AS ip, TIMESTAMP '2024-12-01 06:34:00' + to_microseconds(event_id * 10000) AS ts,
+  'example.com' AS domain,
+  {_choice(synthetic.METHODS, "method")} || ' ' || {_choice(synthetic.PATHS, "path")} || '/' || event_id || ' HTTP/1.1' AS request,
+  ({_draw("length", 200, 1000)})::BIGINT AS request_length, {_choice(synthetic.STATUSES, "status")}::INTEGER AS status,
+  ({_draw("bytes", 500, 5000)})::BIGINT AS bytes_sent, ('0.' || ({_draw("time", 100, 999)}))::DOUBLE AS request_time,
+  '{synthetic.AGENT}' AS user_agent
+FROM events"""

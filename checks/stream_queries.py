@@ -11,10 +11,10 @@ from netshield.constants import FEATURES
 from netshield.operators.lookup import geo_buckets, prefix_buckets
 from netshield.session import work_dir
 from netshield.sources.syslog import RAW_SCHEMA
-from netshield.sources.testdata import access_logs
+from netshield.sources.testdata import access_logs, logs
 from netshield.streaming.blocklist import ALERT_SCHEMA, stream_blocks
 from netshield.streaming.detection import DetectionLoop
-from netshield.streaming.features import ClosedWindows, stream_counters
+from netshield.streaming.features import ClosedWindows, pending_counters, stream_counters
 from netshield.streaming.ingest import start_ingest
 from netshield.streaming.tables import finish
 
@@ -41,14 +41,15 @@ def stream_features(spark, sf_dir):
 
 
 def stream_window_counters(spark, sf_dir):
-    """Native watermarked aggregation; windows that the watermark has not passed stay open."""
+    """Native watermarked aggregation, with the windows that the watermark has not passed at the end."""
     out = work_dir(spark, "counters")
     table = stream_counters(log_stream(spark, sf_dir))
     query = (table.writeStream.format("parquet").option("path", f"{out}/table")
              .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
     finish(query)
     done = spark.read.schema(table.schema).parquet(f"{out}/table")
-    return done.select("ip", ntz("win"), *[shown(n) for n in _COUNTERS])
+    pending = pending_counters(logs(spark, sf_dir), done)
+    return done.unionByName(pending.select(*done.columns)).select("ip", ntz("win"), *[shown(n) for n in _COUNTERS])
 
 
 def stream_blocklist(spark, sf_dir):
@@ -90,8 +91,7 @@ QUERIES = {
 
 ORACLES = {
     "stream_features": FEATURE["feat_all"],
-    "stream_window_counters": feature_sql(_COUNTERS, tail="""
-WHERE win + INTERVAL 60 SECOND <= (SELECT max(ts) - INTERVAL 100 SECOND FROM logs)"""),
+    "stream_window_counters": feature_sql(_COUNTERS),
     "stream_blocklist": DETECT["alert_suppression"],
     "stream_sink": with_logs(f"""{PARSED}, {_ADDRESSES}, {_PREFIXES}, {_BEST}
 SELECT typed.* FROM typed LEFT JOIN best USING (ip)

@@ -10,7 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netshield.session import settle
+
 _SECOND = 1_000_000
+_PART_SECONDS = 8
 _OUT = "ip string, us long, allowed long, remaining long, reset_us long"
 
 
@@ -47,16 +50,18 @@ def decide_instants(requests: DataFrame, limit: int) -> DataFrame:
 
     Requests of one instant are counted map-side. The log then depends on what passed before, so an
     address is cut into parts wherever its state is known: after a silent second it is empty, and
-    where the two seconds before a new minute hold at most ``limit`` requests, all of the last
-    second passed and seeds the new part. Only stretches that stay above half the limit are walked
+    where the two seconds before a cut hold at most ``limit`` requests, all of the last second
+    passed and seeds the new part; cuts are tried every ``_PART_SECONDS``. Only stretches that stay above half the limit are walked
     in one piece, streamed in order with at most ``limit`` log entries in memory.
     """
     second = F.expr(f"us div {_SECOND}")
-    instants = requests.groupBy("ip", "us").agg(F.count(F.lit(1)).alias("c")).withColumn("sec", second)
+    instants = settle(
+        requests.groupBy("ip", "us").agg(F.count(F.lit(1)).alias("c")).withColumn("sec", second), "instants")
     by_ip = Window.partitionBy("ip").orderBy("sec")
-    minute = F.expr("sec div 60")
     silent = F.coalesce(F.col("first_us") - F.lag("last_us").over(by_ip) > _SECOND, F.lit(True))
-    calm = (F.lag(minute).over(by_ip) < minute) & (
+    # a cut repeats the second before it as a seed, so it's made where a part has grown to some seconds
+    eighth = F.expr(f"sec div {_PART_SECONDS}")
+    calm = (F.lag(eighth).over(by_ip) < eighth) & (
         F.coalesce(F.sum("n").over(by_ip.rangeBetween(-2, -1)), F.lit(0)) <= limit)
     seconds = (
         instants.groupBy("ip", "sec")
@@ -64,6 +69,7 @@ def decide_instants(requests: DataFrame, limit: int) -> DataFrame:
         .withColumns({"silent": silent, "calm": calm})
         .withColumn("part", F.sum((F.col("silent") | F.col("calm")).cast("int")).over(by_ip))
     )
+    seconds = settle(seconds, "seconds")
     own = instants.join(seconds.select("ip", "sec", "part"), ["ip", "sec"]).withColumn("seed", F.lit(False))
     seeded = seconds.where(F.col("calm") & ~F.col("silent")).select(
         "ip", (F.col("sec") - 1).alias("sec"), "part")

@@ -26,7 +26,6 @@ def trailing_buffer(logs: DataFrame, opts: Options = Options()) -> DataFrame:
 
     The buffer spans the window length before the request, both ends included, capped in rows.
     """
-    frame = Window.partitionBy("ip").orderBy("us").rangeBetween(-opts.window_us, 0)
     rows = logs.withColumn("us", F.unix_micros("ts"))
     # Rows one window apart share no frame beyond the neighbouring pane, so panes bound a partition.
     pane = F.expr(f"us div {opts.window_us}")

@@ -11,15 +11,21 @@ METHODS = ("GET", "POST")
 PATHS = ("/api/users", "/api/orders", "/test-endpoint", "/images", "/api/auth")
 TEST_IP = "100.100.100.100"
 AGENT = "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36"
+PRIORITY, SENDER_TAG, CACHE, UPSTREAM, REFERRER_PATH = "<13>", "app", "HIT", "10.0.1.50:8080", "/dashboard"
+#: Each field draws with a multiplier of its own, modulo a prime, so that any engine can repeat it.
+PRIME = 1_000_003
+DRAWS = {"method": 7919, "path": 104_729, "status": 15_485, "time": 32_452, "upstream": 49_979, "bytes": 67_867,
+         "requests": 86_028, "length": 1_299}
 
 
-def _pick(values: tuple, number: Column, salt: str) -> Column:
-    choice = F.pmod(F.xxhash64(number, F.lit(salt)), F.lit(len(values)))
-    return F.element_at(F.array(*map(F.lit, values)), (choice + 1).cast("int"))
+def _between(number: Column, field: str, low: int, count: int) -> Column:
+    drawn = F.pmod(F.pmod(number, F.lit(PRIME)) * DRAWS[field] + DRAWS[field] // 7, F.lit(PRIME))
+    return drawn % count + low
 
 
-def _between(number: Column, salt: str, low: int, count: int) -> Column:
-    return F.pmod(F.xxhash64(number, F.lit(salt)), F.lit(count)) + low
+def _pick(values: tuple, number: Column, field: str) -> Column:
+    choice = _between(number, field, 1, len(values))
+    return F.element_at(F.array(*map(F.lit, values)), choice.cast("int"))
 
 
 def traffic(numbers: DataFrame, start: Column, domain: str = "example.com", ip: str = TEST_IP,
@@ -29,7 +35,6 @@ def traffic(numbers: DataFrame, start: Column, domain: str = "example.com", ip:
     ts = F.timestamp_micros(F.unix_micros(start) + n * (step_ms * 1000))
     request = F.concat(_pick(METHODS, n, "method"), F.lit(" "), _pick(PATHS, n, "path"), F.lit("/"),
                        n.cast("string"), F.lit(" HTTP/1.1"))
-    millis = F.lpad(_between(n, "time", 100, 899).cast("string"), 3, "0")
     payload = F.to_json(F.struct(
         F.lit(domain).alias("domain"),
         F.format_string("%.3f", F.unix_millis(ts) / 1000).alias("timestamp"),
@@ -38,16 +43,16 @@ def traffic(numbers: DataFrame, start: Column, domain: str = "example.com", ip:
         F.lit(ip).alias("remote_addr"), request.alias("request"),
         _pick(STATUSES, n, "status").cast("string").alias("response_status"),
         _between(n, "bytes", 500, 5000).cast("string").alias("body_bytes_sent"),
-        F.lit(f"https://{domain}/dashboard").alias("http_referrer"),
+        F.lit(f"https://{domain}{REFERRER_PATH}").alias("http_referrer"),
         F.lit(AGENT).alias("http_user_agent"),
-        F.concat(F.lit("0."), millis).alias("request_time"),
+        F.concat(F.lit("0."), _between(n, "time", 100, 999).cast("string")).alias("request_time"),
         (n + 12000).cast("string").alias("connection"),
         _between(n, "requests", 1, 10).cast("string").alias("connection_requests"),
         _between(n, "length", 200, 1000).cast("string").alias("request_length"),
-        F.lit("HIT").alias("upstream_cache_status"), F.lit("10.0.1.50:8080").alias("upstream_addr"),
+        F.lit(CACHE).alias("upstream_cache_status"), F.lit(UPSTREAM).alias("upstream_addr"),
         F.lit("").alias("http_x_forwarded_for"),
-        F.concat(F.lit("0."), millis).alias("upstream_response_time")))
-    line = F.concat(F.lit("<13>"), F.date_format(ts, "MMM d HH:mm:ss"), F.lit(f" {domain} app: "), payload)
+        F.concat(F.lit("0."), _between(n, "upstream", 50, 200).cast("string")).alias("upstream_response_time")))
+    line = F.concat(F.lit(PRIORITY), F.date_format(ts, "MMM d HH:mm:ss"), F.lit(f" {domain} {SENDER_TAG}: "), payload)
     return numbers.select(
         F.lit("127.0.0.1").alias("client_address"), line.cast("binary").alias("data"),
         ts.alias("recv_ts"))

@@ -26,6 +26,15 @@ def stream_counters(stream: DataFrame, opts: Options = Options()) -> DataFrame:
     return table.withColumn("win", F.col("win.start"))
 
 
+def pending_counters(rows: DataFrame, done: DataFrame, opts: Options = Options()) -> DataFrame:
+    """The features of ``stream_counters`` for the windows of ``rows`` that ``done`` doesn't hold yet.
+
+    For the end of an input, whose last windows no later row closes.
+    """
+    timed = with_window(rows, opts)
+    return counters(timed.join(done.select("ip", "win").distinct(), ["ip", "win"], "left_anti"), ["ip", "win"], opts)
+
+
 def stream_value_counts(stream: DataFrame, opts: Options = Options()) -> DataFrame:
     """Value counts per (ip, window) for entropies, emitted with the watermark."""
     return value_counts(_windowed(stream, opts), ["ip", "win"]).withColumn("win", F.col("win.start"))
