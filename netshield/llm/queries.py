@@ -65,6 +65,28 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+OP4_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+placed AS (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM worded WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, w[i] || coalesce(' ' || w[i + 1], '') AS s FROM placed),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+  GROUP BY ALL),
+links AS (
+  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT r.doc_id, y FROM reached r JOIN ways ON x = r.other)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id, d.doc_id = min(other) AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reached USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.search(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "leaks")
@@ -154,6 +176,6 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_urlfilter": op1_urlfilter, "op2_neighbours": op2_neighbours, "op3_toxicity": op3_toxicity, "op4_minhash": op4_minhash, "op5_decontamination": op5_decontamination, "op6_html": op6_html, "op7_preference": op7_preference, "op8_bpe": op8_bpe,
            "op9_pii": op9_pii, "op10_warc": op10_warc,
            "pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {"op1_urlfilter": OP1_SQL, "op7_preference": OP7_SQL, "op10_warc": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_urlfilter": OP1_SQL, "op4_minhash": OP4_SQL, "op7_preference": OP7_SQL, "op10_warc": OP10_SQL}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
