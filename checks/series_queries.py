@@ -77,6 +77,13 @@ def rate_tokens(spark, sf_dir):
     return limited(spark, sf_dir).select("seq", "ip", "us", "remaining", "reset_us")
 
 
+def tokens_at(spark, sf_dir):
+    """Free requests some time after every fifth request."""
+    requests = logs(spark, sf_dir).select("seq", "ip", F.unix_micros("ts").alias("us"))
+    times = requests.where(F.col("seq") % 5 == 0).select("ip", (F.col("us") + F.col("seq") % 7 * 200_000).alias("us"))
+    return ratelimit.tokens_at(requests, times, LIMIT)
+
+
 def enriched(spark, sf_dir):
     return en.enrich(logs(spark, sf_dir), prefix_load(spark, sf_dir), geo_dimension(spark, sf_dir))
 
@@ -153,6 +160,7 @@ QUERIES = {
     "batch_push": batch_push,
     "rate_limit": rate_limit,
     "rate_tokens": rate_tokens,
+    "tokens_at": tokens_at,
     "traffic_rollup": traffic_rollup,
     "bots_report": bots_report,
     "search_report": search_report,
@@ -201,6 +209,11 @@ UNION SELECT * FROM failed"""),
     "rate_tokens": with_logs(f"""{_LIMITED}
 SELECT seq, ip, us, ({LIMIT} - len(kept))::BIGINT AS remaining,
   greatest(0, kept[1] + 1000000 - us)::BIGINT AS reset_us FROM walk"""),
+    "tokens_at": with_logs(f"""{_LIMITED},
+asked AS (SELECT DISTINCT ip, us + seq % 7 * 200000 AS us FROM logs WHERE seq % 5 = 0)
+SELECT a.ip, a.us, {LIMIT} - count(w.us) AS remaining, greatest(0, coalesce(min(w.us) + 1000000 - a.us, 0)) AS reset_us
+FROM asked a LEFT JOIN walk w ON w.ip = a.ip AND w.allowed AND w.us BETWEEN a.us - 1000000 AND a.us
+GROUP BY a.ip, a.us"""),
     "traffic_rollup": with_logs(f"""{_ENRICHED}
 SELECT win, country, city, count(*) AS requests, count(*) FILTER (status >= 400) AS errors,
   sum(bytes_sent)::BIGINT AS bytes, grouping(win, country, city)::BIGINT AS level

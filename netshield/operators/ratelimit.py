@@ -93,3 +93,32 @@ def rate_limit(requests: DataFrame, limit: int) -> DataFrame:
         (F.col("turn") <= F.col("taken")).alias("allowed"),
         (F.col("remaining") + F.col("taken") - F.least("turn", "taken")).alias("remaining"),
         "reset_us")
+
+
+def tokens_at(requests: DataFrame, times: DataFrame, limit: int) -> DataFrame:
+    """``ip, us, remaining, reset_us`` at the distinct given times ``(ip, us)``.
+
+    ``remaining`` is the limit less what passed in the last second, both ends included, of the
+    requests up to then; ``reset_us`` the time until the oldest of those leaves (0 without any).
+    Every time becomes two marks among the instants, at its second's end and start, and each
+    address's second is summed on its own.
+    """
+    passed = decide_instants(requests, limit).where("allowed > 0").select(
+        "ip", "us", F.lit(1).alias("place"), F.col("allowed").alias("c"), F.lit(None).cast("long").alias("at"))
+    asked = times.select("ip", "us").distinct()
+    marks = [asked.select("ip", (F.col("us") - back).alias("us"), F.lit(place).alias("place"),
+                          F.lit(0).cast("long").alias("c"), F.col("us").alias("at"))
+             for back, place in ((0, 2), (_SECOND, 0))]
+    events = passed.unionByName(marks[0]).unionByName(marks[1]).withColumn("sec", F.expr(f"us div {_SECOND}"))
+    before = Window.partitionBy("ip", "sec").orderBy("us", "place")
+    after = before.rowsBetween(1, Window.unboundedFollowing)
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+    is_end = F.col("place") == 2
+    first = F.when(F.col("c") > 0, F.col("us"))
+    summed = events.select(
+        "ip", "at", "place", *[F.when(is_end, f(c).over(before)).otherwise(f(c).over(after)).alias(name)
+                               for name, f, c in (("n", F.sum, F.col("c")), ("oldest", F.min, first))],
+    ).where("at is not null")
+    return summed.groupBy("ip", F.col("at").alias("us")).agg(
+        (limit - F.sum(F.coalesce("n", F.lit(0)))).alias("remaining"),
+        F.greatest(F.coalesce(F.min("oldest") + _SECOND - F.first("at"), F.lit(0)), F.lit(0)).alias("reset_us"))
