@@ -17,7 +17,9 @@ from netshield.operators.ticks import scored_windows, tick_features, tick_rows
 from netshield.options import Options
 from netshield.plans import detection
 from netshield.plans.ingestion import alert_messages
+from netshield.plans.replay import read_replay
 from netshield.plans.replay import replay_report as report
+from netshield.session import work_dir
 from netshield.sources.testdata import logs
 
 # Fixed coefficients of the test model: busy, repetitive, failing clients score high.
@@ -161,6 +163,29 @@ def score_gbt(spark, sf_dir):
     return scored.select("ip", ntz("win"), "p", "is_ddos")
 
 
+def model_round_trip(spark, sf_dir):
+    """Facts that hold for any fit: every row scored in range, the attacker's higher, also once loaded."""
+    table = minute_features(logs(spark, sf_dir)).withColumn(
+        "label", (F.col("ip") == "100.100.100.100").cast("double"))
+    model = scoring.train_gbt(table, "label", iterations=5, depth=3)
+    path = work_dir(spark, "model")
+    model.save(path)
+    both = scoring.load_gbt(path)(scoring.gbt_scorer(model)(table).withColumnRenamed("p", "fitted"))
+    attack = F.col("label") == 1
+    return both.agg(
+        F.count(F.lit(1)).alias("scored"), F.min(F.col("p").between(0, 1)).alias("in_range"),
+        (F.avg(F.when(attack, F.col("p"))) > F.avg(F.when(~attack, F.col("p")))).alias("separated"),
+        F.min(F.col("p") == F.col("fitted")).alias("same_when_loaded"))
+
+
+def replay_csv(spark, sf_dir):
+    """The log written as CSV and read for a replay."""
+    path = work_dir(spark, "replay")
+    logs(spark, sf_dir).select("ip", F.col("ts").alias("timestamp"), "request", "status", "bytes_sent", "request_time").write.option(
+        "header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
+    return plain_types(read_replay(spark, path))
+
+
 def replay_report(spark, sf_dir):
     return plain_types(report(logs(spark, sf_dir), scorer(), OPTIONS))
 
@@ -221,6 +246,8 @@ QUERIES = {
     "blocklist_ops": blocklist_ops,
     "score_gbt": score_gbt,
     "replay_report": replay_report,
+    "replay_csv": replay_csv,
+    "model_round_trip": model_round_trip,
 }
 
 _PREVIEW = f""", spread AS (
@@ -335,3 +362,9 @@ SELECT 'unknown' AS host, message AS short_message, tag, epoch(timestamp)::DOUBL
 ORACLES["detections_report"] = f"""
 SELECT date_trunc('minute', alert_ts) AS win, country, count(*) AS alerts, max(problem) AS highest
 FROM ({ORACLES["detect_alerts"]}) found GROUP BY 1, 2"""
+ORACLES["replay_csv"] = with_logs("""
+SELECT ip, ts, request, status, bytes_sent, request_time,
+  row_number() OVER (ORDER BY us, ip, request) AS seq FROM logs""")
+ORACLES["model_round_trip"] = with_logs("""
+SELECT count(*) AS scored, true AS in_range, true AS separated, true AS same_when_loaded
+FROM (SELECT DISTINCT ip, minute FROM logs)""")

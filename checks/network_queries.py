@@ -11,6 +11,7 @@ from netshield.functions.address import hex_family, ip_hex, is_ipv4
 from netshield.options import Options
 from netshield.sources import prefixes as px
 from netshield.sources.geo import ranges_from_addresses
+from netshield.session import work_dir
 from netshield.sources.testdata import logs
 
 PTR_OPTIONS = Options(hostname_timeout_seconds=20)
@@ -104,6 +105,23 @@ def prefix_rejects(spark, sf_dir):
     return prefix_dimension(spark, sf_dir)[1]
 
 
+def prefix_files(spark, sf_dir):
+    """The lists written as files, read by name, saved and loaded again."""
+    lines = _sql(spark, sf_dir, PREFIX_LINES, "supplier")
+    base = work_dir(spark, "lists")
+    paths = spark._jvm.org.apache.hadoop.fs
+    store = paths.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(paths.Path(f"{base}/lists"))
+    for name in [r["name"] for r in lines.select("name").distinct().collect()]:  # a few list names
+        lines.where(F.col("name") == name).select("line").coalesce(1).write.text(f"{base}/parts/{name}")
+        part = next(f.getPath() for f in store.listStatus(paths.Path(f"{base}/parts/{name}"))
+                    if f.getPath().getName().startswith("part-"))
+        store.rename(part, paths.Path(f"{base}/lists/{name}.ips"))
+    prefixes, _ = px.read_prefix_lists(spark, f"{base}/lists")
+    px.save_prefixes(prefixes, f"{base}/saved")
+    return px.load_prefixes(spark, f"{base}/saved")
+
+
 def bot_lpm(spark, sf_dir):
     return match_prefix(addresses(spark, sf_dir), "ip", prefix_load(spark, sf_dir))
 
@@ -259,6 +277,7 @@ STATIC_SQL = ("regexp_matches(lower({r}), '[.](jpg|jpeg|png|gif|svg|ico|webp|css
 QUERIES = {
     "prefix_load": prefix_load,
     "prefix_rejects": prefix_rejects,
+    "prefix_files": prefix_files,
     "bot_lpm": bot_lpm,
     "bot_lpm_distinct": bot_lpm_distinct,
     "geo_range": geo_range,
@@ -304,3 +323,4 @@ WHERE NOT {STATIC_SQL.format(r='request')} AND coalesce(net.s, 0) = 0
   AND NOT EXISTS (SELECT 1 FROM blocked b WHERE b.ip = logs.ip AND b.added_at <= logs.ts
                   AND b.added_at > logs.ts - INTERVAL 60 SECOND)"""),
 }
+ORACLES["prefix_files"] = ORACLES["prefix_load"]
