@@ -46,7 +46,7 @@ _WORDS = frozenset(
     "promotion promoted sidebar sidebars nav navbar navigation menu menus submenu breadcrumb breadcrumbs header footer "
     "masthead topbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription "
     "signup login comment comments commentlist reply replies respond disqus discussion share sharing social related "
-    "recommended recommendations widget widgets toolbar pagination pager copyright alert disclaimer skip paywall".split())
+    "recommended recommendations widget widgets toolbar topnav sidenav aside responses adbox adslot pagination pager copyright alert disclaimer skip paywall".split())
 _NEGATED = frozenset("no has with without".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar "
                    "toolbar tablist note".split())

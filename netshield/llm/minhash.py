@@ -16,7 +16,7 @@ Groups of copies never become all pairs:
   paired with members of other labels, while that leaves many pairs to look at.
 * What then still holds several labels is compared whole. Buckets of at most ``SMALL`` members are
   joined with themselves, on members of different labels that pass a size and a bit-sketch test.
-  Larger ones are dealt into blocks of about ``BLOCK_SHINGLES`` shingles; a task takes two blocks,
+  Larger ones are dealt into blocks of bounded shingles and members; a task takes two blocks,
   counts all intersections as a matrix product, and returns at most one link a member. So every
   pair that shares a band is linked already or looked at, and no task or row count is quadratic
   in what it holds at once.
@@ -47,8 +47,8 @@ _GOLDEN, _MIX1, _MIX2 = (np.uint64(c) for c in (
 _ROUNDS = (np.arange(2 * SKETCH, dtype=np.uint64) + np.uint64(1)) * _GOLDEN
 #: Classes drawn from a bucket at once, rounds of draws, and pairs a member for which rounds go on.
 DRAWS, DRAW_ROUNDS, PAIRS_A_MEMBER = 4, 2, 2
-#: Members of a bucket that may be joined with itself, and shingles of a block of a larger one.
-SMALL, BLOCK_SHINGLES = 48, 200_000
+#: Members of a bucket that may be joined with itself, and shingles and members of a larger one's block.
+SMALL, BLOCK_SHINGLES, BLOCK_MEMBERS = 48, 200_000, 2048
 #: Words whose hashes a Python worker remembers before it starts anew.
 WORD_MEMORY = 200_000
 
@@ -224,7 +224,8 @@ def linked_in_blocks(nodes: np.ndarray, block: np.ndarray, sets: list[np.ndarray
 
 def _in_blocks(large: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Links ``a, b`` of the members of large buckets, from two blocks of a bucket at a time."""
-    blocks = large.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    blocks = large.groupBy("key").agg(F.greatest(
+        F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_MEMBERS)).alias("blocks"))
     dealt = (large.join(blocks, "key")
              .withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
