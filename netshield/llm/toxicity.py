@@ -35,7 +35,7 @@ POSITIVES, NEGATIVES, TRAINING_CHARS = 2000, 3000, 20_000
 #: Windows of one text that training keeps: those of the highest log odds.
 CANDIDATES = 4
 #: Words remembered by a Python worker, and words scored at once.
-WORD_MEMORY, BLOCK_WORDS = 150_000, 150_000
+WORD_MEMORY, BLOCK_WORDS = 60_000, 60_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -308,8 +308,8 @@ def score_texts(model: Model, memory: _Inputs | None, texts: list[str]) -> np.nd
     owner, start, length = windows_of(counts)
     highest = np.full(len(texts), -np.inf)
     offset = np.arange(WINDOW)
-    for k in range(0, len(owner), 2048):
-        part = slice(k, k + 2048)
+    for k in range(0, len(owner), 1024):
+        part = slice(k, k + 1024)
         inside = (offset < length[part, None]).T
         index = rows[np.minimum(start[part, None] + offset, len(rows) - 1)].T
         x = memory.table[index]
@@ -372,5 +372,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     block, size = [], 0
             out.append(score_texts(model, memory, block))
             yield pa.array(np.concatenate(out), pa.float64())
+            del batch, block
+            pa.default_memory_pool().release_unused()
 
     return df.withColumn("score", scored(text_or_empty(text)))
