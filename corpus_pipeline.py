@@ -46,8 +46,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token ids of each document, with digests of them and of the bytes they decode to."""
     ranks, pattern = bpe.public_files()
-    decoded = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern)
-    return decoded.select("doc_id", "lang", "source", "n_tokens", "tokens", F.sha2("tokens", 256).alias("ids_sha256"),
+    return bpe.round_trip(docs, ranks, pattern).select("doc_id", "lang", "source", "n_tokens", "tokens", F.sha2("tokens", 256).alias("ids_sha256"),
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

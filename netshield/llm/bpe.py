@@ -16,11 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DataType, LongType, StructField, StructType
 
-from netshield.llm.common import text_or_empty
+from netshield.llm.common import quoted
 
 #: Characters up to which a text goes to the library in one piece.
 BLOCK = 100_000
+#: Rows whose results leave a task at once.
+SLICE_ROWS = 256
 
 
 def public_files() -> tuple[str, str]:
@@ -76,6 +79,36 @@ def encode_text(encoding, pattern: str, text: str, limit: int = BLOCK) -> np.nda
     return np.concatenate(parts) if parts else np.empty(0, np.uint32)
 
 
+def _over(df: DataFrame, made: list[tuple[str, pa.DataType, DataType]], source: str, make) -> DataFrame:
+    """``df`` with columns made of ``source`` in tasks; results leave in slices, so few are held.
+
+    ``make`` gives a row's new values from the source's value. Columns of the same names go.
+    """
+    names = [name for name, *_ in made]
+    df = df.select(*[F.col(quoted(c)) for c in df.columns if c == source or c.lower() not in names])
+    schema = StructType([*(f for f in df.schema.fields if f.name.lower() not in names),
+                         *(StructField(name, kind) for name, _, kind in made)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = make()
+        for batch in batches:
+            kept = [n for n in batch.schema.names if n.lower() not in names]
+            values = batch.column(batch.schema.get_field_index(source))
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                rows = [ready(v.as_py()) for v in values.slice(start, SLICE_ROWS)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(part.schema.get_field_index(n)) for n in kept),
+                     *(pa.array([row[k] for row in rows], kind) for k, (_, kind, _) in enumerate(made))],
+                    names=[*kept, *names])
+
+    return df.mapInArrow(run, schema)
+
+
+_TOKENS = [("tokens", pa.binary(), BinaryType()), ("n_tokens", pa.int64(), LongType())]
+_DECODED = [("decoded", pa.binary(), BinaryType())]
+
+
 def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text") -> DataFrame:
     """Add ``tokens`` (binary: ids as little-endian unsigned 32-bit integers) and ``n_tokens``.
 
@@ -83,17 +116,16 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text") -> D
     empty text has zero tokens and empty ``tokens``. Input columns named ``tokens`` or
     ``n_tokens`` are replaced; all other columns pass through.
     """
-
-    @F.arrow_udf("binary")
-    def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def make():
         encoding = _encoding(rank_path, pattern)
-        for batch in batches:
-            yield pa.array(
-                [encode_text(encoding, pattern, t.as_py()).astype("<u4").tobytes() for t in batch],
-                pa.binary())
 
-    return (df.withColumn("tokens", packed(text_or_empty(text)))
-            .withColumn("n_tokens", (F.octet_length("tokens") / 4).cast("bigint")))
+        def row(value: str | None) -> tuple:
+            ids = encode_text(encoding, pattern, value or "")
+            return ids.astype("<u4").tobytes(), len(ids)
+
+        return row
+
+    return _over(df, _TOKENS, text, make)
 
 
 def decode(df: DataFrame, rank_path: str, pattern: str, tokens: str = "tokens") -> DataFrame:
@@ -102,16 +134,30 @@ def decode(df: DataFrame, rank_path: str, pattern: str, tokens: str = "tokens")
     Bytes need not be valid UTF-8, as ids may be cut anywhere. Null or empty ``tokens`` decode to
     empty bytes. An input column named ``decoded`` is replaced.
     """
+    def make():
+        encoding = _encoding(rank_path, pattern)
+        return lambda value: (decode_tokens(encoding, value),)
+
+    return _over(df, _DECODED, tokens, make)
+
 
-    @F.arrow_udf("binary")
-    def unpacked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def decode_tokens(encoding, tokens: bytes | None) -> bytes:
+    return encoding.decode_bytes(np.frombuffer(tokens or b"", "<u4").tolist())
+
+
+def round_trip(df: DataFrame, rank_path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``encode`` followed by ``decode`` of its tokens, in one pass of a task over its rows."""
+    def make():
         encoding = _encoding(rank_path, pattern)
-        for batch in batches:
-            yield pa.array(
-                [encoding.decode_bytes(np.frombuffer(t.as_py() or b"", "<u4").tolist()) for t in batch],
-                pa.binary())
 
-    return df.withColumn("decoded", unpacked(F.col(tokens)))
+        def row(value: str | None) -> tuple:
+            ids = encode_text(encoding, pattern, value or "")
+            tokens = ids.astype("<u4").tobytes()
+            return tokens, len(ids), decode_tokens(encoding, tokens)
+
+        return row
+
+    return _over(df, _TOKENS + _DECODED, text, make)
 
 
 def digests(df: DataFrame) -> DataFrame:

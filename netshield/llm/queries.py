@@ -44,8 +44,7 @@ FROM parts
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = bpe.public_files()
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(documents, ranks, pattern).select("doc_id", "tokens", "n_tokens")
-    return bpe.digests(bpe.decode(encoded, ranks, pattern))
+    return bpe.digests(bpe.round_trip(documents, ranks, pattern))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

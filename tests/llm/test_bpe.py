@@ -47,6 +47,15 @@ def test_huge_runs():
         assert encoding.decode_bytes(ids.tolist()).decode() == text
 
 
+def test_one_pass_is_both(spark):
+    df = spark.createDataFrame([(i, t, "clash", [1.5], None) for i, t in enumerate(TEXTS)] * 2,
+                               "doc_id long, text string, Tokens string, more array<double>, nothing int")
+    both = bpe.decode(bpe.encode(df, RANKS, PATTERN), RANKS, PATTERN)
+    one = bpe.round_trip(df, RANKS, PATTERN)
+    assert one.columns == both.columns == ["doc_id", "text", "more", "nothing", "tokens", "n_tokens", "decoded"]
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, both.collect()))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.digests(bpe.decode(bpe.encode(df, RANKS, PATTERN), RANKS, PATTERN)).count() == 0
