@@ -124,3 +124,14 @@ def test_gradients():
             low = loss(x, u)
             array[k] = old
             assert abs((high - low) / 2e-2 - slope[k]) < 2e-2
+
+
+def test_held_out_accuracy(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    asked = docs.join(labels.filter(toxicity.held_out()).select("doc_id", "toxic"), "doc_id")
+    rows = toxicity.score(asked, model).select("toxic", "score").collect()
+    said = [r.toxic for r in rows if r.score >= 0.5]
+    assert len(rows) > 500 and sum(said) >= 0.9 * len(said)
+    assert sum(said) >= 0.75 * sum(r.toxic for r in rows)
