@@ -4,15 +4,19 @@ A vector is represented by its nearest pivots in order. Every pivot has an inver
 vectors that list it, with their places. The footrule distance of two lists (absent pivots count as
 one place past the end) is ``L * (L + 1)`` less twice the sum, over the pivots in both, of the
 smaller number of places from the end; so it is summed along the inverted files of a query's
-pivots. Vectors within a footrule limit are ranked by their inner products in double precision.
-
-Pivots and the limit come from a bounded sample; every vector is indexed. Equal vectors are one
-class that keeps as many of its smallest ids as a result can hold. Queries and classes are dealt
-into blocks of bounded size, and a task takes one block of each.
+pivots. Of a block's vectors the share with the smallest distances is scored first, by inner products
+in double precision. The k-th score is then a bound: every other vector is scored too, unless its
+norm times the query's stays below that. So the index only saves work, and results are exact.
+
+Pivots are directions of a bounded sample, each the farthest from those before, so that a group of
+near copies gives one; every vector is indexed. Equal vectors are one class that keeps as many of
+its smallest ids as a result can hold. Queries and classes are dealt into blocks of bounded size,
+and a task takes one block of each.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from typing import Iterator
 
@@ -23,10 +27,12 @@ from pyspark.sql import functions as F
 
 from netshield.session import settle
 
-#: Pivots, pivots in a vector's list, vectors that fit the limit, and the share of them within it.
+#: Pivots, pivots in a vector's list, vectors that pivots are chosen from, and the share of a block scored first.
 PIVOTS, LISTED, SAMPLE, WITHIN = 256, 64, 3000, 0.3
 #: Vectors of a block, and queries of a block.
 BLOCK, QUERY_BLOCK = 8192, 1024
+#: Queries whose products with a block are held at once.
+PRODUCTS = 128
 
 
 def usable(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -41,7 +47,7 @@ def usable(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding") ->
 
 @dataclass
 class Index:
-    """Pivots (one a row) and the least shared weight of a candidate."""
+    """Pivots (one a row) and the least shared weight of a vector that is scored first."""
 
     pivots: np.ndarray
     least: int
@@ -71,21 +77,20 @@ class Index:
         return [(member[order[a:b]], weight[order[a:b]]) for a, b in zip(cut, cut[1:])]
 
 
-def fit(classes: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE, within: float = WITHIN) -> Index:
-    """Pivots and limit from at most ``sample`` vectors, taken in the order of a hash.
-
-    The limit lets ``within`` of the sampled pairs through.
-    """
+def fit(classes: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) -> Index:
+    """Pivots from at most ``sample`` vectors, taken in the order of a hash: farthest directions first."""
     rows = classes.orderBy("class").limit(sample).select("v").collect()
     if not rows:
         return Index(np.zeros((0, 0)), 0)
     vectors = np.array([r["v"] for r in rows])
-    index = Index(vectors[:pivots], 0)
-    lists = index.lists(vectors)
-    files = index.files(lists)
-    some = range(0, len(vectors), max(1, len(vectors) // 100))
-    pairs = np.concatenate([index.shared(lists[k], files, len(vectors)) for k in some])
-    return Index(index.pivots, max(1, int(np.quantile(pairs, 1 - within))))
+    vectors /= np.abs(vectors).max(1, keepdims=True)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    chosen, near = [0], vectors @ vectors[0]
+    while len(chosen) < min(pivots, len(vectors)):
+        chosen.append(int(np.argmin(near)))
+        near = np.maximum(near, vectors @ vectors[chosen[-1]])
+        near[chosen] = np.inf
+    return Index(vectors[chosen], 1)
 
 
 def classes_of(rows: DataFrame, keep: int) -> DataFrame:
@@ -101,25 +106,48 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def _best(index: Index | None, k: int):
-    """The ``k`` nearest of a block of classes for each query of a block; of all without an index."""
+def _first(index: Index, query_list: np.ndarray, files: list[tuple[np.ndarray, np.ndarray]], size: int, k: int) -> np.ndarray:
+    """Of ``size`` vectors the share nearest to the query by footrule distance, at least ``k`` if there are as many."""
+    shared = index.shared(query_list, files, size)
+    keep = min(size, max(k, math.ceil(WITHIN * size)))
+    return np.flatnonzero(shared >= max(index.least, int(np.partition(shared, size - keep)[size - keep])))
+
+
+def _best(index: Index, k: int):
+    """The ``k`` nearest of a block of classes for each query of a block."""
 
     def found(queries: pa.Table, classes: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
         if len(queries) and len(classes):
-            q, c = _matrix(queries["v"]), _matrix(classes["v"])
-            names, low = classes["class"].to_numpy(), classes["low"].to_numpy()
-            files = index.files(_matrix(classes["list"])) if index else None
-            lists = _matrix(queries["list"]) if index else None
-            for number, name in enumerate(queries["class"].to_numpy()):
-                near = (np.flatnonzero(index.shared(lists[number], files, len(c)) >= index.least) if index
-                        else np.arange(len(c)))
-                score = (c[near] * q[number]).sum(1)
-                if len(near) > k:
-                    part = score >= -np.partition(-score, k - 1)[k - 1]
-                    near, score = near[part], score[part]
-                order = np.lexsort((low[near], -score))[:k]
-                out.append((np.full(len(order), name), names[near[order]], low[near[order]], score[order]))
+            # by falling norm, so that what a bound lets through comes first
+            c = _matrix(classes["v"])
+            norms = np.linalg.norm(c, axis=1)
+            order = np.argsort(-norms, kind="stable")
+            c, norms = c[order], norms[order]
+            names, low = classes["class"].to_numpy()[order], classes["low"].to_numpy()[order]
+            files = index.files(_matrix(classes["list"])[order])
+            q, lists, asked = _matrix(queries["v"]), _matrix(queries["list"]), queries["class"].to_numpy()
+            for begin in range(0, len(q), PRODUCTS):
+                part = slice(begin, begin + PRODUCTS)
+                lengths = np.linalg.norm(q[part], axis=1)
+                firsts = [_first(index, x, files, len(c), k) for x in lists[part]]
+                slack = 1e-12 * lengths * norms[0]  # more than rounding takes
+                bounds = np.full(len(firsts), -np.inf)
+                for n, near in enumerate(firsts):
+                    if len(near) >= k:
+                        bounds[n] = np.partition(c[near] @ q[begin + n], len(near) - k)[len(near) - k] - slack[n]
+                # vectors from here on can't reach the bound of any of these queries
+                reach = max(int((~(norms * x < b)).sum()) for x, b in zip(lengths, bounds))
+                products = q[part] @ c[:reach].T
+                for n, bound in enumerate(bounds):
+                    near = np.flatnonzero(~(products[n] < bound))
+                    if len(near) > k:
+                        score = products[n, near]
+                        near = near[~(score < np.partition(score, len(near) - k)[len(near) - k] - slack[n])]
+                    # summed in the order of ``_product``, so that equal scores are equal there
+                    score = np.cumsum(c[near] * q[begin + n], axis=1)[:, -1]
+                    best = np.lexsort((low[near], -score))[:k]
+                    out.append((np.full(len(best), asked[begin + n]), names[near[best]], low[near[best]], score[best]))
         columns = [np.concatenate(x) for x in zip(*out)] if out else [[], [], [], []]
         return pa.table({"query": pa.array(columns[0], pa.int64()), "class": pa.array(columns[1], pa.int64()),
                          "low": pa.array(columns[2], pa.int64()), "near": pa.array(columns[3], pa.float64())})
@@ -127,7 +155,7 @@ def _best(index: Index | None, k: int):
     return found
 
 
-def _in_blocks(queries: DataFrame, classes: DataFrame, index: Index | None, k: int) -> DataFrame:
+def _in_blocks(queries: DataFrame, classes: DataFrame, index: Index, k: int) -> DataFrame:
     """``query, class``: the ``k`` best classes of each query class over all blocks."""
     blocks = max(1, -(-classes.count() // BLOCK))
     query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
@@ -156,9 +184,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id
     rows but the query's own. Ties go to the smaller id. Rows without an id, and vectors that are
     null, empty, zero, hold null or non-finite components, or haven't the most frequent number of
     components (the larger one in a tie) take no part. A repeated row counts once; an id with
-    several vectors counts with each, though never as its own neighbour. Queries for which the
-    index finds fewer than ``k`` rows are compared with all rows. Other columns are ignored. An
-    empty table, or one without queries, gives an empty result.
+    several vectors counts with each, though never as its own neighbour. Other columns are ignored.
+    An empty table, or one without queries, gives an empty result.
     """
     rows = settle(usable(vectors, id, vector), "vectors")
     classes = settle(classes_of(rows, k + 1), "classes")
@@ -192,13 +219,4 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id
         return (joined.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
                 .select("query_id", "query", "rank", "vec_id", "score"))
 
-    first = settle(ranked(_in_blocks(queries, indexed, index, k + 1), asked), "nearest")
-    enough = first.groupBy("query_id", "query").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
-    short = settle(asked.join(enough.select(F.col("query_id").alias("id"), F.col("query").alias("class")),
-                              ["id", "class"], "left_anti"), "queries")
-    if not short.isEmpty():
-        again = settle(indexed.join(short.select("class").distinct(), "class", "left_semi"), "asked")
-        exact = ranked(_in_blocks(again, indexed, None, k + 1), short)
-        first = (first.join(short.select(F.col("id").alias("query_id"), F.col("class").alias("query")),
-                            ["query_id", "query"], "left_anti").unionByName(exact))
-    return first.select("query_id", "rank", "vec_id", "score")
+    return ranked(_in_blocks(queries, indexed, index, k + 1), asked).select("query_id", "rank", "vec_id", "score")

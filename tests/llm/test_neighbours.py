@@ -88,3 +88,28 @@ def test_recall(spark, sf_dir):
             hits += len(want & {j for _, j, _ in got[i]})
             total += 20
         assert hits / total >= 0.9, hits / total
+
+
+@pytest.mark.parametrize("copies, sigma", [(500, 0.0), (750, 0.0), (0, 1.0), (500, 1.0)])
+def test_near_copies_and_norms(spark, copies, sigma):
+    """Near copies of one vector (not equal) among the rows, and vectors of log-normal norms."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(1500, 64))
+    vectors[rng.permutation(1500)[:copies]] = rng.normal(size=64) + rng.normal(scale=0.01, size=(copies, 64))
+    vectors *= rng.lognormal(0, sigma, (1500, 1)) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(vectors)], SCHEMA.replace("float", "double"))
+    got = answers(neighbours.nearest(df, F.col("vec_id") % 20 == 0))
+    for i in range(0, 1500, 20):
+        score = vectors @ vectors[i]
+        score[i] = -np.inf
+        assert [j for _, j, _ in got[i]] == np.argsort(-score)[:20].tolist(), i
+
+
+def test_pivots_of_near_copies(spark):
+    """A group of near copies gives one pivot while other directions are left."""
+    rng = np.random.default_rng(4)
+    vectors = np.concatenate([rng.normal(size=16) + rng.normal(scale=1e-4, size=(300, 16)), rng.normal(size=(60, 16))])
+    classes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "class long, v array<double>")
+    pivots = neighbours.fit(classes, pivots=40).pivots
+    centre = vectors[0] / np.linalg.norm(vectors[0])
+    assert (pivots @ centre > 0.9999).sum() <= 1
