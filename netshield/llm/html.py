@@ -5,7 +5,7 @@ that are never article text go first: by element (menus, headers, footers, aside
 and by words in class, id and role (adverts, notices, sidebars, comments). For every path of the
 rest, text length and punctuation per block are aggregated; the ratios of the paths, in page order,
 are smoothed with their neighbours and fused, and paths at or above ``LEVEL`` standard deviations
-hold content. Content lies in the deepest element with most of those paths' text, or the article
+hold content. Content lies in the deepest element around all blocks of those paths, or the article
 or main element around it; its blocks are kept, so that headings and one-word paragraphs stay, but
 for paths that consist of links.
 """
@@ -25,8 +25,8 @@ from netshield.llm.common import text_or_empty
 
 #: Standard deviations of the fused ratios that a content path reaches.
 LEVEL = 0.6
-#: Share of the content paths' text that the content element holds, and share of links of a menu.
-MOST, LINKS = 0.8, 0.5
+#: Share of links of a menu.
+LINKS = 0.5
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -222,22 +222,21 @@ def main_text(page: str) -> str:
     content = {path for path, x in fused.items() if x >= level and path not in menus}
     if not content:
         content = set(seen)
-    # the deepest element that holds most of the content paths' text
-    weight = [0.0] * len(read.parents)
-    for text, path, element, _ in read.blocks:
-        if path in content:
-            weight[element] += len(text)
-    for element in range(len(weight) - 1, 0, -1):
-        weight[read.parents[element]] += weight[element]
+    # the deepest element that holds all blocks of the content paths
+    held = [0] * len(read.parents)
+    for _, path, element, _ in read.blocks:
+        held[element] += path in content
+    for element in range(len(held) - 1, 0, -1):
+        held[read.parents[element]] += held[element]
     spread = _branching(read)
-    whole = max(e for e, w in enumerate(weight) if w >= MOST * weight[0] and (spread[e] > 1 or e == 0))
+    whole = max(e for e, n in enumerate(held) if n == held[0] and (spread[e] > 1 or e == 0))
     around = whole
     while around > 0:
         if read.tags[around] in ("article", "main"):
             whole = around
         around = read.parents[around]
-    inside = [False] * len(weight)
-    for element in range(len(weight)):
+    inside = [False] * len(held)
+    for element in range(len(held)):
         inside[element] = element == whole or element > 0 and inside[read.parents[element]]
     return "\n".join(text for text, path, element, _ in read.blocks if inside[element] and path not in menus)
 

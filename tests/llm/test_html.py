@@ -59,3 +59,21 @@ def test_query(spark, sf_dir):
                   for b in re.split(r"</?(?:p|h1|h2|ul|ol|li|blockquote|div|pre)>", article)]
         assert r.text == "\n".join(b for b in blocks if b)
         assert r.n_chars == len(r.text)
+
+
+WORDS = "Some words, that are here; and more of them. "
+
+
+@pytest.mark.parametrize("page, want", [
+    # title and lead beside the body's div
+    ("<body><div class=page><h1>The title</h1><p>{lead}</p><div class=text><p>{long}</p><p>{long}</p></div></div></body>",
+     "The title\n{lead}\n{long}\n{long}"),
+    ("<body><nav>Menu, here.</nav><div><h1>The title</h1></div><div><p>{lead}</p></div><div><p>{long}</p><p>{long}</p></div></body>",
+     "The title\n{lead}\n{long}\n{long}"),
+    # a section of 85 % beside one of 15 %
+    ("<div class=page><section><h2>One</h2><p>{long}</p><p>{long}</p></section><div><h2>Two</h2><p>{lead}</p></div></div>",
+     "One\n{long}\n{long}\nTwo\n{lead}"),
+])
+def test_content_outside_the_largest_element(page, want):
+    parts = {"lead": (WORDS * 4).strip(), "long": (WORDS * 11).strip()}
+    assert main_text(page.format(**parts)) == want.format(**parts)
