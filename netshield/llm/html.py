@@ -6,8 +6,9 @@ and by words in class, id and role (adverts, notices, sidebars, comments). For e
 rest, text length and punctuation per block are aggregated; the ratios of the paths, in page order,
 are smoothed with their neighbours and fused, and paths at or above ``LEVEL`` standard deviations
 hold content. Content lies in the deepest element around all blocks of those paths, or the article
-or main element around it; its blocks are kept, so that headings and one-word paragraphs stay, but
-for paths that consist of links.
+or main element around it; its blocks are kept, so that headings, one-word paragraphs and lists of
+links stay. Paths that consist of links never count as content themselves. On a page whose only
+long texts are links, and that marks no article, there are no lists of links in the result.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ _PEERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 _HOLDS = frozenset("ul ol dl table tbody thead tfoot select menu article section div".split())
 _NEVER = frozenset("head title script style noscript template nav header footer aside form button select textarea "
                    "iframe object svg canvas audio video map menu dialog datalist xmp noembed noframes input".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _MAIN = frozenset("html body main article h1".split())
 _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense banner banners sponsor sponsored promo "
@@ -220,7 +222,8 @@ def main_text(page: str) -> str:
     level = LEVEL * math.sqrt(sum((x - mean) ** 2 for x in fused.values()) / len(fused))
     menus = {path for path, (t, _, _, link) in seen.items() if link > LINKS * t}
     content = {path for path, x in fused.items() if x >= level and path not in menus}
-    if not content:
+    only_links = not content
+    if only_links:
         content = set(seen)
     # the deepest element that holds all blocks of the content paths
     held = [0] * len(read.parents)
@@ -233,12 +236,13 @@ def main_text(page: str) -> str:
     around = whole
     while around > 0:
         if read.tags[around] in ("article", "main"):
-            whole = around
+            whole, only_links = around, False
         around = read.parents[around]
     inside = [False] * len(held)
     for element in range(len(held)):
         inside[element] = element == whole or element > 0 and inside[read.parents[element]]
-    return "\n".join(text for text, path, element, _ in read.blocks if inside[element] and path not in menus)
+    return "\n".join(text for text, path, element, _ in read.blocks if inside[element] and not (
+        only_links and path in menus and read.tags[element] not in _HEADINGS))
 
 
 def _branching(read: Page) -> list[int]:

@@ -77,3 +77,16 @@ WORDS = "Some words, that are here; and more of them. "
 def test_content_outside_the_largest_element(page, want):
     parts = {"lead": (WORDS * 4).strip(), "long": (WORDS * 11).strip()}
     assert main_text(page.format(**parts)) == want.format(**parts)
+
+
+def test_links_in_the_article():
+    text = (WORDS * 10).strip()
+    article = ("<h1><a href=/t>Title, linked</a></h1><p>" + text + "</p><h2><a href=/s>Sources</a></h2>"
+               "<ul><li><a href=1>Source one</a><li><a href=2>Source two</a></ul>")
+    want = f"Title, linked\n{text}\nSources\nSource one\nSource two"
+    menus = "<nav><a href=1>Home</a></nav><ul class=menu><li><a href=2>Menu</a></ul><div role=navigation><a href=3>More</a></div>"
+    outside = "<ul><li><a href=4>Elsewhere</a></ul>"
+    assert main_text(f"<body>{menus}<article>{menus}{article}</article>{outside}</body>") == want
+    assert main_text(f"<body>{menus}{outside}<div>{menus}{article}</div></body>") == want
+    assert main_text("<article><ul><li><a href=1>Source one</a><li><a href=2>Source two</a></ul></article>") == "Source one\nSource two"
+    assert main_text("<ul><li><a href=1>Home page of it</a></li><li><a href=2>Another page</a></li></ul>") == ""
