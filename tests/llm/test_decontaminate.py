@@ -98,3 +98,16 @@ def test_query(spark, sf_dir):
     for r in rows:
         whole = {i for i, t in bench if norm(t) in norm(docs[r.doc_id])}
         assert whole <= set(r.items) and r.contaminated == bool(r.items)
+
+
+@pytest.mark.parametrize("size, edits", [(100, 11), (100, 12), (50, 6)])
+def test_edit_share(size, edits):
+    """A passage with 12 % of its characters changed is found."""
+    rng = random.Random(7)
+    item = "".join(rng.choice("abcdefghijklm ") for _ in range(size)).replace("  ", "xy").strip().ljust(size, "z")
+    text = list(item)
+    for k in range(edits):
+        text[(2 * k + 1) * size // (2 * edits)] = "#"
+    around = "".join(rng.choice("nopqrstuvw ") for _ in range(400))
+    ((found, _, _, least),) = D.Index.build([(5, item)]).matches(around + " " + "".join(text) + " " + around)
+    assert found == 0 and least == edits
