@@ -6,7 +6,9 @@ one probe). A document holds a probe of ``m`` characters when some region of it
 ``e = floor(EDITS * m)`` edits. By the q-gram lemma such a region shares at least
 ``m - q + 1 - q * e`` q-grams with the probe, on diagonals at most ``e`` apart. So matches are
 counted in diagonal bands of ``2 * (e + 1)`` that overlap by half; bands that reach the bound are
-verified by an alignment that stays inside the band, widened by the budget.
+verified by an alignment that stays inside the band, widened by the budget. ``PROBE`` or more
+characters of an item in a row are found wherever they start: as q-grams at consecutive places of
+the document and of the item.
 
 Before matches are expanded by probe, positions go where no window of a probe's length plus its
 budget holds enough positions with any benchmark q-gram; that follows from the same bound.
@@ -80,6 +82,8 @@ class Index:
     items: list
     probes: list[np.ndarray]
     item_of: np.ndarray
+    begin: np.ndarray
+    texts: list[np.ndarray]
     budget: np.ndarray
     bound: np.ndarray
     keys: np.ndarray
@@ -90,7 +94,7 @@ class Index:
 
     @classmethod
     def build(cls, rows: list[tuple]) -> Index:
-        items, probes, item_of = [], [], []
+        items, probes, item_of, begin, texts = [], [], [], [], []
         for item, text in sorted(rows, key=repr):
             codes = normalised(text)
             if len(codes) < SHORTEST:
@@ -99,7 +103,9 @@ class Index:
             for start in sorted({*range(0, last, PROBE // 2), last}):
                 probes.append(codes[start:start + PROBE])
                 item_of.append(len(items))
+                begin.append(start)
             items.append(item)
+            texts.append(codes)
         size = np.array([len(p) for p in probes], np.int64)
         budget = np.floor(EDITS * size).astype(np.int64)
         each = [grams(p) for p in probes]
@@ -110,7 +116,7 @@ class Index:
         keys, first = np.unique(key[order], return_index=True)
         table = np.zeros(1 << _TABLE_BITS, bool)
         table[(keys >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
-        return cls(items, probes, np.array(item_of, np.int64), budget, size - Q + 1 - Q * budget, keys,
+        return cls(items, probes, np.array(item_of, np.int64), np.array(begin, np.int64), texts, budget, size - Q + 1 - Q * budget, keys,
                    np.append(first, len(key)), probe[order], offset[order], table)
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
@@ -142,6 +148,7 @@ class Index:
         many = self.first[number + 1] - self.first[number]
         post = np.repeat(self.first[number] - (np.cumsum(many) - many), many) + np.arange(many.sum())
         probe = self.probe[post]
+        best = self.fragments(codes, np.repeat(at, many), post)
         diagonal = np.repeat(at, many) - self.offset[post]
         width = self.budget[probe] + 1
         band = diagonal // width + 1 + PROBE  # not negative
@@ -151,13 +158,10 @@ class Index:
         bits = max(8, int(4 * len(key)).bit_length())
         cell = ((key.astype(np.uint64) * _BASE) >> np.uint64(64 - bits)).astype(np.int64)
         likely = np.bincount(cell, minlength=1 << bits)[cell] >= least
-        if not likely.any():
-            return []
         placed = np.sort(key[likely] * PROBE + offset[likely])
-        placed = placed[np.append(True, placed[1:] != placed[:-1])] // PROBE
+        placed = placed[np.append(True, placed[1:] != placed[:-1])[:len(placed)]] // PROBE
         bands, counts = np.unique(placed, return_counts=True)
         bands = bands[counts >= self.bound[bands >> _SHIFT]]
-        best: dict[int, tuple] = {}
         spans = []
         for one in bands.tolist():
             p, b = one >> _SHIFT, (one & ((1 << _SHIFT) - 1)) - 1 - PROBE
@@ -185,6 +189,41 @@ class Index:
         return [(item, int(place[s]), int(place[e - 1]) + 1, edits) for item, (s, e, edits) in sorted(best.items())]
 
 
+    def fragments(self, codes: np.ndarray, at: np.ndarray, post: np.ndarray) -> dict[int, tuple[int, int, int]]:
+        """Start, end and 0 edits of the first ``PROBE`` or more characters in a row of each item.
+
+        ``post`` are the postings of the q-grams at the places ``at`` of the text, in order.
+        """
+        size = PROBE - Q + 1
+        places_with = at[np.append(True, at[1:] != at[:-1])]
+        if len(places_with) < size:
+            return {}
+        full = np.flatnonzero(places_with[size - 1:] - places_with[:len(places_with) - size + 1] == size - 1)
+        if not len(full):
+            return {}
+        cover = np.zeros(len(places_with) + 1, np.int64)
+        np.add.at(cover, full, 1)
+        np.add.at(cover, full + size, -1)
+        on = np.isin(at, places_with[np.cumsum(cover[:-1]) > 0])
+        at, post = at[on], post[on]
+        item = self.item_of[self.probe[post]]
+        diagonal = at - self.begin[self.probe[post]] - self.offset[post]
+        order = np.lexsort((at, diagonal, item))
+        item, diagonal, at = item[order], diagonal[order], at[order]
+        new = np.append(True, (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (at[1:] != at[:-1]))
+        item, diagonal, at = item[new], diagonal[new], at[new]
+        cut = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (at[1:] != at[:-1] + 1)))
+        length = np.diff(np.append(cut, len(at)))
+        best: dict[int, tuple[int, int, int]] = {}
+        for k, n in zip(cut[length >= size].tolist(), length[length >= size].tolist()):
+            number, start, end = int(item[k]), int(at[k]), int(at[k]) + n + Q - 1
+            there = start - int(diagonal[k])
+            if (number not in best or start < best[number][0]) and np.array_equal(
+                    codes[start:end], self.texts[number][there:there + end - start]):
+                best[number] = (start, end, 0)
+        return best
+
+
 def exact(probe: np.ndarray, codes: np.ndarray, low: int, high: int) -> int:
     """Where the text holds the probe unchanged on one of the diagonals, or -1."""
     first = max(0, low)

@@ -111,3 +111,16 @@ def test_edit_share(size, edits):
     around = "".join(rng.choice("nopqrstuvw ") for _ in range(400))
     ((found, _, _, least),) = D.Index.build([(5, item)]).matches(around + " " + "".join(text) + " " + around)
     assert found == 0 and least == edits
+
+
+@pytest.mark.parametrize("start, size", [(20, 100), (25, 100), (77, 110), (125, 120), (294, 100)])
+def test_fragments_off_the_grid(start, size):
+    """Characters of a longer item in a row are found wherever they start."""
+    rng = random.Random(8)
+    other = lambda n: "".join(rng.choice("nopqrstuvw ") for _ in range(n))
+    item = "".join(rng.choice("abcdefghijklm") for _ in range(394))
+    text = other(300) + item[start:start + size] + other(300)
+    index = D.Index.build([(1, other(200)), (2, item), (3, "z" + item[5:])])
+    for (number, begin, end, edits), want in zip(index.matches(text), (1, 2), strict=True):
+        assert (number, edits) == (want, 0)
+        assert text[begin:end] == item[start:start + size]
