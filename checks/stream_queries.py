@@ -48,7 +48,7 @@ def stream_window_counters(spark, sf_dir):
              .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
     finish(query)
     done = spark.read.schema(table.schema).parquet(f"{out}/table")
-    pending = pending_counters(logs(spark, sf_dir), done)
+    pending = pending_counters(logs(spark, sf_dir))
     return done.unionByName(pending.select(*done.columns)).select("ip", ntz("win"), *[shown(n) for n in _COUNTERS])
 
 

@@ -26,13 +26,16 @@ def stream_counters(stream: DataFrame, opts: Options = Options()) -> DataFrame:
     return table.withColumn("win", F.col("win.start"))
 
 
-def pending_counters(rows: DataFrame, done: DataFrame, opts: Options = Options()) -> DataFrame:
-    """The features of ``stream_counters`` for the windows of ``rows`` that ``done`` doesn't hold yet.
+def pending_counters(rows: DataFrame, opts: Options = Options()) -> DataFrame:
+    """The features of ``stream_counters`` for the windows of ``rows`` that end after the final watermark.
 
-    For the end of an input, whose last windows no later row closes.
+    For the end of an input, whose last windows no later row closes. Windows that the watermark has
+    passed are left to the stream, whether it emitted them or not.
     """
-    timed = with_window(rows, opts)
-    return counters(timed.join(done.select("ip", "win").distinct(), ["ip", "win"], "left_anti"), ["ip", "win"], opts)
+    final = rows.agg((F.max("ts") - F.expr(f"interval {opts.watermark}")).alias("watermark"))
+    end = F.unix_micros("win") + opts.window_seconds * 1_000_000
+    timed = with_window(rows, opts).join(F.broadcast(final), end > F.unix_micros("watermark")).drop("watermark")
+    return counters(timed, ["ip", "win"], opts)
 
 
 def stream_value_counts(stream: DataFrame, opts: Options = Options()) -> DataFrame:

@@ -10,7 +10,7 @@ from netshield.plans import detection
 from netshield.session import work_dir
 from netshield.streaming.blocklist import stream_blocks
 from netshield.streaming.detection import DetectionLoop
-from netshield.streaming.features import ClosedWindows, stream_value_counts
+from netshield.streaming.features import ClosedWindows, pending_counters, stream_value_counts
 from netshield.streaming.tables import finish, forget
 from test_detection import SCORER, traffic
 from test_features import random_rows
@@ -107,3 +107,14 @@ def test_stream_blocks_equal_batch(spark):
     expected = {(r["ip"], r["us"]) for r in first_detections(seen, opts).collect()}
     got = spark.read.parquet(f"{out}/blocks").select("ip", F.unix_micros("added_at")).collect()
     assert {tuple(r) for r in got} == expected
+
+
+def test_pending_counters_are_open_windows_only(spark):
+    """A closed window that the stream lost isn't filled up from the batch log."""
+    rows = random_rows(11, 120, span=400_000_000)
+    logs = brute.access_logs(spark, rows)
+    newest = max(r[2] for r in rows) - 100_000_000
+    windows = with_window(logs).select("ip", F.unix_micros("win")).distinct().collect()
+    got = {tuple(r) for r in pending_counters(logs).select("ip", F.unix_micros("win")).collect()}
+    assert got == {tuple(r) for r in windows if r[1] + 60_000_000 > newest}
+    assert 0 < len(got) < len(windows)
