@@ -17,6 +17,7 @@ budget holds enough positions with any benchmark q-gram; that follows from the s
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Iterator
 
 import numpy as np
@@ -24,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netshield.llm.common import quoted, text_or_empty
+from netshield.llm.common import fresh, quoted, text_or_empty
 from netshield.llm.minhash import mix
+from netshield.session import settle
 
 Q, PROBE, EDITS = 7, 100, 0.12
 #: Normalised items with fewer characters identify nothing and are left out.
@@ -295,19 +297,32 @@ def search(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     without an id or text, or shorter than ``SHORTEST`` normalised characters, are left out;
     repeated ones give repeated entries. Null and empty texts have no entries. An input column
     named ``leaks`` is replaced; rows and other columns stay as they are. A benchmark of more than
-    ``index_bytes`` is searched in several passes, each with an index of about that size.
+    ``index_bytes`` is searched in several passes, each with an index of about that size; a pass
+    writes what it found to the shared folder before the next index is built.
     """
     usable = benchmark.select(F.col(item).cast("bigint").alias("item"), F.col(item_text).cast("string").alias("text")).filter(
         "item is not null and text is not null")
     total = usable.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     passes = max(1, -(-total // index_bytes))
-    columns = []
-    for k in range(passes):
-        part = usable.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k) if passes > 1 else usable
-        columns.append(_searcher(Index.build([tuple(r) for r in part.collect()]))(text_or_empty(text)))
     kept = [F.col(quoted(c)) for c in df.columns if c.lower() != "leaks"]
-    leaks = columns[0] if passes == 1 else F.concat(*columns)
-    return df.select(*kept, F.array_sort(leaks).alias("leaks"))
+    if passes == 1:
+        leaks = _searcher(Index.build([tuple(r) for r in usable.collect()]))(text_or_empty(text))
+        return df.select(*kept, F.array_sort(leaks).alias("leaks"))
+    # each pass writes what it found before the next one's index is built
+    row, row_found, all_found = fresh(df, "row"), fresh(df, "row_found"), fresh(df, "found")
+    rows = settle(df.withColumn(row, F.monotonically_increasing_id()), "documents")
+    usable = settle(usable.withColumn("pass", F.pmod(F.xxhash64("item", "text"), F.lit(passes))), "benchmark")
+    found = []
+    for k in range(passes):
+        part = usable.filter(F.col("pass") == k).select("item", "text").collect()
+        leaks = _searcher(Index.build([tuple(r) for r in part]))(text_or_empty(text))
+        found.append(settle(rows.select(row, leaks.alias("leaks")).filter(F.size("leaks") > 0), "leaks"))
+        del part, leaks
+    every = reduce(DataFrame.unionByName, found).groupBy(row).agg(F.flatten(F.collect_list("leaks")).alias(all_found))
+    every = every.withColumnRenamed(row, row_found)
+    none = F.array().cast(every.schema[all_found].dataType)
+    joined = rows.select(*kept, F.col(row)).join(every, F.col(row) == F.col(row_found), "left")
+    return joined.select(*kept, F.array_sort(F.coalesce(F.col(all_found), none)).alias("leaks"))
 
 
 def _searcher(index: Index):

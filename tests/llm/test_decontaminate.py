@@ -124,3 +124,17 @@ def test_fragments_off_the_grid(start, size):
     for (number, begin, end, edits), want in zip(index.matches(text), (1, 2), strict=True):
         assert (number, edits) == (want, 0)
         assert text[begin:end] == item[start:start + size]
+
+
+def test_one_index_at_a_time(spark, monkeypatch):
+    """A pass writes its result before the next index is built."""
+    events, build, settle = [], D.Index.build, D.settle
+    monkeypatch.setattr(D.Index, "build", lambda rows: events.append("build") or build(rows))
+    monkeypatch.setattr(D, "settle", lambda df, label: events.append(label) or settle(df, label))
+    items = [(i, f"item number {i * 7919} of a benchmark with its own words {i * 104729}") for i in range(6)]
+    df = spark.createDataFrame([(7, None, "r"), (8, items[2][1] + " and " + items[5][1], "s"), (8, "clean", "t")],
+                               "found long, text string, row string")
+    rows = D.search(df, spark.createDataFrame(items, "item_id long, text string"), index_bytes=150).collect()
+    assert sorted((r.found, r.row, [x.item_id for x in r.leaks]) for r in rows) == [(7, "r", []), (8, "s", [2, 5]), (8, "t", [])]
+    built = [e for e in events if e in ("build", "leaks")]
+    assert len(built) > 2 and built == ["build", "leaks"] * (len(built) // 2)
