@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from netshield.llm import bpe, decontaminate, minhash, neighbours, pii, preference, toxicity, urlfilter, warc
+from netshield.llm import bpe, decontaminate, fim, minhash, neighbours, pii, preference, toxicity, urlfilter, warc
 from netshield.llm import html as pages_html
 from netshield.llm.common import table
 
@@ -172,9 +172,38 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",)))
 
 
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fim.arrange(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = fim.restore(fim.render(docs).drop("text"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256",
+                        F.sha2("restored", 256).alias("restored_sha256"))
+
+
+OP13_SQL = r"""
+WITH hashed AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+units AS (
+  SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+    ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+    ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM hashed),
+cuts AS (
+  SELECT *, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+    CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM units),
+parts AS (
+  SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m,
+    coalesce(array_to_string(u[b + 1:], ''), '') AS s FROM cuts)
+SELECT doc_id, len(u)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(p || m || s) AS restored_sha256
+FROM parts
+"""
+
+
 QUERIES = {"op1_urlfilter": op1_urlfilter, "op2_neighbours": op2_neighbours, "op3_toxicity": op3_toxicity, "op4_minhash": op4_minhash, "op5_decontamination": op5_decontamination, "op6_html": op6_html, "op7_preference": op7_preference, "op8_bpe": op8_bpe,
-           "op9_pii": op9_pii, "op10_warc": op10_warc,
+           "op9_pii": op9_pii, "op10_warc": op10_warc, "op13_fim": op13_fim,
            "pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {"op1_urlfilter": OP1_SQL, "op4_minhash": OP4_SQL, "op7_preference": OP7_SQL, "op10_warc": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_urlfilter": OP1_SQL, "op4_minhash": OP4_SQL, "op7_preference": OP7_SQL, "op10_warc": OP10_SQL,
+                           "op13_fim": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
