@@ -9,18 +9,18 @@ stream them. ``restore`` finds the descriptors in a rendered text and applies th
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netshield.llm.common import fresh, quoted, text_or_empty
 
-# The sentinels, the unit of cutting, and the order of the parts in each form.
+# The sentinels, white space, and the order of the parts in each form.
 SENTINELS = ("<P>", "<S>", "<M>")
-UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+SPACES = b" \t\n\v\f\r"
 #: Positions in (prefix, middle, suffix, <P>, <S>, <M>), in the order of the output.
 ARRANGEMENTS = {"psm": (3, 0, 4, 2, 5, 1), "spm": (4, 2, 3, 0, 5, 1)}
 
@@ -65,20 +65,31 @@ def _sentinel_pieces() -> list[Piece]:
     return [(SENTINEL, start, len(mark)) for start, mark in zip(starts, SENTINELS)]
 
 
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[list(SPACES)] = True
+
+
+def unit_ends(data: bytes) -> np.ndarray:
+    """Where units end, in bytes.
+
+    A unit is a run of other characters with the white space before it; white space at the end of
+    the text is one of its own.
+    """
+    space = _IS_SPACE[np.frombuffer(data, np.uint8)]
+    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    return np.append(ends, len(data)) if data else ends
+
+
 def plan(text: str, draws: Sequence[int], rate: int, spm: int) -> tuple[int, str, list[Piece]]:
     """Units, form and descriptors of one text; ``draws`` are four unsigned integers."""
-    n = sum(1 for _ in UNIT.finditer(text))
-    whole = [(TEXT, 0, len(text))]
+    data = text.encode()
+    ends = unit_ends(data)
+    n, whole = len(ends), [(TEXT, 0, len(text))]
     if not text or any(mark in text for mark in SENTINELS) or draws[2] % 100 >= rate:
         return n, "plain", whole
-    wanted = sorted(draw % (n + 1) for draw in draws[:2])
-    ends = {0: 0}
-    for k, unit in enumerate(UNIT.finditer(text), 1):
-        if k in wanted:
-            ends[k] = unit.end()
-        if k >= wanted[1]:
-            break
-    parts = cut(cut(whole, ends[wanted[0]]), ends[wanted[1]])
+    parts = whole
+    for k in sorted(draw % (n + 1) for draw in draws[:2]):
+        parts = cut(parts, len(data[:ends[k - 1]].decode()) if k else 0)
     form = "spm" if draws[3] % 100 < spm else "psm"
     return n, form, permute([*parts, *_sentinel_pieces()], ARRANGEMENTS[form])
 
