@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from netshield.llm import bpe, decontaminate, fim, minhash, neighbours, pii, preference, toxicity, urlfilter, warc
+from netshield.llm import bpe, decontaminate, fim, licenses, minhash, neighbours, pii, preference, toxicity, urlfilter, warc
 from netshield.llm import html as pages_html
 from netshield.llm.common import table
 
@@ -172,6 +172,15 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",)))
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    starts = F.transform("base", lambda d: d["start"])
+    return found.select("doc_id", "n_words", F.size("base").cast("bigint").alias("n_base"),
+                        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+                        licenses.labels("base").alias("base_labels"), licenses.labels("base", "detections").alias("labels"),
+                        licenses.score().alias("score"), "detections")
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fim.arrange(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = fim.restore(fim.render(docs).drop("text"))
@@ -201,7 +210,7 @@ FROM parts
 
 
 QUERIES = {"op1_urlfilter": op1_urlfilter, "op2_neighbours": op2_neighbours, "op3_toxicity": op3_toxicity, "op4_minhash": op4_minhash, "op5_decontamination": op5_decontamination, "op6_html": op6_html, "op7_preference": op7_preference, "op8_bpe": op8_bpe,
-           "op9_pii": op9_pii, "op10_warc": op10_warc, "op13_fim": op13_fim,
+           "op9_pii": op9_pii, "op10_warc": op10_warc, "op12_licenses": op12_licenses, "op13_fim": op13_fim,
            "pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {"op1_urlfilter": OP1_SQL, "op4_minhash": OP4_SQL, "op7_preference": OP7_SQL, "op10_warc": OP10_SQL,
                            "op13_fim": OP13_SQL}
