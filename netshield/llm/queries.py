@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from netshield.llm import bpe, decontaminate, fim, licenses, minhash, neighbours, pii, preference, toxicity, urlfilter, warc
+from netshield.llm import bpe, decontaminate, divergence, fim, licenses, minhash, neighbours, pii, preference, toxicity, urlfilter, warc
 from netshield.llm import html as pages_html
 from netshield.llm.common import table
 
@@ -172,6 +172,41 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",)))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+placed AS (SELECT k, lang, source, unnest(words) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM placed GROUP BY ALL HAVING count(DISTINCT k) >= 30),
+sources AS (SELECT DISTINCT lang, source FROM d),
+used AS (SELECT lang, source, term, count(*) AS n FROM placed SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+full_ AS (
+  SELECT s.lang, s.source, k.term, coalesce(u.n, 0) AS n, k.n AS lang_n FROM sources s JOIN kept k USING (lang)
+  LEFT JOIN used u ON u.lang = s.lang AND u.source = s.source AND u.term = k.term),
+shares AS (
+  SELECT *, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER g + 5 * count(*) OVER g) AS p,
+    1 + (1000000000::HUGEINT * (lang_n + 5)) // (sum(lang_n) OVER g + 5 * count(*) OVER g) AS q
+  FROM full_ WINDOW g AS (PARTITION BY lang, source)),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value,
+  row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
 def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     starts = F.transform("base", lambda d: d["start"])
@@ -210,9 +245,9 @@ FROM parts
 
 
 QUERIES = {"op1_urlfilter": op1_urlfilter, "op2_neighbours": op2_neighbours, "op3_toxicity": op3_toxicity, "op4_minhash": op4_minhash, "op5_decontamination": op5_decontamination, "op6_html": op6_html, "op7_preference": op7_preference, "op8_bpe": op8_bpe,
-           "op9_pii": op9_pii, "op10_warc": op10_warc, "op12_licenses": op12_licenses, "op13_fim": op13_fim,
+           "op9_pii": op9_pii, "op10_warc": op10_warc, "op11_divergence": op11_divergence, "op12_licenses": op12_licenses, "op13_fim": op13_fim,
            "pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {"op1_urlfilter": OP1_SQL, "op4_minhash": OP4_SQL, "op7_preference": OP7_SQL, "op10_warc": OP10_SQL,
-                           "op13_fim": OP13_SQL}
+                           "op11_divergence": OP11_SQL, "op13_fim": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
