@@ -90,3 +90,46 @@ def test_links_in_the_article():
     assert main_text(f"<body>{menus}{outside}<div>{menus}{article}</div></body>") == want
     assert main_text("<article><ul><li><a href=1>Source one</a><li><a href=2>Source two</a></ul></article>") == "Source one\nSource two"
     assert main_text("<ul><li><a href=1>Home page of it</a></li><li><a href=2>Another page</a></li></ul>") == ""
+
+
+LONG = (WORDS * 10).strip()
+
+
+@pytest.mark.parametrize("page, want", [
+    # words of furniture on elements around the page or the article
+    ("<body><div class='layout sidebar-right'><p>{long}</p></div></body>", "{long}"),
+    ("<body><div id=page class=menu-open><nav>Menu.</nav><article><h1>Title</h1><p>{long}</p></article></div></body>", "Title\n{long}"),
+    ("<article class='post ad-free'><p>{long}</p></article>", "{long}"),
+    ("<article class='category-social-studies'><h1>Title</h1><p>{long}</p></article>", "Title\n{long}"),
+    ("<div class=post-header><h1>Title</h1></div><div><p>{long}</p></div>", "Title\n{long}"),
+    ("<form id=aspnetForm action=x><div><h1>Title</h1><p>{long}</p><input></div></form>", "Title\n{long}"),
+    ("<article><header><h1>Title</h1></header><p>{long}</p></article>", "Title\n{long}"),
+    ("<div class='site-header'>Slogan, of a site.</div><div><h1>Title</h1><p>{long}</p></div>", "Title\n{long}"),
+    # a menu that nothing marks, before and after the text
+    ("<ul><li><a href=1>Home</a><li><a href=2>About us</a></ul><p>{long}</p><p>{long}</p>", "{long}\n{long}"),
+    ("<div><p>{long}</p><p>{long}</p><ul><li><a href=1>Terms</a><li><a href=2>Contact us</a></ul></div>", "{long}\n{long}"),
+    ("<div><p>{long}</p><ul><li><a href=1>A link</a></ul><p>{long}</p><h2>Sources</h2><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></div>",
+     "{long}\nA link\n{long}\nSources\nOne\nTwo"),
+    # comments go even where they are longer, and articles among them protect nothing
+    ("<div class=wrap><h1>Title</h1><p>{long}</p></div><div id=comments class=comments-area><article id=comment-1 class=comment-body>"
+     "<p>{long} {long}</p><p>{long} {long}</p></article></div>", "Title\n{long}"),
+    # furniture inside an element around the page still goes
+    ("<div class='layout sidebar-right'><p>{long}</p><div class=sidebar>Side, here.</div><footer>Foot.</footer></div>", "{long}"),
+    ("<div class='promo-box'><h1>Title</h1><p>Buy it.</p></div><div><p>{long}</p></div>", "Title\n{long}"),
+])
+def test_words_of_furniture(page, want):
+    assert main_text(page.replace("{long}", LONG)) == want.replace("{long}", LONG)
+
+
+def test_tokens():
+    from netshield.llm.html import _kind_of_token
+
+    for token in ("ad", "cookie-notice", "ad-box", "siteHeader", "comment_list", "sidebar-right", "related-posts", "footer2"):
+        assert _kind_of_token(token), token
+    for token in ("ad-free", "menu-open", "has-sidebar", "post-header", "category-social-studies", "article", "adult", ""):
+        assert not _kind_of_token(token), token
+
+
+def test_many_nested_wrappers_are_linear():
+    page = "<div class=sidebar>" * 20_000 + "<p>" + LONG + "</p>" + "</div>" * 20_000
+    assert main_text(page) == LONG
