@@ -355,8 +355,8 @@ def keep_one(df: DataFrame, words: int = 5, share: int = 80, id: str = "doc_id",
     All columns stay. Of rows with equal id and text one stays; rows without an id or words stay.
     """
     id_key, mark = fresh(df, "id_key"), fresh(df, "mark")
-    number = F.coalesce(F.col(quoted(id)).cast("bigint"), F.lit(-(1 << 63)))
-    kept = (near_duplicates(df, words, share, id, text).filter("kept")
-            .select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias(id_key), F.col("text_hash").alias(mark)).distinct())
-    marked = df.withColumns({id_key: number, mark: F.xxhash64(text_or_empty(text))})
-    return marked.join(kept, [id_key, mark], "left_semi").dropDuplicates([id_key, mark]).drop(id_key, mark)
+    kept = (near_duplicates(df, words, share, id, text).filter("kept and doc_id is not null")
+            .select(F.col("doc_id").alias(id_key), F.col("text_hash").alias(mark)).distinct())
+    marked = df.withColumns({id_key: F.col(quoted(id)).cast("bigint"), mark: F.xxhash64(text_or_empty(text))})
+    named = marked.join(kept, [id_key, mark], "left_semi").dropDuplicates([id_key, mark])
+    return named.unionByName(marked.filter(F.col(id_key).isNull())).drop(id_key, mark)

@@ -73,6 +73,35 @@ def test_stages(spark, tables):
         assert r.n_tokens == len(bpe._encoding(ranks, pattern).encode_ordinary(text))
 
 
+def test_columns_with_clashing_names(spark, tables):
+    """Columns named like the operators' results stay as they are; rows without an id stay."""
+    folder, texts, _ = tables
+    names = {"score": 0.25, "leaks": "mine", "spans": "s", "base_spans": None, "whole_row": 7, "tokens": "t", "id_key": 1, "Text_Hash": "h"}
+    rows = [(i, t, "en", "s", None if t is None else len(t), *names.values()) for i, t in texts.items() if i < 60 or i >= 500]
+    rows += [(None, t, "en", "s", 5, *names.values()) for t in ("no id here", "no id here", "", None, None)]
+    schema = SCHEMA + ", score double, leaks string, spans string, base_spans string, whole_row int, tokens string, id_key int, Text_Hash string"
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, folder).cache()
+        assert docs.schema.simpleString() == before.schema.simpleString(), name
+        found = docs.collect()
+        assert all(tuple(r[5:]) == tuple(names.values()) for r in found), name
+        assert sum(r.doc_id is None for r in found) == 5, name
+    assert corpus_pipeline.encode(spark, docs, folder).count() == docs.count()
+
+
+def test_empty_and_repeated_rows(spark, tables):
+    folder, texts, _ = tables
+    docs = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, folder).count() == 0
+    rows = [(1, texts[0], "en", None, 3)] * 3 + [(1, texts[5], None, "s", None), (2, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder).cache()
+    assert sorted((r.doc_id, r.text or "") for r in docs.collect()) == sorted([(1, texts[0]), (1, texts[5]), (2, "")])
+
+
 def test_run(spark, tables):
     folder, texts, _ = tables
     out = corpus_pipeline.run(spark, folder)
