@@ -9,8 +9,8 @@ sums over distinct shares); and what both use is corrected once more by a freque
 A term's row for the tree is the path of the groups that use it, in the order of the groups' sizes,
 with their shares; equal rows count with their multiplicity. The tree is never stored: with the rows
 dealt and sorted by path, a task holds only the path to the current node, and the rows below a node
-are consecutive. A node that is left corrects its pairs with all its ancestors at once, times its
-multiplicity. A node on the border of two tasks is two nodes, which the final sums put together.
+are consecutive. Rows are dealt by the start of their paths, and sorted in full. A node that is left corrects its pairs with all its ancestors at once, times its
+multiplicity. A node in two tasks is two nodes, whose corrections the final sums put together.
 """
 
 from __future__ import annotations
@@ -206,7 +206,9 @@ def tree_corrections(cells: DataFrame) -> DataFrame:
                 [pa.array([lang] * len(a), pa.string()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(value, pa.int64())],
                 ["lang", "a", "b", "value"])
 
-    sorted_rows = counted.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
+    # the start of a path keeps neighbours of the tree together, its hash splits starts that many share
+    dealt = counted.repartitionByRange("lang", F.slice("path", 1, 3), F.xxhash64("path"))
+    sorted_rows = dealt.sortWithinPartitions("lang", "path")
     found = sorted_rows.mapInArrow(walked, "lang string, a int, b int, value bigint")
     return found.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
