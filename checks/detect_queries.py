@@ -10,6 +10,7 @@ from netshield.operators import blocklist as bl
 from netshield.operators import scoring
 from netshield.operators.features import minute_features
 from netshield.operators.gelf import gelf_documents
+from netshield.operators.panes import panes
 from netshield.operators.preview import preview_rows, previews
 from netshield.operators.rollups import detection_counts
 from netshield.operators.running import running_features, trailing_buffer
@@ -31,6 +32,11 @@ SCORE_SQL = ("1 / (1 + exp(-(-2.0 + request_rate * 1.5 + error_rate * 2.0 + path
 PREVIEW_LIMIT = 4000
 
 
+#: Digits of a mean time at ticks. At ten, means of 64 or 128 requests end in a five behind the last one
+#: shown, and the order of summation decides; at twelve, the comparison is tighter and no such ties occur.
+_MEAN_DIGITS = 12
+
+
 def scorer():
     return scoring.logistic_scorer(WEIGHTS, BIAS)
 
@@ -45,9 +51,10 @@ def buffer_sizes(spark, sf_dir):
 
 
 def sliding_ticks(spark, sf_dir):
-    rows = tick_rows(logs(spark, sf_dir))
-    table = tick_features(rows, scored_windows(rows))
-    return table.select("ip", "tick", ntz("win"), ntz("timestamp"), *[shown(n) for n in FEATURES])
+    held = panes(logs(spark, sf_dir))
+    table = tick_features(held, scored_windows(held.states))
+    return table.select("ip", "tick", ntz("win"), ntz("timestamp"), *[
+        F.round(n, _MEAN_DIGITS).alias(n) if n == "time_mean" else shown(n) for n in FEATURES])
 
 
 def score_logistic(spark, sf_dir):
@@ -80,6 +87,16 @@ def detect_alerts(spark, sf_dir):
         F.col("ip2location.region").alias("region"))
 
 
+ROUND_OPTIONS = Options(min_rps=1.0, block_seconds=60)
+
+
+def detect_rounds(spark, sf_dir):
+    """Alerts with a block of one minute, so that addresses are detected again and again."""
+    found = detection.detect(logs(spark, sf_dir), scorer(), opts=ROUND_OPTIONS)
+    return found.select(ntz("alert_ts"), "ip", "req_count", "rps", "err_rate", "ip_data_rows_total",
+                        *[F.round(f"last_feature.{n}", 6).alias(n) for n in ("path_entropy", "bytes_std", "burst_rate", "interval_kurt")])
+
+
 def gelf_alerts(spark, sf_dir):
     """Alerts as log-store documents."""
     documents = gelf_documents(alert_messages(alerts(spark, sf_dir), "alerts", "alerts"), F.lit(0.0))
@@ -205,6 +222,7 @@ latest AS (
 """
 _SPLIT = "string_split(ip, '@')[1] AS addr, string_split(ip, '@')[2]::BIGINT AS tick"
 _ALL = ", ".join(map(shown_sql, FEATURES))
+_TICK_ALL = ", ".join(f"round({n}, {_MEAN_DIGITS}) AS {n}" if n == "time_mean" else shown_sql(n) for n in FEATURES)
 
 _RUNNING = """, ranked AS (
   SELECT *, row_number() OVER (PARTITION BY ip, minute ORDER BY us, seq) AS pos FROM logs),
@@ -236,6 +254,7 @@ QUERIES = {
     "score_logistic": score_logistic,
     "split_results": split_results,
     "detect_alerts": detect_alerts,
+    "detect_rounds": detect_rounds,
     "gelf_alerts": gelf_alerts,
     "detections_report": detections_report,
     "score_history": score_history,
@@ -279,7 +298,7 @@ FROM logs a JOIN logs b ON a.ip = b.ip AND b.us >= a.us - 60000000
   AND (b.us < a.us OR (b.us = a.us AND b.seq <= a.seq)) GROUP BY a.seq, a.ip"""),
     "sliding_ticks": with_logs(f"""{TICKED}{feature_ctes("ticked")}
 SELECT f.addr AS ip, f.tick, f.win, f.* EXCLUDE (ip, addr, tick, win)
-FROM (SELECT ip, {_SPLIT}, win, timestamp, {_ALL} FROM feats) f
+FROM (SELECT ip, {_SPLIT}, win, timestamp, {_TICK_ALL} FROM feats) f
 JOIN latest l ON f.addr = l.addr AND f.tick = l.tick AND f.win = make_timestamp(l.minute * 60000000)"""),
     "score_logistic": with_logs(f"""{feature_ctes()}
 SELECT ip, win, round(p, 6) AS p, p >= 0.7 AS is_ddos, round(1 - p, 6) AS normal
@@ -356,6 +375,40 @@ LEFT JOIN located l ON l.ip = f.ip""")
 
 
 ORACLES["detect_alerts"] = _detect_oracle()
+# Every evaluation for every instant at which its series may have resumed; a chain picks those that occur.
+ORACLES["detect_rounds"] = with_logs(f""", ticked AS (
+  SELECT * REPLACE (ip || '@' || tick || '@' || cut AS ip), ip AS addr FROM (
+    SELECT *, unnest(generate_series(tick - 60000000, tick, 5000000)) AS cut FROM (
+      SELECT *, unnest(generate_series((us + 4999999) // 5000000 * 5000000,
+        (us + 60000000) // 5000000 * 5000000, 5000000)) AS tick FROM logs)) WHERE us >= cut
+),
+groups AS (
+  SELECT addr, tick, cut, minute, count(*) AS n, max(us) AS last_us FROM ticked GROUP BY ALL
+),
+latest AS (
+  SELECT addr, tick, cut, max(minute) AS minute, sum(n) AS total FROM groups GROUP BY addr, tick, cut
+  HAVING sum(n) >= 3 AND max(last_us) >= tick - 30000000
+)
+{feature_ctes("ticked")}, scored AS (
+  SELECT f.*, string_split(ip, '@')[1] AS addr, string_split(ip, '@')[2]::BIGINT AS tick,
+    string_split(ip, '@')[3]::BIGINT AS cut, {SCORE_SQL} AS p FROM feats f),
+hits AS (
+  SELECT s.* EXCLUDE (ip), l.total FROM scored s JOIN latest l ON s.addr = l.addr AND s.tick = l.tick AND s.cut = l.cut
+    AND s.win = make_timestamp(l.minute * 60000000)
+  WHERE p >= 0.7 AND request_rate >= 1.0),
+chain AS (
+  WITH RECURSIVE step(addr, tick, cut) AS (
+    SELECT addr, min(tick), min(tick) - 60000000 FROM hits WHERE cut = tick - 60000000 GROUP BY addr
+    UNION ALL
+    SELECT s.addr, min(h.tick), greatest(s.tick + 60000000, min(h.tick) - 60000000)
+    FROM step s JOIN hits h ON h.addr = s.addr AND h.tick >= s.tick + 60000000
+      AND h.cut = greatest(s.tick + 60000000, h.tick - 60000000)
+    GROUP BY s.addr, s.tick)
+  SELECT * FROM step)
+SELECT make_timestamp(h.tick) AS alert_ts, h.addr AS ip, request_count AS req_count, round_even(requests_per_second, 2) AS rps,
+  round_even(error_rate, 2) AS err_rate, total::BIGINT AS ip_data_rows_total, round(path_entropy, 6) AS path_entropy,
+  round(bytes_std, 6) AS bytes_std, round(burst_rate, 6) AS burst_rate, round(interval_kurt, 6) AS interval_kurt
+FROM chain c JOIN hits h ON h.addr = c.addr AND h.tick = c.tick AND h.cut = c.cut""")
 ORACLES["gelf_alerts"] = f"""
 SELECT 'unknown' AS host, message AS short_message, tag, epoch(timestamp)::DOUBLE AS timestamp, ip, domain,
   req_count::BIGINT AS req_count, country, 'alerts' AS source_queue FROM ({ORACLES["detect_alerts"]}) found"""

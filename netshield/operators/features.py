@@ -37,6 +37,11 @@ def _count(condition: Column) -> Column:
 
 def counters(rows: DataFrame, keys: Sequence[str], opts: Options = Options()) -> DataFrame:
     """Features that combine algebraically: counts, ratios, byte and time statistics, errors."""
+    return counter_features(counter_sums(rows, keys), keys, opts)
+
+
+def counter_sums(rows: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    """What ``counter_features`` is made of, per group; ``more`` aggregates may use bytes ``b`` and seconds ``t``."""
     parts = match_request(F.col("request"))
     base = rows.select(
         *keys, "us", "status",
@@ -46,7 +51,7 @@ def counters(rows: DataFrame, keys: Sequence[str], opts: Options = Options()) ->
         parts["version"].alias("v"),
     )
     status = F.col("status")
-    sums = base.groupBy(*keys).agg(
+    return base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("us").alias("first_us"),
         F.max("us").alias("last_us"),
@@ -66,7 +71,11 @@ def counters(rows: DataFrame, keys: Sequence[str], opts: Options = Options()) ->
                 ("kurt", F.kurtosis), ("min", F.min), ("max", F.max),
             )
         ],
+        *more,
     )
+
+
+def counter_features(sums: DataFrame, keys: Sequence[str], opts: Options = Options()) -> DataFrame:
     n = F.col("n")
     session = seconds(F.col("last_us") - F.col("first_us"))
     get_ratio, post_ratio = F.col("gets") / n, F.col("posts") / n
@@ -127,8 +136,12 @@ def _entropy(field: str) -> list[Column]:
 
 def diversity(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct paths and the natural-log entropies of path, method and status."""
+    return diversity_of(value_counts(rows, keys), keys)
+
+
+def diversity_of(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     fields = ("path", "method", "status")
-    sums = value_counts(rows, keys).groupBy(*keys).agg(*[c for f in fields for c in _entropy(f)])
+    sums = counts.groupBy(*keys).agg(*[c for f in fields for c in _entropy(f)])
 
     def entropy(field: str) -> Column:
         total = F.col(f"{field}_total")
@@ -150,6 +163,11 @@ def gaps(rows: DataFrame, keys: Sequence[str], opts: Options = Options()) -> Dat
     gaps between slices are added from their ends. A burst starts at a near request whose
     predecessor isn't near; whether a slice's first request is near shows at its edge.
     """
+    return gap_features(merged_runs(gap_slices(rows, keys, opts), keys, "slice", True, opts), keys)
+
+
+def gap_slices(rows: DataFrame, keys: Sequence[str], opts: Options = Options()) -> DataFrame:
+    """The run of requests of every group and one-second ``slice``, see ``merged_runs``."""
     sliced = [*keys, F.expr(f"us div {SLICE_US}").alias("slice")]
     inside = Window.partitionBy(*keys, "slice").orderBy("us")
     near_gap = F.col("gap_us") <= opts.burst_gap_us
@@ -159,7 +177,7 @@ def gaps(rows: DataFrame, keys: Sequence[str], opts: Options = Options()) -> Dat
     ).withColumn("near", F.coalesce(near_gap, F.lit(False)))
     ordered = ordered.withColumn("prev_near", F.lag("near").over(inside))
     gap = seconds(F.col("gap_us"))
-    slices = ordered.groupBy(*keys, "slice").agg(
+    return ordered.groupBy(*keys, "slice").agg(
         F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"),
         *[F.coalesce(F.sum(F.pow(gap, F.lit(k))), F.lit(0.0)).alias(f"s{k}") for k in (2, 3, 4)],
         _count((F.col("i") > 2) & F.col("near") & ~F.col("prev_near")).alias("starts"),
@@ -168,23 +186,44 @@ def gaps(rows: DataFrame, keys: Sequence[str], opts: Options = Options()) -> Dat
         F.max((F.col("i") == 2) & F.col("near")).alias("second_near"),
         F.max_by("near", "i").alias("last_near"),
     )
-    order = Window.partitionBy(*keys).orderBy("slice")
-    edged = slices.withColumn(
-        "edge_us", F.coalesce(F.col("first_us") - F.lag("last_us").over(order), F.lit(0)))
+
+
+def merged_runs(runs: DataFrame, keys: Sequence[str], order: str, closed: bool, opts: Options = Options()) -> DataFrame:
+    """Consecutive runs of requests of a group as one run.
+
+    A run has its number ``n`` of requests, first and last instant, power sums of its gaps, and of
+    its near requests their number, the sum of their gaps and how many start a burst. Nothing is known
+    of what comes before its first request, so that one never counts, and a second request after it
+    doesn't count as a start; ``second_near`` says whether it may. A ``closed`` run is a whole group,
+    whose first request counts as near at a gap of 0.
+    """
+    by_order = Window.partitionBy(*keys).orderBy(order)
+    edge_us = F.col("first_us") - F.lag("last_us").over(by_order)
+    edged = runs.withColumn("edge_us", F.coalesce(edge_us, F.lit(0)) if closed else edge_us)
     edged = edged.withColumn("first_near", F.col("edge_us") <= opts.burst_gap_us)
-    edged = edged.withColumn(
-        "before_near",
-        F.lag(F.when(F.col("n") > 1, F.col("last_near")).otherwise(F.col("first_near")), 1, False).over(order))
+    end_near = F.when(F.col("n") > 1, F.col("last_near")).otherwise(F.col("first_near"))
+    edged = edged.withColumn("end_near", end_near)
+    before_near = F.lag("end_near").over(by_order)
+    edged = edged.withColumn("before_near", F.coalesce(before_near, F.lit(False)) if closed else before_near)
     edge = seconds(F.col("edge_us"))
     flag = lambda condition: F.when(condition, 1).otherwise(0)
-    raw = edged.groupBy(*keys).agg(
-        F.sum("n").alias("n"), (F.max("last_us") - F.min("first_us")).alias("span_us"),
-        *[F.sum(F.col(f"s{k}") + F.pow(edge, F.lit(k))).alias(f"s{k}") for k in (2, 3, 4)],
+    second = F.when(F.col("edge_us").isNull(), F.col("second_near") & (F.col("n") > 1)).when(
+        F.col("before_near").isNull(), F.col("first_near"))
+    return edged.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"),
+        *[F.sum(F.col(f"s{k}") + F.coalesce(F.pow(edge, F.lit(k)), F.lit(0.0))).alias(f"s{k}") for k in (2, 3, 4)],
         F.sum(F.col("starts") + flag(F.col("second_near") & ~F.col("first_near"))
-              + flag(F.col("first_near") & ~F.col("before_near"))).alias("bursts"),
-        F.sum(F.col("near") + flag(F.col("first_near"))).alias("burst_requests"),
-        F.sum(F.col("near_us") + F.when(F.col("first_near"), F.col("edge_us")).otherwise(F.lit(0))).alias("burst_us"),
+              + flag(F.col("first_near") & ~F.col("before_near"))).alias("starts"),
+        F.sum(F.col("near") + flag(F.col("first_near"))).alias("near"),
+        F.sum(F.col("near_us") + F.when(F.col("first_near"), F.col("edge_us")).otherwise(F.lit(0))).alias("near_us"),
+        F.coalesce(F.max(second), F.lit(False)).alias("second_near"),
+        F.coalesce(F.max_by("end_near", order), F.lit(False)).alias("last_near"),
     )
+
+
+def gap_features(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Interval and burst features of closed runs."""
+    raw = runs.withColumn("span_us", F.col("last_us") - F.col("first_us"))
     # power sums about the mean from those about zero; a group's zero gap keeps them well apart
     n, mean = F.col("n"), seconds(F.col("span_us")) / F.col("n")
     s2, s3, s4 = (F.col(f"s{k}") for k in (2, 3, 4))
@@ -202,10 +241,10 @@ def gaps(rows: DataFrame, keys: Sequence[str], opts: Options = Options()) -> Dat
         or_zero(F.when(several, F.sqrt(F.col("m2") / (n - 1)))).alias("interval_std"),
         or_zero(F.when(varied, F.col("m3") / n / F.pow(variance, F.lit(1.5)))).alias("interval_skew"),
         or_zero(F.when(varied, F.col("m4") / n / F.pow(variance, F.lit(2)) - 3)).alias("interval_kurt"),
-        F.when(several, F.col("bursts") / n).otherwise(F.lit(0.0)).alias("burst_rate"),
-        F.when(several, seconds(F.col("burst_us") / F.col("bursts"))).otherwise(F.lit(0.0))
+        F.when(several, F.col("starts") / n).otherwise(F.lit(0.0)).alias("burst_rate"),
+        F.when(several, seconds(F.col("near_us") / F.col("starts"))).otherwise(F.lit(0.0))
         .alias("burst_duration_mean"),
-        F.when(several, F.col("burst_requests") / F.col("bursts")).otherwise(F.lit(0.0))
+        F.when(several, F.col("near") / F.col("starts")).otherwise(F.lit(0.0))
         .alias("burst_size_mean"),
     )
 
@@ -213,11 +252,11 @@ def gaps(rows: DataFrame, keys: Sequence[str], opts: Options = Options()) -> Dat
 def grouped_features(rows: DataFrame, keys: Sequence[str], opts: Options = Options()) -> DataFrame:
     """All 36 features plus ``timestamp`` per group; ``rows`` must carry ``us``."""
     keys = list(keys)
-    joined = (
-        counters(rows, keys, opts)
-        .join(gaps(rows, keys, opts), keys)
-        .join(diversity(rows, keys), keys, "left")
-    )
+    return joined_features(counters(rows, keys, opts), gaps(rows, keys, opts), diversity(rows, keys), keys)
+
+
+def joined_features(counted: DataFrame, intervals: DataFrame, varied: DataFrame, keys: Sequence[str]) -> DataFrame:
+    joined = counted.join(intervals, list(keys)).join(varied, list(keys), "left")
     filled = joined.withColumns({
         "unique_paths": F.coalesce("unique_paths", F.lit(0)),
         **{f"{f}_entropy": F.coalesce(f"{f}_entropy", F.lit(0.0)) for f in ("path", "method", "status")},

@@ -5,28 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netshield.operators.features import grouped_features, with_window
+from netshield.operators.features import with_window
+from netshield.operators.panes import Panes, merged_features, over_ticks
 from netshield.options import Options
-from netshield.session import rows_within
+from netshield.session import broadcast_if_small
 
 KEYS = ["ip", "tick", "win"]
 
 
 def tick_rows(logs: DataFrame, opts: Options = Options()) -> DataFrame:
-    """Each request once per evaluation time whose window ``[tick - window, tick]`` holds it."""
+    """Each request once per evaluation time whose window ``[tick - window, tick]`` holds it.
+
+    For work on the requests themselves, such as previews; features come from panes.
+    """
     step, span = opts.tick_seconds * 1_000_000, opts.window_us
     ticks = F.expr(
         f"sequence((us + {step - 1}) div {step} * {step}, (us + {span}) div {step} * {step}, {step}L)")
     return with_window(logs, opts).withColumn("tick", F.explode(ticks))
 
 
-def scored_windows(rows: DataFrame, opts: Options = Options()) -> DataFrame:
-    """The (ip, tick, win) groups that are scored.
+def scored_windows(panes: DataFrame, opts: Options = Options(), after_us: int | None = None,
+                   until_us: int | None = None) -> DataFrame:
+    """The (ip, tick, win) groups that are scored, from counts of panes.
 
     An address needs enough requests in the trailing window and one in the look-back; its latest
     occupied calendar window is the one that counts.
     """
-    counts = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.max("us").alias("last_us"))
+    counts = over_ticks(panes.select("ip", "win", "pane", "n", "last_us"), opts, after_us, until_us).groupBy(*KEYS).agg(
+        F.sum("n").alias("n"), F.max("last_us").alias("last_us"))
     latest = counts.groupBy("ip", "tick").agg(
         F.sum("n").alias("total"), F.max("last_us").alias("last_us"), F.max("win").alias("win"),
         F.max_by("n", "win").alias("n"))
@@ -35,13 +41,8 @@ def scored_windows(rows: DataFrame, opts: Options = Options()) -> DataFrame:
         & (F.col("last_us") >= F.col("tick") - opts.lookback_seconds * 1_000_000))
 
 
-def tick_features(rows: DataFrame, groups: DataFrame, opts: Options = Options()) -> DataFrame:
-    """Feature rows of the given groups only.
-
-    Few groups are filtered on before any feature work; many are selected from all feature rows,
-    which are far fewer than the requests.
-    """
-    wanted = groups.select(*KEYS)
-    if rows_within(wanted, opts.broadcast_rows):
-        return grouped_features(rows.join(F.broadcast(wanted), KEYS, "left_semi"), KEYS, opts)
-    return grouped_features(rows, KEYS, opts).join(wanted, KEYS, "left_semi")
+def tick_features(panes: Panes, groups: DataFrame, opts: Options = Options()) -> DataFrame:
+    """Feature rows of the given groups only, each merged from the panes of its window."""
+    wanted = broadcast_if_small(groups.select(*KEYS), opts.broadcast_rows)
+    held = [over_ticks(df, opts).join(wanted, KEYS, "left_semi") for df in (panes.states, panes.values)]
+    return merged_features(*held, KEYS, opts)

@@ -11,9 +11,10 @@ from netshield.constants import FEATURES
 from netshield.operators.features import last_windows, minute_features
 from netshield.operators.hostnames import match_hostname
 from netshield.operators.lookup import match_geo
+from netshield.operators.panes import Panes, pane_counts, panes
 from netshield.operators.preview import previews
 from netshield.operators.scoring import Scorer, decide
-from netshield.operators.ticks import scored_windows, tick_features, tick_rows
+from netshield.operators.ticks import scored_windows, tick_features
 from netshield.options import Options
 from netshield.session import broadcast_if_small, rows_within, settle
 
@@ -54,14 +55,15 @@ def score_history(logs: DataFrame, scorer: Scorer, opts: Options = Options()) ->
 
 def score_ticks(logs: DataFrame, scorer: Scorer, opts: Options = Options()) -> DataFrame:
     """Every evaluation ``(ip, tick)`` with its features and probability."""
-    rows = tick_rows(logs, opts)
-    groups = settle(scored_windows(rows, opts), "windows")
-    return decide(scorer(tick_features(rows, groups, opts)), opts)
+    held = panes(logs, opts)
+    groups = settle(scored_windows(held.states, opts), "windows")
+    return decide(scorer(tick_features(held, groups, opts)), opts)
 
 
-def _busy_windows(rows: DataFrame, opts: Options) -> DataFrame:
+def _busy_windows(counts: DataFrame, opts: Options, after_us: int | None, until_us: int | None) -> DataFrame:
     """Scored windows that reach the gate's request rate, which counts alone decide."""
-    return scored_windows(rows, opts).where(F.col("n") / opts.window_seconds >= opts.min_rps)
+    scored = scored_windows(counts, opts, after_us, until_us)
+    return scored.where(F.col("n") / opts.window_seconds >= opts.min_rps)
 
 
 def detections(logs: DataFrame, scorer: Scorer, opts: Options = Options(),
@@ -70,22 +72,12 @@ def detections(logs: DataFrame, scorer: Scorer, opts: Options = Options(),
 
     Windows below the gate's rate are dropped before any feature work.
     """
-    rows = _ticks_between(logs, opts, after_us, until_us)
-    return _gated(rows, settle(_busy_windows(rows, opts), "windows"), scorer, opts)
+    held = panes(busy_requests(logs, opts, after_us, until_us), opts)
+    return _gated(held, settle(_busy_windows(held.states, opts, after_us, until_us), "windows"), scorer, opts)
 
 
-def _ticks_between(logs: DataFrame, opts: Options, after_us: int | None,
-                   until_us: int | None) -> DataFrame:
-    rows = tick_rows(logs, opts)
-    if after_us is not None:
-        rows = rows.where(F.col("tick") > after_us)
-    if until_us is not None:
-        rows = rows.where(F.col("tick") <= until_us)
-    return rows
-
-
-def _gated(rows: DataFrame, busy: DataFrame, scorer: Scorer, opts: Options) -> DataFrame:
-    return gate(decide(scorer(tick_features(rows, busy, opts)), opts), opts)
+def _gated(held: Panes, busy: DataFrame, scorer: Scorer, opts: Options) -> DataFrame:
+    return gate(decide(scorer(tick_features(held, busy, opts)), opts), opts)
 
 
 def raised_alerts(logs: DataFrame, scorer: Scorer, opts: Options = Options(),
@@ -94,9 +86,9 @@ def raised_alerts(logs: DataFrame, scorer: Scorer, opts: Options = Options(),
 
     An alert deletes its address's series, and nothing is collected until the block ends. So each
     round takes every address's first detection and continues, for the few addresses that are busy
-    again later, with their requests from the end of the block on. There are as many rounds as an
+    again later, with their panes from the end of the block on. There are as many rounds as an
     address can be blocked within the time span of the input. The whole log is read for the first
-    round's counts only; all else reads ``busy_requests``.
+    counts of panes only; ``busy_requests`` are aggregated into panes once, for all rounds.
     """
     return _raised(busy_requests(logs, opts, after_us, until_us), scorer, opts, after_us, until_us)
 
@@ -107,17 +99,17 @@ def busy_requests(logs: DataFrame, opts: Options = Options(), after_us: int | No
 
     A series cut by an alert is never busier than the whole, so no other address can be detected.
     """
-    busy = settle(_busy_windows(_ticks_between(logs, opts, after_us, until_us), opts).select("ip").distinct(), "busy")
+    busy = settle(_busy_windows(pane_counts(logs, opts), opts, after_us, until_us).select("ip").distinct(), "busy")
     return settle(logs.join(broadcast_if_small(busy, opts.broadcast_rows), "ip", "left_semi"), "requests")
 
 
 def _raised(logs: DataFrame, scorer: Scorer, opts: Options, after_us: int | None, until_us: int | None) -> DataFrame:
     block_us = opts.block_seconds * 1_000_000
-    rows = _ticks_between(logs, opts, after_us, until_us)
+    held = whole = panes(logs, opts)
     starts, rounds = None, []
     while True:
-        busy = settle(_busy_windows(rows, opts), "windows")
-        found = settle(_gated(rows, busy, scorer, opts), "detections")
+        busy = settle(_busy_windows(held.states, opts, after_us, until_us), "windows")
+        found = settle(_gated(held, busy, scorer, opts), "detections")
         firsts = found.groupBy("ip").agg(F.min("tick").alias("tick"))
         alerts = found.join(firsts, ["ip", "tick"], "left_semi")
         if starts is None:
@@ -130,8 +122,15 @@ def _raised(logs: DataFrame, scorer: Scorer, opts: Options, after_us: int | None
         starts = settle(later.select("ip", "resumed_us").distinct(), "resumed")
         if rows_within(starts, 0):
             return reduce(DataFrame.unionByName, rounds)
-        rows = _ticks_between(logs, opts, after_us, until_us).join(
-            broadcast_if_small(starts, opts.broadcast_rows), "ip").where(F.col("us") >= F.col("resumed_us"))
+        held = whole.resumed(broadcast_if_small(starts, opts.broadcast_rows), opts)
+
+
+def _behind(logs: DataFrame, alerts: DataFrame, opts: Options) -> DataFrame:
+    """The requests in the trailing window of each alert, without those before its series resumed."""
+    wanted = broadcast_if_small(alerts.select("ip", "tick", "resumed_us"), opts.broadcast_rows)
+    us = F.unix_micros("ts")
+    return logs.withColumn("us", us).join(wanted, "ip").where(
+        F.col("us").between(F.col("tick") - opts.window_us, F.col("tick")) & (F.col("us") >= F.col("resumed_us")))
 
 
 def detect(logs: DataFrame, scorer: Scorer, hostnames: DataFrame | None = None,
@@ -145,8 +144,7 @@ def detect(logs: DataFrame, scorer: Scorer, hostnames: DataFrame | None = None,
     """
     logs = busy_requests(logs, opts, after_us, until_us)
     alerts = settle(summarize(_raised(logs, scorer, opts, after_us, until_us)), "alerts")
-    wanted = broadcast_if_small(alerts.select("ip", "tick", "resumed_us"), opts.broadcast_rows)
-    behind = tick_rows(logs, opts).join(wanted, ["ip", "tick"]).where(F.col("us") >= F.col("resumed_us"))
+    behind = _behind(logs, alerts, opts)
     first = behind.groupBy("ip", "tick").agg(
         F.min_by("domain", F.struct("us", "seq")).alias("domain"))
     full = alerts.join(first, ["ip", "tick"]).join(previews(behind, ["ip", "tick"]), ["ip", "tick"])

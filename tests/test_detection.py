@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from netshield.constants import FEATURES
 from netshield.operators import scoring
 from netshield.operators.features import minute_features
-from netshield.operators.ticks import scored_windows, tick_features, tick_rows
+from netshield.operators.panes import panes
+from netshield.operators.ticks import scored_windows, tick_features
 from netshield.options import Options
 from netshield.plans import detection
 from netshield.plans.replay import read_replay, replay_report
@@ -48,8 +49,8 @@ def scored_naively(rows, opts):
 
 def test_ticks_follow_the_rule(spark):
     rows, opts = traffic(), Options()
-    ticked = tick_rows(brute.access_logs(spark, rows), opts)
-    table = tick_features(ticked, scored_windows(ticked, opts), opts)
+    held = panes(brute.access_logs(spark, rows), opts)
+    table = tick_features(held, scored_windows(held.states, opts), opts)
     found = brute.by_key(table, "ip", "tick")
     expected = scored_naively(rows, opts)
     assert set(found) == set(expected)
@@ -59,9 +60,9 @@ def test_ticks_follow_the_rule(spark):
 
 def test_many_groups_take_the_join_path(spark):
     rows = traffic()
-    ticked = tick_rows(brute.access_logs(spark, rows))
-    groups = scored_windows(ticked)
-    some, few = (tick_features(ticked, groups, Options(broadcast_rows=n)) for n in (100_000, 1))
+    held = panes(brute.access_logs(spark, rows))
+    groups = scored_windows(held.states)
+    some, few = (tick_features(held, groups, Options(broadcast_rows=n)) for n in (100_000, 1))
     assert some.count() == few.count() == groups.count()
 
 
