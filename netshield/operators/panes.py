@@ -3,7 +3,7 @@
 Time is cut into panes by the greatest common divisor of the evaluation step, the window and the block,
 so that all of these start and end on pane borders. As windows hold both their ends, an instant on a
 border is a pane of its own: the interior after border ``k`` has number ``2k + 1``, the border ``2k``.
-A pane's state has counts, power sums and extremes of bytes and times, the run of its gaps, and its
+A pane's state has counts, moments and extremes of bytes and times, the run of its gaps, and its
 value counts. Requests are aggregated once; evaluations merge the few panes of their window.
 """
 
@@ -63,29 +63,19 @@ class Panes:
                        for df in (self.states, self.values)])
 
 
-def _power_sums(sums: DataFrame) -> DataFrame:
-    """Statistics of bytes and times as power sums about the mean of the address's minute.
-
-    Such sums add, and a centre near all means keeps them exact.
-    """
-    minute = Window.partitionBy("ip", "win")
+def _moments(sums: DataFrame) -> DataFrame:
+    """Statistics of bytes and times as sums of powers about the pane's own mean."""
     out = sums
     for x in ("b", "t"):
-        n, mean = F.col(f"{x}_n"), F.col(f"{x}_mean")
-        m2 = F.coalesce(F.col(f"{x}_std") * F.col(f"{x}_std") * (n - 1), F.lit(0.0))
+        n = F.col(f"{x}_n")
         shape = lambda name: F.coalesce(F.nanvl(F.col(name), F.lit(0.0)), F.lit(0.0))
-        out = out.withColumns({f"{x}_center": F.sum(n * mean).over(minute) / F.sum(n).over(minute), f"{x}_m2": m2})
-        d = F.col(f"{x}_mean") - F.col(f"{x}_center")
+        out = out.withColumn(f"{x}_m2", F.coalesce(F.col(f"{x}_std") * F.col(f"{x}_std") * (n - 1), F.lit(0.0)))
         m2 = F.col(f"{x}_m2")
-        m3 = F.when(m2 > 0, shape(f"{x}_skew") * F.pow(m2, F.lit(1.5)) / F.sqrt(n)).otherwise(F.lit(0.0))
-        m4 = F.when(m2 > 0, (shape(f"{x}_kurt") + 3) * m2 * m2 / n).otherwise(F.lit(0.0))
-        out = out.withColumns({f"{x}_m3": m3, f"{x}_m4": m4}).withColumns({
-            f"{x}_s1": n * d,
-            f"{x}_s2": m2 + n * d * d,
-            f"{x}_s3": F.col(f"{x}_m3") + 3 * d * m2 + n * F.pow(d, F.lit(3)),
-            f"{x}_s4": F.col(f"{x}_m4") + 4 * d * F.col(f"{x}_m3") + 6 * d * d * m2 + n * F.pow(d, F.lit(4)),
+        out = out.withColumns({
+            f"{x}_m3": F.when(m2 > 0, shape(f"{x}_skew") * F.pow(m2, F.lit(1.5)) / F.sqrt(n)).otherwise(F.lit(0.0)),
+            f"{x}_m4": F.when(m2 > 0, (shape(f"{x}_kurt") + 3) * m2 * m2 / n).otherwise(F.lit(0.0)),
         })
-    kept = [f"{x}_{name}" for x in ("b", "t") for name in ("n", "units", "center", "s1", "s2", "s3", "s4", "min", "max")]
+    kept = [f"{x}_{name}" for x in ("b", "t") for name in ("n", "units", "mean", "m2", "m3", "m4", "min", "max")]
     return out.select(*KEYS, *_COUNTS, "first_us", "last_us", *kept)
 
 
@@ -95,7 +85,7 @@ def panes(logs: DataFrame, opts: Options = Options()) -> Panes:
     runs = merged_runs(gap_slices(rows, KEYS, opts), KEYS, "slice", False, opts)
     run = F.struct(*_RUN).alias("run")
     units = [F.sum(F.round(F.col(x) * scale).try_cast("bigint")).alias(f"{x}_units") for x, scale in _UNITS.items()]
-    states = _power_sums(counter_sums(rows, KEYS, *units)).join(runs.select(*KEYS, run), KEYS)
+    states = _moments(counter_sums(rows, KEYS, *units)).join(runs.select(*KEYS, run), KEYS)
     return Panes(settle(states, "panes"), settle(value_counts(rows, KEYS), "pane-values"))
 
 
@@ -112,25 +102,34 @@ def over_ticks(df: DataFrame, opts: Options = Options(), after_us: int | None =
 
 
 def merged_counters(states: DataFrame, keys: Sequence[str], opts: Options = Options()) -> DataFrame:
-    """Counter features of groups of panes that share a minute."""
-    powers = [f"{x}_{name}" for x in ("b", "t") for name in ("n", "units", "s1", "s2", "s3", "s4")]
-    summed = states.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in (*_COUNTS, *powers)], F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"),
-        *[fn(f"{x}_{name}").alias(f"{x}_{name}") for x in ("b", "t") for name, fn in (("center", F.max), ("min", F.min), ("max", F.max))])
-    out = summed
+    """Counter features of groups of panes.
+
+    Moments are moved from each pane's mean to the group's before they are added, which keeps them
+    exact however far apart the panes' means lie.
+    """
+    group, moved = Window.partitionBy(*keys), states
     for x in ("b", "t"):
-        n = F.col(f"{x}_n")
-        d = F.when(n > 0, F.col(f"{x}_s1") / n)
-        s2, s3, s4 = (F.col(f"{x}_s{k}") for k in (2, 3, 4))
-        varied = F.col(f"{x}_min") < F.col(f"{x}_max")  # equal values have no spread, whatever rounding says
-        m2 = F.when(varied, F.greatest(s2 - n * d * d, F.lit(0.0))).otherwise(F.lit(0.0))
-        m3 = s3 - 3 * d * s2 + 2 * n * F.pow(d, F.lit(3))
-        m4 = s4 - 4 * d * s3 + 6 * d * d * s2 - 3 * n * F.pow(d, F.lit(4))
+        n, mean, m2, m3, m4 = (F.col(f"{x}_{name}") for name in ("n", "mean", "m2", "m3", "m4"))
+        moved = moved.withColumn(f"{x}_d", mean - F.sum(n * mean).over(group) / F.sum(n).over(group))
+        d = F.col(f"{x}_d")
+        moved = moved.withColumns({
+            f"{x}_s2": m2 + n * d * d,
+            f"{x}_s3": m3 + 3 * d * m2 + n * F.pow(d, F.lit(3)),
+            f"{x}_s4": m4 + 4 * d * m3 + 6 * d * d * m2 + n * F.pow(d, F.lit(4)),
+        })
+    sums = [*_COUNTS, *(f"{x}_{name}" for x in ("b", "t") for name in ("n", "units", "s2", "s3", "s4"))]
+    out = moved.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in sums], F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"),
+        *[fn(f"{x}_{name}").alias(f"{x}_{name}") for x in ("b", "t") for name, fn in (("min", F.min), ("max", F.max))])
+    for x in ("b", "t"):
+        n, s2, s3, s4 = (F.col(f"{x}_{name}") for name in ("n", "s2", "s3", "s4"))
+        # equal values have no spread, whatever rounding says
+        varied = (F.col(f"{x}_min") < F.col(f"{x}_max")) & (s2 > 0)
         out = out.withColumns({
             f"{x}_mean": F.when(n > 0, F.col(f"{x}_units") / (n * _UNITS[x])),
-            f"{x}_std": F.when(n > 1, F.sqrt(m2 / (n - 1))),
-            f"{x}_skew": F.when(m2 > 0, F.sqrt(n) * m3 / F.pow(m2, F.lit(1.5))),
-            f"{x}_kurt": F.when(m2 > 0, n * m4 / (m2 * m2) - 3),
+            f"{x}_std": F.when(n > 1, F.when(varied, F.sqrt(s2 / (n - 1))).otherwise(F.lit(0.0))),
+            f"{x}_skew": F.when(varied, F.sqrt(n) * s3 / F.pow(s2, F.lit(1.5))),
+            f"{x}_kurt": F.when(varied, n * s4 / (s2 * s2) - 3),
         })
     return counter_features(out, keys, opts)
 
