@@ -120,3 +120,27 @@ def test_block_periods(spark):
     found = spark.createDataFrame([("x", t * 1_000_000) for t in times], "ip string, us long")
     got = sorted(r["us"] // 1_000_000 for r in first_detections(found).collect())
     assert got == [0, 1800, 3600, 9000]
+
+
+def fold(instants, block_us):
+    kept = []
+    for us in sorted(set(instants)):
+        if not kept or us - kept[-1] >= block_us:
+            kept.append(us)
+    return kept
+
+
+def test_suppression_in_one_long_run(spark):
+    """A hundred thousand instants without a pause, beside ties, nulls, negative times and a sparse address."""
+    rng, block = random.Random(7), 60_000_000
+    long = [k * 100_000 + rng.randrange(90_000) for k in range(100_000)]
+    sparse = [rng.randrange(-10**10, 10**10) for _ in range(200)]
+    exact = [k * block for k in range(-5, 20)]
+    df = spark.createDataFrame([("long", us) for us in long] + [("sparse", us) for us in sparse * 2] + [("exact", us) for us in exact]
+                               + [(None, 5), ("long", None)], "ip string, us long")
+    got = {}
+    for r in first_detections(df, Options(block_seconds=60)).collect():
+        got.setdefault(r["ip"], []).append(r["us"])
+    assert {ip: sorted(v) for ip, v in got.items()} == {
+        "long": fold(long, block), "sparse": fold(sparse, block), "exact": fold(exact, block)}
+    assert first_detections(df.limit(0)).count() == 0
