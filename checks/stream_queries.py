@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from checks.common import ntz, plain_types, with_logs
@@ -9,13 +10,17 @@ from checks.ingest_queries import PARSED, raw
 from checks.network_queries import _ADDRESSES, _BEST, _PREFIXES, _RANGES, STATIC_SQL, geo_dimension, prefix_load
 from netshield.constants import FEATURES
 from netshield.operators.lookup import geo_buckets, prefix_buckets
+from netshield.operators.blockops import LISTED, apply_commands
+from netshield.options import Options
 from netshield.session import work_dir
 from netshield.sources.syslog import RAW_SCHEMA
 from netshield.sources.testdata import access_logs, logs
 from netshield.streaming.blocklist import ALERT_SCHEMA, stream_blocks
+from netshield.streaming.blockops import LiveBlocklist
 from netshield.streaming.detection import DetectionLoop
 from netshield.streaming.features import ClosedWindows, pending_counters, stream_counters
 from netshield.streaming.ingest import start_ingest
+from netshield.streaming.series import SeriesStore
 from netshield.streaming.tables import finish
 
 _COUNTERS = ("request_count", "request_rate", "get_ratio", "bytes_mean", "bytes_std", "bytes_skew",
@@ -81,7 +86,112 @@ def stream_alerts(spark, sf_dir):
     return plain_types(spark.read.parquet(f"{out}/tables/blocks").drop("batch_id"))
 
 
+#: Seconds of log in a file, so that a stream takes several batches.
+PART_SECONDS = 90
+START_US = 1_704_067_200_000_000
+
+
+def in_parts(df, us, path):
+    """Write rows in files of one part of time each, in order; files are streamed one a batch."""
+    part = F.floor((us - START_US) / (PART_SECONDS * 1_000_000))
+    rows = df.withColumn("part", part)
+    for k in [r[0] for r in rows.select("part").distinct().orderBy("part").collect()]:
+        rows.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+SERIES_OPTIONS = Options(series_max_age_seconds=100)
+
+
+def pushed(spark, sf_dir):
+    """Records of the log as pushed to their series: each with the part after it, too."""
+    records = logs(spark, sf_dir).select("ip", "ts", F.concat_ws(" ", "status", "request").alias("payload"))
+    again = records.withColumn("pushed_us", F.unix_micros("ts") + PART_SECONDS * 1_000_000)
+    return records.withColumn("pushed_us", F.unix_micros("ts")).unionByName(again)
+
+
+def live_series(spark, sf_dir):
+    out = work_dir(spark, "series")
+    stream = in_parts(pushed(spark, sf_dir), F.col("pushed_us"), f"{out}/in")
+    store = SeriesStore(f"{out}/tables", SERIES_OPTIONS)
+    finish(store.start(stream, f"{out}/checkpoint", once=True))
+    return store
+
+
+def stream_dedup(spark, sf_dir):
+    """The live series after pushes of which every one comes again in the next batch."""
+    return plain_types(live_series(spark, sf_dir).series(spark))
+
+
+def stream_retention(spark, sf_dir):
+    """What the versioned table still holds, folder ends included: nothing that a purge would delete."""
+    store = live_series(spark, sf_dir)
+    version = store.table.latest(spark)
+    stored = store.table.read(spark, version)
+    horizon = store.table.newest_us(spark, version) - SERIES_OPTIONS.series_max_age_seconds * 1_000_000
+    live = store.series(spark).groupBy("ip").agg(
+        F.count(F.lit(1)).alias("records"), F.min(F.unix_micros("ts")).alias("oldest_us"), F.max(F.unix_micros("ts")).alias("newest_us"))
+    # whole parts before the horizon are gone from the files, too
+    oldest = stored.agg(F.min(F.unix_micros("ts"))).first()[0]
+    return live.withColumn("files_purged", F.lit(oldest > horizon - PART_SECONDS * 1_000_000))
+
+
+def stream_restart(spark, sf_dir):
+    """Blocks of a detection stream of several batches that fails once after a batch's work and starts again."""
+    out = work_dir(spark, "restart")
+    stream = in_parts(logs(spark, sf_dir), F.unix_micros("ts"), f"{out}/in")
+
+    class Failing(DetectionLoop):
+        def handle(self, batch, batch_id):
+            super().handle(batch, batch_id)
+            if batch_id == 1:
+                raise RuntimeError("lost after the batch was written")
+
+    try:
+        finish(Failing(f"{out}/tables", scorer(), opts=OPTIONS).start(stream, f"{out}/checkpoint", once=True))
+        raise AssertionError("the batch should have failed")
+    except StreamingQueryException as error:
+        if "lost after the batch was written" not in str(error):
+            raise
+    finish(DetectionLoop(f"{out}/tables", scorer(), opts=OPTIONS).start(stream, f"{out}/checkpoint", once=True))
+    return plain_types(spark.read.parquet(f"{out}/tables/blocks").drop("batch_id"))
+
+
+COMMAND_OPTIONS = Options(block_seconds=40)
+
+
+def block_commands(spark, sf_dir):
+    """Commands made of the log: failures add, redirects remove, deep paths ask, and the whole list is purged and cleared."""
+    op = (F.when(F.col("seq") % 997 == 5, "clear").when(F.col("seq") % 61 == 3, "purge").when(F.col("status") >= 500, "add")
+          .when(F.col("status") == 301, "remove").when(F.col("seq") % 3 == 0, "contains"))
+    table = logs(spark, sf_dir).select("seq", op.alias("op"), "ip", "ts").where("op IS NOT NULL")
+    return table.withColumn("ip", F.when(~F.col("op").isin("clear", "purge"), F.col("ip")))
+
+
+def stream_block_ops(spark, sf_dir):
+    out = work_dir(spark, "block-ops")
+    stream = in_parts(block_commands(spark, sf_dir), F.unix_micros("ts"), f"{out}/in")
+    live = LiveBlocklist(f"{out}/tables", opts=COMMAND_OPTIONS)
+    finish(live.start(stream, f"{out}/checkpoint", once=True))
+    answers = spark.read.parquet(f"{out}/tables/answers").drop("batch_id")
+    left = live.entries(spark).select("seq", "ip", "ts", F.lit(None).cast("boolean").alias("is_blocked"))
+    return plain_types(answers.select("seq", "ip", "ts", "is_blocked").unionByName(left))
+
+
+def block_ops_log(spark, sf_dir):
+    """The same commands in one pass."""
+    none = spark.createDataFrame([], LISTED)
+    answers, left = apply_commands(block_commands(spark, sf_dir), none, COMMAND_OPTIONS)
+    left = left.select("seq", "ip", "ts", F.lit(None).cast("boolean").alias("is_blocked"))
+    return plain_types(answers.unionByName(left))
+
+
 QUERIES = {
+    "stream_dedup": stream_dedup,
+    "stream_retention": stream_retention,
+    "stream_restart": stream_restart,
+    "stream_block_ops": stream_block_ops,
+    "block_ops_log": block_ops_log,
     "stream_features": stream_features,
     "stream_window_counters": stream_window_counters,
     "stream_blocklist": stream_blocklist,
@@ -99,3 +209,35 @@ WHERE request_length IS NOT NULL AND status IS NOT NULL AND bytes_sent IS NOT NU
   AND request_time IS NOT NULL AND NOT {STATIC_SQL.format(r='request')} AND coalesce(net.s, 0) = 0"""),
     "stream_alerts": DETECT["block_output"],
 }
+
+_SERIES = """
+, records AS (SELECT DISTINCT ip, ts, us, status || ' ' || request AS payload FROM logs),
+live AS (SELECT * FROM records WHERE us > (SELECT max(us) FROM logs) - 100000000)
+"""
+ORACLES["stream_dedup"] = with_logs(f"{_SERIES} SELECT ip, ts, payload FROM live")
+ORACLES["stream_retention"] = with_logs(f"""{_SERIES}
+SELECT ip, count(*) AS records, min(us) AS oldest_us, max(us) AS newest_us, true AS files_purged FROM live GROUP BY ip""")
+ORACLES["stream_restart"] = DETECT["block_output"]
+# What holds for an address at an instant, from the latest earlier command of each kind.
+ORACLES["block_ops_log"] = ORACLES["stream_block_ops"] = with_logs("""
+, commands AS (
+  SELECT seq, ip, ts, us, CASE WHEN seq % 997 = 5 THEN 'clear' WHEN seq % 61 = 3 THEN 'purge' WHEN status >= 500 THEN 'add'
+    WHEN status = 301 THEN 'remove' WHEN seq % 3 = 0 THEN 'contains' END AS op FROM logs),
+moments AS (
+  SELECT seq, ip, ts, us, op = 'contains' AS asked FROM commands WHERE op = 'contains'
+  UNION ALL
+  SELECT NULL, ip, NULL, 9223372036854775807, false FROM commands WHERE op = 'add' GROUP BY ip),
+latest AS (
+  SELECT m.seq, m.ip, m.ts, m.asked, m.us,
+    max((c.us, c.seq)) FILTER (c.op = 'add' AND c.ip = m.ip) AS added,
+    max((c.us, c.seq)) FILTER (c.op = 'clear' OR c.op = 'remove' AND c.ip = m.ip) AS gone,
+    max((c.us, c.seq)) FILTER (c.op = 'purge') AS purged
+  FROM moments m JOIN commands c ON c.op <> 'contains' AND (c.op IN ('clear', 'purge') OR c.ip = m.ip)
+    AND (c.us < m.us OR c.us = m.us AND c.seq < m.seq)
+  GROUP BY ALL),
+held AS (
+  SELECT m.seq, m.ip, m.ts, m.asked, added, added IS NOT NULL AND (gone IS NULL OR gone < added)
+    AND (purged IS NULL OR purged < added OR added[1] > purged[1] - 40000000) AS listed
+  FROM moments m LEFT JOIN latest l ON l.ip = m.ip AND l.us = m.us AND l.seq IS NOT DISTINCT FROM m.seq)
+SELECT seq, ip, ts, coalesce(listed, false) AS is_blocked FROM held WHERE asked
+UNION ALL SELECT added[2], ip, make_timestamp(added[1]), NULL FROM held WHERE NOT asked AND listed""")

@@ -3,6 +3,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,46 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def _store(spark: SparkSession, path: str):
+    """The file system of a path, and the path in its form."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, found = _store(spark, path)
+    return store.exists(found)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is no such folder."""
+    store, found = _store(spark, path)
+    return [x.getPath().getName() for x in store.listStatus(found)] if store.exists(found) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all in it; what is gone already is no error."""
+    store, found = _store(spark, path)
+    store.delete(found, True)
+
+
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what ``settle`` writes inside, once the results that read it are written.
+
+    For loops that settle in every round. Scopes nest; they belong to the driver's thread of the loop.
+    """
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            delete(spark, path)
+
+
 def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     """Write an intermediate result to the shared folder and continue from the written table.
 
@@ -31,6 +73,8 @@ def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     recompute it, and its file sizes let Spark choose join strategies.
     """
     path = work_dir(df.sparkSession, label)
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
