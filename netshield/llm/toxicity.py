@@ -7,8 +7,8 @@ window; windows of ``WINDOW`` words overlap by half and cover the whole text.
 
 Training sees a text's label only, so each step uses the window that scores highest so far. The
 vectors start from smoothed log odds of the labels, and whole words are dropped at random so that
-the network also learns from characters. One task trains, over a bounded sample of labelled texts;
-scoring runs in all tasks over Arrow batches, in blocks of bounded size.
+the network also learns from characters. One task trains, over a bounded sample of labelled texts; of
+very long ones the tasks before it pass on those windows whose words have the highest log odds. Scoring runs in all tasks over Arrow batches, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 
 from netshield.llm.common import quoted, text_or_empty
 from netshield.llm.minhash import mix
+from netshield.session import settle
 
 WINDOW, STEP = 32, 16
 WORD_BUCKETS = CHAR_BUCKETS = 1 << 15
 SIZE, STATE, POOL = 12, 8, 8
-#: Bounds of the training sample: texts of each label, and characters of one text.
-POSITIVES, NEGATIVES, TRAINING_CHARS = 2000, 3000, 20_000
+#: Bounds of the training sample: texts of each label, and characters about which a longer text gives in windows.
+POSITIVES, NEGATIVES, TRAINING_CHARS = 3000, 5000, 20_000
 #: Windows of one text that training keeps: those of the highest log odds.
 CANDIDATES = 4
 #: Words remembered by a Python worker, and words scored at once.
@@ -153,11 +154,21 @@ def _log_odds(of_text: Iterable[np.ndarray], labels: np.ndarray, buckets: int, r
 
     Zero for buckets of fewer than three texts, which would only name those texts.
     """
+    seen, bad = _counts(of_text, labels, buckets)
+    return _odds_of(seen, bad, rate)
+
+
+def _counts(of_text: Iterable[np.ndarray], labels: Iterable[float], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts that have each bucket, and those of label 1 among them."""
     seen, bad = np.zeros(buckets), np.zeros(buckets)
     for found, label in zip(of_text, labels):
         found = np.unique(found)
         seen[found] += 1
         bad[found] += label
+    return seen, bad
+
+
+def _odds_of(seen: np.ndarray, bad: np.ndarray, rate: float) -> np.ndarray:
     share = (bad + 3 * rate) / (seen + 3)
     return (seen >= 3) * np.clip(np.log(share / (1 - share)) - np.log(rate / (1 - rate)), -3, 6).astype(np.float32)
 
@@ -324,13 +335,67 @@ def held_out(id: str = "doc_id") -> Column:
     return F.crc32(F.col(quoted(id)).cast("string").cast("binary")) % 5 == 0
 
 
+def _shortened(sample: DataFrame, chars: int) -> DataFrame:
+    """``id, label, text`` with the best windows only of texts above ``chars`` characters, whatever their label.
+
+    Word counts of the bounded sample are summed by bucket, so what reaches the driver is bounded, too.
+    """
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, bad = np.zeros(WORD_BUCKETS), np.zeros(WORD_BUCKETS)
+        for batch in batches:
+            for label, value in zip(batch.column(1).to_pylist(), batch.column(2)):
+                more = _counts([hashes_of(list(set(words_of(value.as_py()))))[0]], [label], WORD_BUCKETS)
+                seen += more[0]
+                bad += more[1]
+        held = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(seen[held]), pa.array(bad[held])], ["bucket", "seen", "bad"])
+
+    if sample.filter(F.length("text") > chars).limit(1).count() == 0:
+        return sample
+    seen, bad = np.zeros(WORD_BUCKETS), np.zeros(WORD_BUCKETS)
+    for row in sample.mapInArrow(counted, "bucket long, seen double, bad double").groupBy("bucket").agg(
+            F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).collect():
+        seen[row["bucket"]], bad[row["bucket"]] = row["seen"], row["bad"]
+    share = sample.agg(F.avg("label").alias("share")).first()["share"]
+    odds = _odds_of(seen, bad, float(np.clip(share, 0.01, 0.99)))
+
+    @F.arrow_udf("string")
+    def best_windows(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([_best_windows(value.as_py(), odds, chars) for value in batch], pa.string())
+
+    long = F.length("text") > chars
+    return sample.filter(~long).union(sample.filter(long).select("id", "label", best_windows("text").alias("text")))
+
+
+def _best_windows(text: str, odds: np.ndarray, chars: int) -> str:
+    """Windows of ``WINDOW`` words with the largest sums of their three highest odds, in order."""
+    words = words_of(text)
+    if not words:
+        return ""
+    size = -(-len(words) // WINDOW)
+    value = np.zeros(size * WINDOW)
+    for k in range(0, len(words), 8192):
+        value[k:k + 8192][:len(words) - k] = odds[hashes_of(words[k:k + 8192])[0]]
+    best = np.argsort(-np.sort(value.reshape(size, WINDOW), 1)[:, -3:].sum(1), kind="stable")
+    kept, left = [], chars
+    for k in best.tolist():
+        window = " ".join(words[k * WINDOW:(k + 1) * WINDOW])
+        left -= len(window) + 1
+        if left < 0:
+            break
+        kept.append((k, window))
+    return " ".join(window for _, window in sorted(kept))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic",
         positives: int = POSITIVES, negatives: int = NEGATIVES, chars: int = TRAINING_CHARS) -> Model:
     """Train on labelled rows whose id isn't held out.
 
     The sample is bounded: at most ``positives`` and ``negatives`` ids, in the order of a hash of
-    the id, and only texts of at most ``chars`` characters. Rows without an id, text or label of
-    0 or 1 are left out; an id with both labels counts as 1, one with several texts gives one.
+    the id. Of texts above ``chars`` characters the windows with the highest log odds train, about
+    ``chars`` characters of them. Rows without an id, text or label of 0 or 1 are left out; an id
+    with both labels counts as 1, one with several texts gives one.
     """
     known = (labels.select(F.col(id).alias("id"), F.col(label).alias("label")).filter("id is not null and label in (0, 1)")
              .filter(~held_out("id")).groupBy("id").agg(F.max("label").alias("label")))
@@ -338,9 +403,10 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     rate = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 10)
     picked = known.filter("label = 1").orderBy(F.xxhash64("id"), "id").limit(positives).union(
         known.filter("label = 0").orderBy(F.xxhash64("id"), "id").limit(negatives))
-    sample = (docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
-              .filter(F.length("text") <= chars).join(F.broadcast(picked), "id")  # a bounded number of rows
+    sample = (docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).filter("text is not null")
+              .join(F.broadcast(picked), "id")  # a bounded number of rows
               .groupBy("id", "label").agg(F.min("text").alias("text")))
+    sample = _shortened(settle(sample.select("id", F.col("label").cast("int").alias("label"), "text"), "labelled"), chars)
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [row for batch in batches for row in batch.to_pylist()]

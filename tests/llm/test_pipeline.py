@@ -122,6 +122,93 @@ def test_scores(spark, tables):
     assert toxicity.score(spark.createDataFrame([(1, long)], "doc_id long, text string"), model).first().score > 0.5
 
 
+def test_windows_of_long_texts():
+    """The windows that hold the words of the highest odds are passed on, in order, within the bound."""
+    import numpy as np
+
+    odds = np.full(toxicity.WORD_BUCKETS, -0.1)
+    odds[toxicity.hashes_of(["vilewort"])[0]] = 5
+    words = [f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}" for k in range(20_000)]
+    for place in (3, 9_999, 19_999):
+        words[place] = "vilewort"
+    short = toxicity._best_windows(" ".join(words), odds, 2_000)
+    assert len(short) <= 2_000 and short.split().count("vilewort") == 3
+    starts = [short.split().index("vilewort"), len(short.split()) - 1]
+    assert starts[0] == 3 and short.split()[-1] == "vilewort"
+    assert toxicity._best_windows("... 123", odds, 100) == "" and toxicity._best_windows("one two", odds, 100) == "one two"
+
+
+def test_long_labelled_texts_train(spark):
+    """Toxic words that only texts above the bound hold are learned."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(["th", "an", "er", "on", "re", "st"]) for _ in range(rng.randint(1, 4)))
+    rows, labels = [], []
+    for i in range(160):
+        own = [word() for _ in range(900)]
+        if i % 4 == 0:
+            own[rng.randrange(900)] = "vilewort"
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(i % 4 == 0)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, known, chars=1_000)
+    asked = spark.createDataFrame([(1, "th an er on vilewort re st an"), (2, "th an er on re st an")], "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in toxicity.score(asked, model).collect()}
+    assert scores[1] > 0.5 > scores[2]
+
+
+def brute_score(model, text):
+    """The network's formulas word by word and step by step, over every window."""
+    import math
+
+    import numpy as np
+
+    w, size = model.weights, toxicity.STATE
+    words = toxicity.words_of(text)
+    if not words:
+        return model.rate
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(one):
+        word, grams, _ = toxicity.hashes_of([one])
+        v = w["ew"][word[0]] + sum(w["ec"][g] for g in grams) / len(grams)
+        v = np.array(v, np.float64)
+        v[1] += max(w["odds"][g] for g in grams)
+        return v @ w["wx"] + w["bx"]
+
+    def layer(inputs, u):
+        h, out = np.zeros(size), []
+        for x in inputs:
+            g = h @ u
+            z, r = sigmoid(x[:size] + g[:size]), sigmoid(x[size:2 * size] + g[size:2 * size])
+            n = np.tanh(x[2 * size:] + r * g[2 * size:])
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out
+
+    best, start = -math.inf, 0
+    while True:
+        x = [vector(one) for one in words[start:start + toxicity.WINDOW]]
+        ahead = layer([v[:3 * size] for v in x], w["u_f"])
+        back = layer([v[3 * size:] for v in reversed(x)], w["u_b"])[::-1]
+        states = [np.concatenate(pair) for pair in zip(ahead, back)]
+        e = np.array([np.tanh(s @ w["wa"] + w["ba"]) @ w["va"] for s in states])
+        alpha = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        best = max(best, float((sum(a * s for a, s in zip(alpha, states)) @ w["wo"] + w["bo"])[0]))
+        if start + toxicity.WINDOW >= len(words):
+            return float(sigmoid(best))
+        start += toxicity.STEP
+
+
+def test_scores_by_plain_loops(spark, tables):
+    folder, texts, _ = tables
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    asked = [(i, t) for i, t in texts.items() if i % 7 == 0] + [(900, "one"), (901, "a b " * 8), (902, "th an " * 100 + "vilewort")]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    for i, text in asked:
+        assert abs(got[i] - brute_score(model, text or "")) < 1e-4, i
+
+
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a text"), (None, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
