@@ -78,9 +78,12 @@ def alerts(spark, sf_dir):
 
 
 def detect_alerts(spark, sf_dir):
+    return shown_alerts(alerts(spark, sf_dir))
+
+
+def shown_alerts(found):
     shown_columns = ["ip", "req_count", "rps", "req_rate", "err_rate", "problem", "normal", "message",
                      "ptr", "domain", "priority", "tag", "ip_data_rows_total", "country", "city"]
-    found = alerts(spark, sf_dir)
     return found.select(
         ntz("alert_ts"), ntz("timestamp"), *shown_columns,
         F.round("last_feature.path_entropy", 6).alias("path_entropy"),
@@ -99,8 +102,10 @@ def detect_rounds(spark, sf_dir):
 
 def gelf_alerts(spark, sf_dir):
     """Alerts as log-store documents."""
-    documents = gelf_documents(alert_messages(alerts(spark, sf_dir), "alerts", "alerts"), F.lit(0.0))
+    return shown_documents(gelf_documents(alert_messages(alerts(spark, sf_dir), "alerts", "alerts"), F.lit(0.0)))
+
 
+def shown_documents(documents):
     def part(key):
         return F.get_json_object("gelf", f"$['{key}']")
 

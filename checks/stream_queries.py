@@ -4,10 +4,10 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from checks.common import ntz, plain_types, with_logs
-from checks.detect_queries import OPTIONS, SUPPRESS_OPTIONS, ORACLES as DETECT, scorer
+from checks.detect_queries import OPTIONS, SUPPRESS_OPTIONS, ORACLES as DETECT, scorer, shown_alerts, shown_documents
 from checks.feature_queries import ORACLES as FEATURE, feature_sql, shown
 from checks.ingest_queries import PARSED, raw
-from checks.network_queries import _ADDRESSES, _BEST, _PREFIXES, _RANGES, STATIC_SQL, geo_dimension, prefix_load
+from checks.network_queries import _ADDRESSES, _BEST, _PREFIXES, _RANGES, STATIC_SQL, geo_dimension, prefix_load, resolutions
 from netshield.constants import FEATURES
 from netshield.operators.lookup import geo_buckets, prefix_buckets
 from netshield.operators.blockops import LISTED, apply_commands
@@ -157,6 +157,25 @@ def stream_restart(spark, sf_dir):
     return plain_types(spark.read.parquet(f"{out}/tables/blocks").drop("batch_id"))
 
 
+def detection_tables(spark, sf_dir):
+    """Folder of the tables that the detection loop writes in several batches."""
+    out = work_dir(spark, "alert-rows")
+    stream = in_parts(logs(spark, sf_dir), F.unix_micros("ts"), f"{out}/in")
+    loop = DetectionLoop(f"{out}/tables", scorer(), resolutions(spark, sf_dir), geo_dimension(spark, sf_dir), OPTIONS)
+    finish(loop.start(stream, f"{out}/checkpoint", once=True))
+    return f"{out}/tables"
+
+
+def stream_alert_rows(spark, sf_dir):
+    """The alert table of a detection stream, all columns that the batch job's counterpart compares."""
+    return shown_alerts(spark.read.parquet(f"{detection_tables(spark, sf_dir)}/alerts"))
+
+
+def stream_gelf(spark, sf_dir):
+    """The log-store documents that a detection stream writes."""
+    return shown_documents(spark.read.parquet(f"{detection_tables(spark, sf_dir)}/gelf"))
+
+
 COMMAND_OPTIONS = Options(block_seconds=40)
 
 
@@ -190,6 +209,8 @@ QUERIES = {
     "stream_dedup": stream_dedup,
     "stream_retention": stream_retention,
     "stream_restart": stream_restart,
+    "stream_alert_rows": stream_alert_rows,
+    "stream_gelf": stream_gelf,
     "stream_block_ops": stream_block_ops,
     "block_ops_log": block_ops_log,
     "stream_features": stream_features,
@@ -218,6 +239,7 @@ ORACLES["stream_dedup"] = with_logs(f"{_SERIES} SELECT ip, ts, payload FROM live
 ORACLES["stream_retention"] = with_logs(f"""{_SERIES}
 SELECT ip, count(*) AS records, min(us) AS oldest_us, max(us) AS newest_us, true AS files_purged FROM live GROUP BY ip""")
 ORACLES["stream_restart"] = DETECT["block_output"]
+ORACLES["stream_alert_rows"], ORACLES["stream_gelf"] = DETECT["detect_alerts"], DETECT["gelf_alerts"]
 # What holds for an address at an instant, from the latest earlier command of each kind.
 ORACLES["block_ops_log"] = ORACLES["stream_block_ops"] = with_logs("""
 , commands AS (

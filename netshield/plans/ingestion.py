@@ -17,7 +17,12 @@ _DETECTOR = ["ip", "ts", "domain", "request", "request_length", "status", "bytes
 def ingest(raw: DataFrame, prefixes: DataFrame, geo: DataFrame, time_field: str | None = None,
            opts: Options = Options()) -> tuple[DataFrame, DataFrame]:
     """Every usable message enriched, and the messages that could not be used."""
-    messages = parse_messages(raw)
+    return ingest_parsed(parse_messages(raw), prefixes, geo, time_field, opts)
+
+
+def ingest_parsed(messages: DataFrame, prefixes: DataFrame, geo: DataFrame, time_field: str | None = None,
+                  opts: Options = Options()) -> tuple[DataFrame, DataFrame]:
+    """The same of messages that ``parse_messages`` has parsed; each result reads them once."""
     logs = enrich(parsed_logs(messages, time_field), prefixes, geo, opts=opts)
     return logs, quarantine(messages)
 

@@ -9,7 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 from netshield.operators.gelf import gelf_documents
 from netshield.operators.lookup import geo_buckets, prefix_buckets
 from netshield.options import Options
-from netshield.plans.ingestion import detector_rows, gelf_messages, ingest
+from netshield.plans.ingestion import detector_rows, gelf_messages, ingest_parsed
+from netshield.session import scratch, settle
+from netshield.sources.syslog import parse_messages
 from netshield.streaming.tables import run, write_batch
 
 
@@ -19,14 +21,20 @@ def start_ingest(raw: DataFrame, prefixes: DataFrame, geo: DataFrame, out: str,
     """Run the ingest job on a stream of raw messages.
 
     The lookup tables are built once and serve every batch.
-    A batch is parsed and enriched once into ``{out}/logs``; the other outputs read that table.
+    A batch is parsed once, for usable and other messages, and enriched once into ``{out}/logs``; the other
+    outputs read that table.
     """
 
     prefixes, geo = prefix_buckets(prefixes), geo_buckets(geo)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        with scratch(batch.sparkSession):
+            write(batch, batch_id)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        logs, bad = ingest(batch, prefixes, geo, time_field, opts)
+        messages = settle(parse_messages(batch), "messages")
+        logs, bad = ingest_parsed(messages, prefixes, geo, time_field, opts)
         write_batch(logs, f"{out}/logs", batch_id)
         write_batch(bad, f"{out}/quarantine", batch_id)
         written = spark.read.schema(logs.schema).parquet(f"{out}/logs/batch_id={batch_id}")
