@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -49,20 +50,27 @@ def delete(spark: SparkSession, path: str) -> None:
     store.delete(found, True)
 
 
-_scratch: list[list[str]] = []
+class _Scopes(threading.local):
+    """Open scratch scopes; each thread has its own, as each streaming query calls back in one."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete what ``settle`` writes inside, once the results that read it are written.
 
-    For loops that settle in every round. Scopes nest; they belong to the driver's thread of the loop.
+    For loops that settle in every round. Scopes nest, and belong to the thread that opened them.
     """
-    _scratch.append([])
+    _scopes.open.append([])
     try:
         yield
     finally:
-        for path in _scratch.pop():
+        for path in _scopes.open.pop():
             delete(spark, path)
 
 
@@ -73,8 +81,8 @@ def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     recompute it, and its file sizes let Spark choose join strategies.
     """
     path = work_dir(df.sparkSession, label)
-    if _scratch:
-        _scratch[-1].append(path)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

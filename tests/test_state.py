@@ -66,6 +66,28 @@ def test_scratch_is_deleted(spark):
     assert not exists(spark, path)
 
 
+def test_scratch_of_other_threads_is_left(spark):
+    """Two streams of a driver settle at the same time; the end of one's batch deletes nothing of the other's."""
+    import threading
+
+    opened, left, paths = threading.Event(), threading.Event(), {}
+
+    def other():
+        with scratch(spark):
+            opened.set()
+            left.wait(60)
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    opened.wait(60)
+    with scratch(spark):
+        paths["own"] = settle(spark.range(2), "own").inputFiles()[0].rsplit("/", 1)[0]
+        left.set()
+        thread.join()
+        assert exists(spark, paths["own"])
+    assert not exists(spark, paths["own"])
+
+
 def test_series_over_batches(spark):
     """Pushes in any batch are one record; old ones go; a failed batch and a restart lose and repeat nothing."""
     rng, opts = random.Random(3), Options(series_max_age_seconds=100)
