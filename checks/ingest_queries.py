@@ -7,6 +7,7 @@ from checks.network_queries import STATIC_SQL
 from netshield.functions.request import is_static, match_request, split_request
 from netshield.functions.timestamps import normalize_epoch
 from netshield.operators.gelf import as_json, flatten, gelf_documents
+from netshield.session import compute_once
 from netshield.sources import queue as mq
 from netshield.sources import syslog
 from netshield.sources.testdata import logs
@@ -151,17 +152,17 @@ def queue_rejects(spark, sf_dir):
 
 def gelf_docs(spark, sf_dir):
     docs, _ = mq.normalize_messages(bodies(spark, sf_dir))
-    gelf = gelf_documents(docs, F.lit(NOW))
+    gelf = compute_once(gelf_documents(docs, F.lit(NOW)), parts=F.from_json("gelf", "map<string,string>"))
 
     def part(key):
-        return F.get_json_object("gelf", f"$['{key}']")
+        return F.col("parts")[key]
 
     return gelf.select(
         *[part(k).alias(k.strip("_")) for k in ("version", "host", "short_message", "facility", "tag",
                                                 "_source_queue", "_source_exchange", "_status")],
         part("timestamp").cast("double").alias("timestamp"),
         part("_hidden").alias("hidden"),
-        F.size(F.json_object_keys("gelf")).cast("bigint").alias("keys"))
+        F.size("parts").cast("bigint").alias("keys"))
 
 
 STAMPS = r"""

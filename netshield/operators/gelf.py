@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from netshield.constants import GELF_FACILITY, GELF_VERSION
 from netshield.functions.timestamps import normalize_epoch
+from netshield.session import compute_once
 
 # Times carry their zone and microseconds, like ISO-8601 text.
 JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx", "ignoreNullFields": "false"}
@@ -38,12 +39,13 @@ def gelf_documents(docs: DataFrame, now: Column, offset_hours: int = 0,
     win over those it was taken from. A time that is no number, or too large for one, becomes ``now``.
     """
     doc = F.col("doc")
+    stamped = compute_once(docs, _stamp=_text(doc["timestamp"]))
 
     def field(key: str, default: Column) -> Column:
         return F.when(F.map_contains_key(doc, key), doc[key]).otherwise(default.cast("variant"))
 
     epoch = F.coalesce(
-        normalize_epoch(_text(doc["timestamp"]), now, offset_hours).try_cast("decimal(20,6)"),
+        normalize_epoch(F.col("_stamp"), now, offset_hours).try_cast("decimal(20,6)"),
         now.cast("decimal(20,6)"))
     known = F.create_map(
         F.lit("version"), F.lit(GELF_VERSION).cast("variant"),
@@ -59,4 +61,4 @@ def gelf_documents(docs: DataFrame, now: Column, offset_hours: int = 0,
         doc, lambda key, _: ~key.isin("message", "hostname", "timestamp", "tag", "source_queue",
                                       "source_exchange") & ~key.startswith("_") & (key != ""))
     named = F.transform_keys(own, lambda key, _: F.concat(F.lit("_"), key))
-    return docs.select(F.to_json(F.map_concat(known, named), JSON_OPTIONS).alias("gelf"))
+    return stamped.select(F.to_json(F.map_concat(known, named), JSON_OPTIONS).alias("gelf"))

@@ -24,12 +24,20 @@ def _object(value: Column) -> Column:
                   F.try_variant_get(value, "$", "map<string,variant>"))
 
 
-def _repeating(text: Column) -> Column:
-    """Map of a text that is one JSON object, the last value of a repeated key winning; else NULL."""
+def _like_object(text: Column) -> Column:
+    return F.btrim(text, F.lit(" \t\n\r")).startswith("{")
+
+
+def _objects(text: Column) -> Column:
+    """The one JSON object of a text, with repeated keys, in an array; texts that don't start like one aren't parsed."""
     objects = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,variant>>",
                           {"allowSingleQuotes": "false"})
-    one = F.when((F.size(objects) == 1) & F.btrim(text).startswith("{"), F.get(objects, F.lit(0)))
-    return last_wins(one)
+    return F.when(_like_object(text), objects)
+
+
+def _repeating(objects: Column) -> Column:
+    """Map of the single object, the last value of a repeated key winning; else NULL."""
+    return last_wins(F.when(F.size(objects) == 1, F.get(objects, F.lit(0))))
 
 
 def normalize_messages(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -38,18 +46,26 @@ def normalize_messages(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     A JSON object is taken as is, and so is one wrapped in a JSON string; any other value becomes
     ``{"message": value}``. ``doc`` is ``map<string, variant>``, so values keep their JSON types.
     """
-    parsed = compute_once(bodies, _values=_one_value(F.col("body")))
+    body = F.col("body")
+    parsed = compute_once(bodies, _values=_one_value(body))
     # the value parser refuses objects that repeat a key
-    parsed = compute_once(parsed, _repeated=F.when(F.col("_values").isNull(), _repeating(F.col("body"))))
+    parsed = compute_once(parsed, _again=F.when(F.col("_values").isNull(), _objects(body)))
+    parsed = compute_once(parsed, _repeated=F.when(F.col("_again").isNotNull(), _repeating(F.col("_again"))))
     usable = F.col("_values").isNotNull() | F.col("_repeated").isNotNull()
     value = F.coalesce(F.get("_values", F.lit(0)), F.parse_json(F.lit("null")))
     good = compute_once(parsed.where(usable), _value=value)
-    inner = F.try_variant_get("_value", "$", "string")
-    text_object = F.when(F.schema_of_variant("_value") == "STRING", F.coalesce(
-        _object(F.get(_one_value(inner), F.lit(0))), _repeating(inner)))
+    # an object wrapped in a JSON string is parsed like a body
+    inner = F.when(F.schema_of_variant("_value") == "STRING", F.try_variant_get("_value", "$", "string"))
+    good = compute_once(good, _inner=inner)
+    opened = F.when(_like_object(F.col("_inner")), _one_value(F.col("_inner")))
+    good = compute_once(good, _opened=opened)
+    again = F.when(F.col("_opened").isNull() & F.col("_inner").isNotNull(), _objects(F.col("_inner")))
+    good = compute_once(good, _inner_again=again)
     wrapped = F.create_map(F.lit("message"), F.col("_value"))
-    docs = compute_once(good, doc=F.coalesce("_repeated", _object(F.col("_value")), text_object, wrapped))
-    bad = parsed.where(~usable).drop("_values", "_repeated")
+    docs = compute_once(good, doc=F.coalesce(
+        "_repeated", _object(F.col("_value")), _object(F.get("_opened", F.lit(0))),
+        F.when(F.col("_inner_again").isNotNull(), _repeating(F.col("_inner_again"))), wrapped))
+    bad = parsed.where(~usable).drop("_values", "_again", "_repeated")
     return docs.select("doc", "queue", "exchange"), bad
 
 
