@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from checks.common import plain_types, with_logs
@@ -160,6 +162,12 @@ def ptr_asof(spark, sf_dir):
     return plain_types(found)
 
 
+def ptr_slices(spark, sf_dir):
+    """The same with answers that are taken for too many to broadcast."""
+    asked = logs(spark, sf_dir).select("seq", "ip", "ts")
+    return plain_types(match_hostname(asked, "ip", "ts", resolutions(spark, sf_dir), replace(PTR_OPTIONS, broadcast_rows=0)))
+
+
 def ptr_to_resolve(spark, sf_dir):
     asked = logs(spark, sf_dir).select("seq", "ip", "ts")
     return to_resolve(match_hostname(asked, "ip", "ts", resolutions(spark, sf_dir), PTR_OPTIONS), "ip")
@@ -284,6 +292,7 @@ QUERIES = {
     "ip_family": ip_family,
     "isp_classes": isp_classes,
     "ptr_asof": ptr_asof,
+    "ptr_slices": ptr_slices,
     "ptr_to_resolve": ptr_to_resolve,
     "eligible_logs": eligible_logs,
 }
@@ -311,6 +320,7 @@ SELECT s_suppkey, isp,
   regexp_matches(lower(isp), 'vps|virtual private server|vultr|linode|digitalocean|scaleway|ovh|hetzner') AS is_vps
 FROM isps""",
     "ptr_asof": with_logs(f"{_RESOLVED} SELECT * FROM asked"),
+    "ptr_slices": with_logs(f"{_RESOLVED} SELECT * FROM asked"),
     "ptr_to_resolve": with_logs(f"{_RESOLVED} SELECT DISTINCT ip FROM asked WHERE NOT ptr_known"),
     "eligible_logs": with_logs(f""", {_ADDRESSES}, {_PREFIXES}, {_BEST}, {_RANGES},
 blocked AS (SELECT ip, min(ts) AS added_at FROM logs WHERE status >= 500 GROUP BY ip)

@@ -115,6 +115,36 @@ def test_hostnames_expire(spark):
     assert {r["ip"]: r["hostname"] for r in newest_hostnames(resolved).collect()} == {"a": "new", "b": None}
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, 10**6])
+@pytest.mark.parametrize("life", [1, 7, 300])
+def test_hostnames_against_walking(spark, broadcast_rows, life):
+    """A hot address with an answer nearly every instant, rare ones, ties, and rows that can't be asked."""
+    rng = random.Random(life)
+    hot = [("hot", None if rng.random() < 0.3 else f"h{rng.randint(0, 9)}", rng.randint(0, 40_000_000)) for _ in range(400)]
+    rare = [(f"r{rng.randint(0, 5)}", f"n{k}", rng.randint(0, 3000) * 1_000_000) for k in range(40)]
+    answers = hot + hot[:20] + [("hot", "z", hot[0][2])] + rare + [(None, "x", 5), ("hot", "no time", None)]
+    asked = [("hot", rng.randint(-10, 50_000_000)) for _ in range(300)] + [(a[0], a[2] + d) for a in rare + hot[:40]
+             for d in (-1, 0, life * 1_000_000 - 1, life * 1_000_000)]
+    asked += [(f"r{rng.randint(0, 6)}", rng.randint(0, 3300) * 1_000_000) for _ in range(100)] + [(None, 5), (None, None), ("hot", None)]
+
+    def us(rows, schema):
+        df = spark.createDataFrame(rows, schema)
+        return df.withColumn(df.columns[-1], F.timestamp_micros(df.columns[-1]))
+
+    found = match_hostname(us([(n, *a) for n, a in enumerate(asked)], "n int, ip string, ts long"), "ip", "ts",
+                           us(answers, "ip string, hostname string, resolved_at long"),
+                           Options(hostname_timeout_seconds=life, broadcast_rows=broadcast_rows))
+    assert found.columns == ["n", "ip", "ts", "ptr", "ptr_known"]
+    got = {r["n"]: (r["ptr"], r["ptr_known"]) for r in found.collect()}
+    for n, (ip, at) in enumerate(asked):
+        usable = [] if ip is None or at is None else [(a[2], a[1]) for a in answers if a[0] == ip and a[2] is not None and a[2] <= at]
+        newest = max((t for t, _ in usable), default=None)
+        known = newest is not None and newest > at - life * 1_000_000
+        names = [name for t, name in usable if t == newest and name is not None]
+        assert got[n] == (max(names, default=None) if known else None, known), (ip, at)
+    assert len(got) == len(asked)
+
+
 def test_block_periods(spark):
     times = [0, 10, 1799, 1800, 1900, 3600, 3601, 9000]
     found = spark.createDataFrame([("x", t * 1_000_000) for t in times], "ip string, us long")
