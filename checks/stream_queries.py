@@ -7,8 +7,10 @@ from checks.common import ntz, plain_types, with_logs
 from checks.detect_queries import OPTIONS, SUPPRESS_OPTIONS, ORACLES as DETECT, scorer, shown_alerts, shown_documents
 from checks.feature_queries import ORACLES as FEATURE, feature_sql, shown
 from checks.ingest_queries import PARSED, raw
+from checks.series_queries import ORACLES as SERIES
 from checks.network_queries import _ADDRESSES, _BEST, _PREFIXES, _RANGES, STATIC_SQL, geo_dimension, prefix_load, resolutions
 from netshield.constants import FEATURES
+from netshield.operators import enrich as en
 from netshield.operators.lookup import geo_buckets, prefix_buckets
 from netshield.operators.blockops import LISTED, apply_commands
 from netshield.options import Options
@@ -20,6 +22,7 @@ from netshield.streaming.blockops import LiveBlocklist
 from netshield.streaming.detection import DetectionLoop
 from netshield.streaming.features import ClosedWindows, pending_counters, stream_counters
 from netshield.streaming.ingest import start_ingest
+from netshield.streaming.reports import StandingReport
 from netshield.streaming.series import SeriesStore
 from netshield.streaming.tables import finish
 
@@ -157,6 +160,18 @@ def stream_restart(spark, sf_dir):
     return plain_types(spark.read.parquet(f"{out}/tables/blocks").drop("batch_id"))
 
 
+def stream_rollup(spark, sf_dir):
+    """The traffic report after batches in mixed order: every batch brings rows of steps that earlier ones reported."""
+    out = work_dir(spark, "report")
+    rows = en.enrich(logs(spark, sf_dir), prefix_load(spark, sf_dir), geo_dimension(spark, sf_dir)).select(
+        "seq", "ts", "status", "bytes_sent", "country", "city")
+    mixed = F.pmod(F.unix_micros("ts") * 7 + F.col("seq") % 3 * PART_SECONDS * 1_000_000, F.lit(5 * PART_SECONDS * 1_000_000))
+    stream = in_parts(rows, START_US + mixed, f"{out}/in")
+    report = StandingReport(f"{out}/tables", merge_above=2)
+    finish(report.start(stream, f"{out}/checkpoint", once=True))
+    return plain_types(report.report(spark).withColumn("bytes", F.col("bytes").cast("bigint")))
+
+
 def detection_tables(spark, sf_dir):
     """Folder of the tables that the detection loop writes in several batches."""
     out = work_dir(spark, "alert-rows")
@@ -209,6 +224,7 @@ QUERIES = {
     "stream_dedup": stream_dedup,
     "stream_retention": stream_retention,
     "stream_restart": stream_restart,
+    "stream_rollup": stream_rollup,
     "stream_alert_rows": stream_alert_rows,
     "stream_gelf": stream_gelf,
     "stream_block_ops": stream_block_ops,
@@ -238,6 +254,7 @@ live AS (SELECT * FROM records WHERE us > (SELECT max(us) FROM logs) - 100000000
 ORACLES["stream_dedup"] = with_logs(f"{_SERIES} SELECT ip, ts, payload FROM live")
 ORACLES["stream_retention"] = with_logs(f"""{_SERIES}
 SELECT ip, count(*) AS records, min(us) AS oldest_us, max(us) AS newest_us, true AS files_purged FROM live GROUP BY ip""")
+ORACLES["stream_rollup"] = SERIES["traffic_rollup"]
 ORACLES["stream_restart"] = DETECT["block_output"]
 ORACLES["stream_alert_rows"], ORACLES["stream_gelf"] = DETECT["detect_alerts"], DETECT["gelf_alerts"]
 # What holds for an address at an instant, from the latest earlier command of each kind.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,31 @@ def traffic(enriched: DataFrame, every: str = "1 minute") -> DataFrame:
         F.grouping_id().alias("level"))
 
 
+CELLS = "win timestamp, country string, city string, requests bigint, errors bigint, bytes decimal(38,0)"
+_PLACE = ("win", "country", "city")
+
+
+def traffic_cells(enriched: DataFrame, every: str = "1 minute") -> DataFrame:
+    """The finest level of ``traffic``, of some of the requests; ``CELLS``."""
+    return enriched.groupBy(F.window("ts", every)["start"].alias("win"), "country", "city").agg(
+        F.count(F.lit(1)).alias("requests"), F.count(F.when(F.col("status") >= 400, 1)).alias("errors"),
+        F.sum(F.col("bytes_sent").cast("decimal(20,0)")).cast("decimal(38,0)").alias("bytes"))
+
+
+def _sums() -> list[Column]:
+    return [F.sum(name).alias(name) for name in ("requests", "errors", "bytes")]
+
+
+def combine_cells(cells: DataFrame) -> DataFrame:
+    """One cell for the cells of one step and place."""
+    return cells.groupBy(*_PLACE).agg(*_sums())
+
+
+def traffic_of_cells(cells: DataFrame) -> DataFrame:
+    """What ``traffic`` gives for all requests that the cells count."""
+    return cells.rollup(*_PLACE).agg(*_sums(), F.grouping_id().alias("level"))
+
+
 def known_networks(enriched: DataFrame, every: str = "1 minute") -> DataFrame:
     """Requests of known networks per time step, category and name."""
     named = enriched.where(F.col("bot_name").isNotNull())

@@ -10,6 +10,8 @@ versions are kept, and lists no folder.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -24,13 +26,18 @@ class StateTable:
 
     ``time`` names the timestamp column by which rows expire. ``merge_above`` folders are merged into
     one. ``versions`` manifests are kept; two is the least that allows a batch to be repeated.
+
+    With ``combine``, which makes one row of rows that belong together, the table is of partial results:
+    merging combines them, and takes small folders before large ones, so that a row is rewritten as
+    often as the logarithm of the table's size. Readers combine what different folders hold.
     """
 
-    def __init__(self, path: str, schema: StructType | str, time: str = "ts", merge_above: int = 8, versions: int = 3):
+    def __init__(self, path: str, schema: StructType | str, time: str = "ts", merge_above: int = 8, versions: int = 3,
+                 combine: Callable[[DataFrame], DataFrame] | None = None):
         if versions < 2:
             raise ValueError("a repeated batch needs its predecessor's version")
         self.path, self.schema, self.time = path.rstrip("/"), schema, time
-        self.merge_above, self.versions = merge_above, versions
+        self.merge_above, self.versions, self.combine = merge_above, versions, combine
 
     def _manifest(self, version: int) -> str:
         return f"{self.path}/manifest/version={version}"
@@ -65,7 +72,10 @@ class StateTable:
         us = F.unix_micros(self.time)
         rows.where(us.isNotNull()).write.mode("overwrite").parquet(path)
         found = spark.read.schema(self.schema).parquet(path).agg(F.min(us).alias("low"), F.max(us).alias("high"), F.count(F.lit(1)).alias("n")).first()
-        return [Row(folder=folder, low_us=found["low"], high_us=found["high"], rows=found["n"])] if found["n"] else []
+        if not found["n"]:
+            delete(spark, path)  # no version will name it
+            return []
+        return [Row(folder=folder, low_us=found["low"], high_us=found["high"], rows=found["n"])]
 
     def commit(self, added: DataFrame, version: int, keep_from_us: int | None = None) -> None:
         """Add rows to the predecessor's and let those before ``keep_from_us`` go.
@@ -77,10 +87,23 @@ class StateTable:
         kept = [e for e in self.entries(spark, version - 1) if keep_from_us is None or e["high_us"] >= keep_from_us]
         kept += self._write(added, f"{version}-added")
         if len(kept) > self.merge_above:
-            kept = self._write(self._read(spark, kept, keep_from_us), f"{version}-merged")
-            delete(spark, f"{self.path}/data/{version}-added")  # no version names it
+            merged, kept = self._to_merge(kept)
+            rows = self._read(spark, merged, keep_from_us)
+            kept = kept + self._write(self.combine(rows) if self.combine else rows, f"{version}-merged")
+            if any(e["folder"] == f"{version}-added" for e in merged):
+                delete(spark, f"{self.path}/data/{version}-added")  # no version names it
         self._publish(spark, version, kept)
 
+    def _to_merge(self, entries: list[Row]) -> tuple[list[Row], list[Row]]:
+        """The folders to merge and the others: two of the smallest, and on while one isn't much larger than those before it."""
+        if not self.combine:
+            return entries, []
+        by_size = sorted(entries, key=lambda e: (e["rows"], e["folder"]))
+        n = 2
+        while n < len(by_size) and by_size[n]["rows"] <= 2 * sum(e["rows"] for e in by_size[:n]):
+            n += 1
+        return by_size[:n], by_size[n:]
+
     def replace(self, rows: DataFrame, version: int) -> None:
         """Make ``rows`` all that the version holds."""
         self._publish(rows.sparkSession, version, self._write(rows, f"{version}-all"))
