@@ -27,14 +27,8 @@ def trailing_buffer(logs: DataFrame, opts: Options = Options()) -> DataFrame:
     The buffer spans the window length before the request, both ends included, capped in rows.
     """
     rows = logs.withColumn("us", F.unix_micros("ts"))
-    # Rows one window apart share no frame beyond the neighbouring pane, so panes bound a partition.
-    pane = F.expr(f"us div {opts.window_us}")
-    counts = rows.groupBy("ip", "us").agg(F.count(F.lit(1)).alias("c"))
-    spread = counts.select(
-        "ip", "us", "c", F.explode(F.array(pane, pane + 1)).alias("pane"))
-    held = F.sum("c").over(
-        Window.partitionBy("ip", "pane").orderBy("us").rangeBetween(-opts.window_us, 0))
-    sizes = spread.withColumn("held", held).where(F.col("pane") == pane).select("ip", "us", "held")
+    counts = rows.where("ip IS NOT NULL AND us IS NOT NULL").groupBy("ip", "us").agg(F.count(F.lit(1)).alias("c"))
+    sizes = _held(counts, opts.window_us)
     # Requests of one instant enter one by one.
     later = F.count(F.lit(1)).over(
         Window.partitionBy("ip", "us").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1))
@@ -45,6 +39,28 @@ def trailing_buffer(logs: DataFrame, opts: Options = Options()) -> DataFrame:
     )
 
 
+def _held(counts: DataFrame, width_us: int, slice_us: int = 1_000_000) -> DataFrame:
+    """``(ip, us, held)`` of instants ``(ip, us, c)``: requests from ``us - width_us`` to ``us``, both included.
+
+    That is the running count at the instant less the one just before the window, so a row costs the same for
+    any width. Running counts are taken inside short slices of time and raised by the totals of earlier slices.
+    """
+    ends = F.array(
+        F.struct(F.col("us").alias("at"), F.col("c").alias("n"), F.lit(1).alias("sign")),
+        F.struct((F.col("us") - width_us).alias("at"), F.lit(0).cast("bigint").alias("n"), F.lit(-1).alias("sign")))
+    marks = counts.select("ip", "us", F.inline(ends)).withColumn("_slice", F.expr(f"at div {slice_us}"))
+    # A window's start comes before the requests of its instant, which the window holds.
+    so_far = Window.partitionBy("ip", "_slice").orderBy("at", "sign").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("ip").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = marks.groupBy("ip", "_slice").agg(F.sum("n").alias("_n")).select(
+        "ip", "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    total = F.col("_before") + F.col("_here")
+    return (
+        marks.withColumn("_here", F.sum("n").over(so_far)).join(before, ["ip", "_slice"])
+        .groupBy("ip", "us").agg(F.sum(F.col("sign") * total).alias("held"))
+    )
+
+
 def _xlogx(n: Column) -> Column:
     return F.when(n > 0, n * F.ln(n)).otherwise(F.lit(0.0))
 

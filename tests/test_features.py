@@ -101,3 +101,20 @@ def test_trailing_buffer(spark):
     for row in rows:
         held = [r for r in rows if r[1] == row[1] and row[2] - M <= r[2] and (r[2], r[0]) <= (row[2], row[0])]
         assert found[(row[0],)]["buffer_rows"] == min(9, len(held))
+
+
+def test_trailing_buffer_has_no_frame_over_a_window(spark):
+    """A frame over a window's instants would sum all of them again for every row."""
+    table = trailing_buffer(brute.access_logs(spark, random_rows(4, 3)))
+    assert "RangeFrame" not in table._jdf.queryExecution().toString()
+
+
+def test_trailing_buffer_of_many_instants(spark):
+    """Instants less than a slice apart, some repeated, and rows without address or time."""
+    rng = random.Random(8)
+    second = 1_000_000
+    rows = [(k, "a", rng.choice((0, 59, 60, 61)) * second + rng.randrange(0, 2 * second, 10_000), "GET /", 200, 1, 1.0) for k in range(900)]
+    rows += [(-k, None, k * second, "GET /", 200, 1, 1.0) for k in (1, 2)] + [(2000, "a", None, "GET /", 200, 1, 1.0)]
+    found = trailing_buffer(brute.access_logs(spark, rows), Options(buffer_rows=700)).collect()
+    expected = {r[0]: min(700, sum(q[2] >= r[2] - M and (q[2], q[0]) <= (r[2], r[0]) for q in rows[:900])) for r in rows[:900]}
+    assert {r["seq"]: r["buffer_rows"] for r in found} == expected
