@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netshield.functions.request import is_static, isp_class, split_request
 from netshield.operators.blocklist import drop_blocked
-from netshield.operators.lookup import match_geo, match_prefix
+from netshield.operators.lookup import match_both
 from netshield.options import Options
 
 
@@ -29,8 +29,7 @@ def classify_isp(df: DataFrame, isp: str = "isp") -> DataFrame:
 def enrich(logs: DataFrame, prefixes: DataFrame, geo: DataFrame, ip: str = "ip",
            opts: Options = Options()) -> DataFrame:
     """Static flag, request parts, location and known network; every row is kept."""
-    located = match_geo(flag_requests(logs), ip, geo, opts)
-    return match_prefix(located, ip, prefixes, opts)
+    return match_both(flag_requests(logs), ip, geo, prefixes, opts)
 
 
 def is_candidate() -> Column:

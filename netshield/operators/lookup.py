@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from netshield.functions.address import ip_hex
 from netshield.options import Options
-from netshield.session import settle
+from netshield.session import compute_once, rows_within, settle
 
 # Leading hex digits that define a bucket: (IPv4, IPv6), from widest to narrowest.
 _WIDTHS = ((0, 0), (2, 4), (4, 8), (6, 12), (8, 16))
@@ -45,7 +45,8 @@ def build_buckets(ranges: DataFrame, payload: list[str], rank: list[Column],
     """Written lookup table ``(level, key, entries)`` of ``ranges(lo, hi, ...)``.
 
     ``rank`` orders the ranges of one bucket; the first that holds an address wins, and a narrower
-    bucket beats a wider one. Build it once and pass it wherever ranges are expected.
+    bucket beats a wider one. Of equal ranges only the first by rank is kept, so a bucket doesn't grow with
+    lists that repeat them. Build it once and pass it wherever ranges are expected.
     """
     entry = F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)], "lo", "hi",
                      F.struct(*payload).alias("payload"))
@@ -53,8 +54,8 @@ def build_buckets(ranges: DataFrame, payload: list[str], rank: list[Column],
     key = F.lit(None).cast("string")
     for i in range(len(_WIDTHS)):
         key = F.when(F.col("level") == i, _bucket(F.col("lo"), i)).otherwise(key)
-    table = homed.groupBy("level", key.alias("key")).agg(
-        F.sort_array(F.collect_list(entry)).alias("entries"))
+    distinct = homed.groupBy("level", key.alias("key"), "lo", "hi").agg(F.min(entry).alias("entry"))
+    table = distinct.groupBy("level", "key").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
     return settle(table, "buckets")
 
 
@@ -79,23 +80,50 @@ def _probe(df: DataFrame, buckets: DataFrame, found: str, small: set[int]) -> Da
 
 def range_lookup(df: DataFrame, ip: str, buckets: DataFrame, found: str,
                  opts: Options = Options()) -> DataFrame:
-    """Left lookup of ``df[ip]``; adds struct ``found`` or NULL.
+    """Left lookup of ``df[ip]``; adds struct ``found`` or NULL."""
+    return range_lookups(df, ip, {found: buckets}, opts)
 
-    A table within ``broadcast_rows`` ranges (summed first) is broadcast and the probe side stays in
-    place. A larger one is looked up once per distinct address, with the levels of a fifth of that
-    broadcast, and joined back by address, where AQE splits a heavy address.
+
+def range_lookups(df: DataFrame, ip: str, tables: dict[str, DataFrame],
+                  opts: Options = Options()) -> DataFrame:
+    """Left lookups of ``df[ip]`` in several tables; adds a struct or NULL for each.
+
+    The distinct addresses are written first. While there are at most ``broadcast_rows`` of them, each is
+    looked up once, in all tables, and what was found is broadcast by address. Of more addresses, a table
+    within ``broadcast_rows`` ranges (summed first) is broadcast and the probe side stays in place; a larger
+    one is looked up once per address and joined back, where AQE splits a heavy address.
     """
-    ranges = {level: 0 for level in range(len(_WIDTHS))} | {r["level"]: r["n"] for r in buckets.groupBy("level").agg(
-        F.sum(F.size("entries")).alias("n")).collect()}
-    if sum(ranges.values()) <= opts.broadcast_rows:
-        with_digits = df.withColumn("_digits", ip_hex(F.col(ip)))
-        return _probe(with_digits, buckets, found, set(ranges)).drop("_digits")
-    small = {level for level, n in ranges.items() if n <= opts.broadcast_rows // len(ranges)}
-    addresses = (
-        df.select(F.col(ip).alias("_ip")).distinct()
-        .withColumn("_digits", ip_hex(F.col("_ip"))).where(F.col("_digits").isNotNull())
-    )
-    known = _probe(addresses, buckets, found, small).where(F.col(found).isNotNull())
+    levels = {found: _level_sizes(buckets) for found, buckets in tables.items()}
+    addresses = settle(df.select(F.col(ip).alias("_ip")).where("_ip IS NOT NULL").distinct(), "addresses")
+    known = compute_once(addresses, _digits=ip_hex(F.col("_ip"))).where("_digits IS NOT NULL")
+    if rows_within(addresses, opts.broadcast_rows):
+        for found, buckets in tables.items():
+            known = _probe(known, buckets, found, _small(levels[found], opts))
+        return _joined_back(df, ip, F.broadcast(known))
+    for found, buckets in tables.items():
+        if sum(levels[found].values()) <= opts.broadcast_rows:
+            with_digits = compute_once(df, _digits=ip_hex(F.col(ip)))
+            df = _probe(with_digits, buckets, found, set(levels[found])).drop("_digits")
+        else:
+            hits = _probe(known, buckets, found, _small(levels[found], opts)).where(F.col(found).isNotNull())
+            df = _joined_back(df, ip, hits)
+    return df
+
+
+def _level_sizes(buckets: DataFrame) -> dict[int, int]:
+    """How many ranges each level holds."""
+    counted = buckets.groupBy("level").agg(F.sum(F.size("entries")).alias("n")).collect()
+    return {level: 0 for level in range(len(_WIDTHS))} | {r["level"]: r["n"] for r in counted}
+
+
+def _small(sizes: dict[int, int], opts: Options) -> set[int]:
+    """The levels to broadcast: all of a table within the limit, else those of a fifth of it."""
+    if sum(sizes.values()) <= opts.broadcast_rows:
+        return set(sizes)
+    return {level for level, n in sizes.items() if n <= opts.broadcast_rows // len(sizes)}
+
+
+def _joined_back(df: DataFrame, ip: str, known: DataFrame) -> DataFrame:
     return df.join(known.drop("_digits"), F.col(ip) == F.col("_ip"), "left").drop("_ip")
 
 
@@ -120,7 +148,10 @@ def match_prefix(df: DataFrame, ip: str, prefixes: DataFrame, opts: Options = Op
 
     Ranks put the longest prefix of a bucket first, so the order is longest-match overall.
     """
-    found = range_lookup(df, ip, prefix_buckets(prefixes), "_net", opts)
+    return _with_network(range_lookup(df, ip, prefix_buckets(prefixes), "_net", opts))
+
+
+def _with_network(found: DataFrame) -> DataFrame:
     return found.withColumns({
         "bot_name": F.col("_net.name"),
         "bot_category": F.col("_net.category"),
@@ -130,8 +161,18 @@ def match_prefix(df: DataFrame, ip: str, prefixes: DataFrame, opts: Options = Op
 
 def match_geo(df: DataFrame, ip: str, ranges: DataFrame, opts: Options = Options()) -> DataFrame:
     """Adds struct ``ip2location`` (NULL on a miss), ``country`` and ``city`` (``NA`` on a miss)."""
-    found = range_lookup(df, ip, geo_buckets(ranges), "ip2location", opts)
+    return _with_place(range_lookup(df, ip, geo_buckets(ranges), "ip2location", opts))
+
+
+def _with_place(found: DataFrame) -> DataFrame:
     return found.withColumns({
         "country": F.coalesce("ip2location.country", F.lit("NA")),
         "city": F.coalesce("ip2location.city", F.lit("NA")),
     })
+
+
+def match_both(df: DataFrame, ip: str, ranges: DataFrame, prefixes: DataFrame,
+               opts: Options = Options()) -> DataFrame:
+    """``match_geo`` and ``match_prefix`` in one lookup of the addresses."""
+    tables = {"ip2location": geo_buckets(ranges), "_net": prefix_buckets(prefixes)}
+    return _with_network(_with_place(range_lookups(df, ip, tables, opts)))

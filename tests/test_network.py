@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from netshield.functions.address import ip_hex, is_ipv4
 from netshield.operators.blocklist import first_detections
 from netshield.operators.hostnames import match_hostname, newest_hostnames, to_resolve
-from netshield.operators.lookup import match_geo, match_prefix
+from netshield.operators.lookup import geo_buckets, match_both, match_geo, match_prefix, prefix_buckets
 from netshield.options import Options
 from netshield.sources import geo, prefixes as px
 
@@ -174,3 +174,39 @@ def test_suppression_in_one_long_run(spark):
     assert {ip: sorted(v) for ip, v in got.items()} == {
         "long": fold(long, block), "sparse": fold(sparse, block), "exact": fold(exact, block)}
     assert first_detections(df.limit(0)).count() == 0
+
+
+def test_places_and_networks_in_one_lookup(spark):
+    """Distinct addresses are looked up once, in both tables; rows keep their number, NULL addresses their row."""
+    prefixes, _ = px.parse_prefix_lines(spark.createDataFrame(
+        [("claude", "10.0.0.0/8"), ("vpn", "10.1.0.0/16"), ("vpn", "2001:db8::/32")], "name string, line string"))
+    ranges = geo.ranges_from_addresses(spark.createDataFrame(
+        [("10.1.0.0", "10.1.0.9", "DE", "Hessen", "Frankfurt")], "ip_from string, ip_to string, country string, region string, city string"))
+    tables = geo_buckets(ranges), prefix_buckets(prefixes)
+    probes = ["10.1.0.4", "10.1.0.4", "10.1.0.10", "10.2.0.1", "2001:db8::1", "x", "", None, None, "8.8.8.8"]
+    df = spark.createDataFrame([(p,) for p in probes], "ip string")
+    few, many, large = (match_both(df, "ip", *tables, Options(broadcast_rows=n)) for n in (100, 4, 1))
+
+    def shown(found):
+        return sorted(map(str, found.select("ip", "country", "city", "bot_name", "bot_category", "bot_support").collect()))
+
+    assert shown(few) == shown(many) == shown(large)
+    by_ip = {r["ip"]: (r["city"], r["bot_name"]) for r in few.collect()}
+    assert by_ip["10.1.0.4"] == ("Frankfurt", "vpn") and by_ip["10.2.0.1"] == ("NA", "claude") and by_ip[None] == ("NA", None)
+
+
+def test_rows_of_few_addresses_meet_one_join(spark):
+    """The rows of a log probe no buckets: what their addresses found is joined to them."""
+    prefixes, _ = px.parse_prefix_lines(spark.createDataFrame([("claude", "10.0.0.0/8")], "name string, line string"))
+    df = spark.range(1000).selectExpr("concat('10.0.0.', id % 3) AS ip")
+    plan = match_prefix(df, "ip", prefix_buckets(prefixes))._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().startswith("Project") and plan.children().head().children().head().toString().find("Join") < 0
+
+
+def test_equal_ranges_are_one_entry(spark):
+    """Host bits make different lines the same prefix; a bucket holds it once, for the first list by rank."""
+    lines = [(name, f"203.0.{k}.7/16") for name in ("vpn", "claude", "googlebot") for k in range(40)]
+    prefixes, _ = px.parse_prefix_lines(spark.createDataFrame(lines, "name string, line string"))
+    assert prefixes.count() == 120
+    entries = [e for r in prefix_buckets(prefixes).collect() for e in r["entries"]]
+    assert [e["payload"]["name"] for e in entries] == ["claude"]
