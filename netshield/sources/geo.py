@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netshield.functions.address import ip_hex
+from netshield.session import compute_once
 
 _CSV_SCHEMA = (
     "ip_from string, ip_to string, country string, country_name string, region string, city string"
@@ -14,11 +15,9 @@ _CSV_SCHEMA = (
 
 def ranges_from_addresses(rows: DataFrame) -> DataFrame:
     """``(ip_from, ip_to, country, region, city)`` with textual bounds → lookup intervals."""
-    ranges = rows.groupBy("ip_from", "ip_to").agg(
-        F.first(ip_hex(F.col("ip_from"))).alias("lo"),
-        F.first(ip_hex(F.col("ip_to"))).alias("hi"),
-        F.min(F.struct("country", "region", "city")).alias("place"),
-    )
+    texts = rows.groupBy("ip_from", "ip_to").agg(F.min(F.struct("country", "region", "city")).alias("place"))
+    # Addresses are read once per distinct pair of texts.
+    ranges = compute_once(texts, lo=ip_hex(F.col("ip_from")), hi=ip_hex(F.col("ip_to")))
     return ranges.where(F.col("lo").isNotNull() & F.col("hi").isNotNull()).select(
         "lo", "hi", "place.*")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netshield.constants import SUPPORTED_NETWORKS, UNSUPPORTED_NETWORKS
 from netshield.functions.address import hex_family, ip_hex, prefix_bound
+from netshield.session import compute_once
 
 PREFIX_SCHEMA = "fam int, plen int, lo string, hi string, name string, category string, support int"
 
@@ -30,9 +31,8 @@ def parse_prefix_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     category, support = category_of(F.col("name"))
     listed = lines.select("name", F.btrim("line", F.lit(" \t\r\n")).alias("line")).where(
         (F.col("line") != "") & ~F.col("line").startswith("#"))
-    # Addresses are read below the de-duplication, so no later filter repeats that expression.
-    distinct = listed.groupBy("name", "line").agg(
-        F.first(ip_hex(F.split_part("line", F.lit("/"), F.lit(1)))).alias("digits"))
+    # Addresses are read once per distinct line.
+    distinct = compute_once(listed.distinct(), digits=ip_hex(F.split_part("line", F.lit("/"), F.lit(1))))
     length = F.split_part("line", F.lit("/"), F.lit(2))
     parsed = (
         distinct.withColumns({"category": category, "support": support})
