@@ -123,8 +123,13 @@ def _merge(a: tuple[Column, ...], b: tuple[Column, ...]) -> tuple[Column, ...]:
     return n, mean, m2, m3, m4
 
 
-def running_features(logs: DataFrame, opts: Options = Options(), chunk_rows: int = 50_000) -> DataFrame:
-    """One feature row per request ``(ip, ts, seq, ...)``, exact for any chunk size."""
+def running_features(logs: DataFrame, opts: Options = Options(), chunk_rows: int = 10_000,
+                     task_rows: int = 50_000) -> DataFrame:
+    """One feature row per request ``(ip, ts, seq, ...)``, exact for any chunk size.
+
+    A row grows to many times its shuffled size before the frames are done, so tasks are dealt by rows
+    (counted): about ``task_rows`` each, however large the log is.
+    """
     depth = opts.buffer_rows
     chunk_rows = max(chunk_rows, depth)
     parts = match_request(F.col("request"))
@@ -140,6 +145,8 @@ def running_features(logs: DataFrame, opts: Options = Options(), chunk_rows: int
     chunked = placed.withColumn("home", chunk).withColumn("chunk", F.explode(reach))
 
     keys = [*_KEYS, "chunk"]
+    tasks = max(logs.sparkSession.sparkContext.defaultParallelism, -(-logs.count() // task_rows))
+    chunked = chunked.repartition(tasks, *keys)
     ordered = Window.partitionBy(*keys).orderBy("pos")
     so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
 
