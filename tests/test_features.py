@@ -118,3 +118,9 @@ def test_trailing_buffer_of_many_instants(spark):
     found = trailing_buffer(brute.access_logs(spark, rows), Options(buffer_rows=700)).collect()
     expected = {r[0]: min(700, sum(q[2] >= r[2] - M and (q[2], q[0]) <= (r[2], r[0]) for q in rows[:900])) for r in rows[:900]}
     assert {r["seq"]: r["buffer_rows"] for r in found} == expected
+
+
+def test_running_tasks_are_dealt_by_rows(spark):
+    table = running_features(brute.access_logs(spark, random_rows(6, 90)), Options(buffer_rows=5), 10, task_rows=9)
+    plan = table._jdf.queryExecution().toString()
+    assert ", 10), REPARTITION_BY_NUM" in plan
