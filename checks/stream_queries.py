@@ -14,7 +14,7 @@ from netshield.operators import enrich as en
 from netshield.operators.lookup import geo_buckets, prefix_buckets
 from netshield.operators.blockops import LISTED, apply_commands
 from netshield.options import Options
-from netshield.session import work_dir
+from netshield.session import names_in, work_dir
 from netshield.sources.syslog import RAW_SCHEMA
 from netshield.sources.testdata import access_logs, logs
 from netshield.streaming.blocklist import ALERT_SCHEMA, stream_blocks
@@ -77,7 +77,8 @@ def stream_sink(spark, sf_dir):
     raw(spark, sf_dir).select("client_address", "data", "recv_ts").write.parquet(f"{out}/raw")
     stream = spark.readStream.schema(RAW_SCHEMA).parquet(f"{out}/raw")
     prefixes, geo = prefix_buckets(prefix_load(spark, sf_dir)), geo_buckets(geo_dimension(spark, sf_dir))
-    finish(start_ingest(stream, prefixes, geo, f"{out}/tables", f"{out}/checkpoint", once=True))
+    # One batch takes the whole table, so its time grows with it.
+    finish(start_ingest(stream, prefixes, geo, f"{out}/tables", f"{out}/checkpoint", once=True), timeout_seconds=7200)
     rows = spark.read.parquet(f"{out}/tables/rows")
     return plain_types(rows.drop("seq", "batch_id"))
 
@@ -94,13 +95,27 @@ PART_SECONDS = 90
 START_US = 1_704_067_200_000_000
 
 
+#: Rows in a file of a part, about.
+FILE_ROWS = 1_000_000
+
+
 def in_parts(df, us, path):
-    """Write rows in files of one part of time each, in order; files are streamed one a batch."""
+    """Write rows in files of one part of time each, in order; a part is streamed in a batch.
+
+    All parts have as many files, written by as many tasks, as the largest one needs. A part of few rows is
+    filled up with empty files, so that every batch takes exactly its part.
+    """
     part = F.floor((us - START_US) / (PART_SECONDS * 1_000_000))
     rows = df.withColumn("part", part)
-    for k in [r[0] for r in rows.select("part").distinct().orderBy("part").collect()]:
-        rows.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    files = max((-(-size["n"] // FILE_ROWS) for size in sizes), default=1)
+    for done, size in enumerate(sizes, 1):
+        here = rows.where(F.col("part") == size["part"]).drop("part")
+        here.repartition(files).write.mode("append").parquet(path)
+        written = sum(name.startswith("part-") for name in names_in(df.sparkSession, path))
+        for _ in range(files * done - written):
+            here.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 SERIES_OPTIONS = Options(series_max_age_seconds=100)

@@ -4,6 +4,7 @@ import math
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -40,3 +41,23 @@ def test_every_oracle_has_a_query():
 
 def test_entry(spark, sf_dir):
     assert entry.entry(spark).count() > 0
+
+
+def test_parts_of_several_files_are_batches(spark, monkeypatch):
+    """A large part is written by several tasks; a batch still takes one part, also one of few rows or none in some files."""
+    from checks import stream_queries
+    from netshield.session import names_in, work_dir
+
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 10)
+    out, width = work_dir(spark, "test"), stream_queries.PART_SECONDS * 1_000_000
+    sizes = (40, 1, 25, 2)
+    rows = spark.createDataFrame([(k, stream_queries.START_US + k * width + n) for k, size in enumerate(sizes) for n in range(size)], "k long, us long")
+    stream = stream_queries.in_parts(rows, F.col("us"), f"{out}/in")
+    assert sum(name.startswith("part-") for name in names_in(spark, f"{out}/in")) == 4 * len(sizes)
+    batches = {}
+
+    def take(batch, batch_id):
+        batches[batch_id] = sorted(r["k"] for r in batch.collect())
+
+    stream_queries.finish(stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
+    assert batches == {k: [k] * size for k, size in enumerate(sizes)}
