@@ -74,7 +74,8 @@ def stream_blocklist(spark, sf_dir):
 def stream_sink(spark, sf_dir):
     """Raw messages through the ingest stream; the detector rows it wrote."""
     out = work_dir(spark, "ingest")
-    raw(spark, sf_dir).select("client_address", "data", "recv_ts").write.parquet(f"{out}/raw")
+    messages = raw(spark, sf_dir).select("client_address", "data", "recv_ts")
+    messages.write.option("maxRecordsPerFile", Options().task_rows).parquet(f"{out}/raw")
     stream = spark.readStream.schema(RAW_SCHEMA).parquet(f"{out}/raw")
     prefixes, geo = prefix_buckets(prefix_load(spark, sf_dir)), geo_buckets(geo_dimension(spark, sf_dir))
     # One batch takes the whole table, so its time grows with it.

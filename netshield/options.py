@@ -25,6 +25,7 @@ class Options:
     watermark: str = "100 seconds"
     flush_interval: str = "3 seconds"
     broadcast_rows: int = 200_000
+    task_rows: int = 50_000
 
     @property
     def window_us(self) -> int:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netshield.operators.enrich import enrich, is_candidate
 from netshield.operators.gelf import JSON_OPTIONS
@@ -12,6 +13,7 @@ from netshield.sources.syslog import log_records, parse_messages, parsed_logs, q
 
 _DETECTOR = ["ip", "ts", "domain", "request", "request_length", "status", "bytes_sent",
              "request_time", "user_agent"]
+_EPOCH = T.DecimalType(20, 6)
 
 
 def ingest(raw: DataFrame, prefixes: DataFrame, geo: DataFrame, time_field: str | None = None,
@@ -33,17 +35,30 @@ def detector_rows(enriched: DataFrame) -> DataFrame:
     return typed.withColumn("seq", F.xxhash64(*_DETECTOR))
 
 
+def _json_value(field: T.StructField) -> Column:
+    """A column as the variant that its JSON text gives; NULL becomes JSON's ``null``.
+
+    Texts, truth values, whole numbers and the record's time need no JSON text for that.
+    """
+    value = F.col(field.name)
+    if field.dataType == _EPOCH or isinstance(field.dataType, (T.StringType, T.BooleanType, T.IntegralType)):
+        return F.coalesce(value.cast("variant"), F.parse_json(F.lit("null")))
+    text = F.to_json(F.struct(value.alias("value")), {"ignoreNullFields": "false"})
+    return F.parse_json(text).cast("map<string,variant>")["value"]
+
+
 def gelf_messages(enriched: DataFrame, tag: str, queue: str, exchange: str) -> DataFrame:
     """Log-store messages ``(doc, queue, exchange)`` of enriched logs.
 
     Payload keys named like a column of the record are left out: what ingestion found wins.
     """
     records = log_records(enriched, tag)
-    epoch = (F.unix_micros("ts").cast("decimal(20,0)") / 1000000).cast("decimal(20,6)")
+    epoch = (F.unix_micros("ts").cast("decimal(20,0)") / 1000000).cast(_EPOCH)
     stamped = records.withColumn("timestamp", epoch)
     own = stamped.drop("ts", "ip", "extras")
-    text = F.to_json(F.struct(*own.columns), {"ignoreNullFields": "false"})
-    known = F.parse_json(text).cast("map<string,variant>")
+    # Most values are taken as they are: no text of the whole record is written and parsed.
+    fields = sorted(own.schema.fields, key=lambda f: f.name)
+    known = F.create_map(*[c for f in fields for c in (F.lit(f.name), _json_value(f))])
     others = F.map_filter("extras", lambda key, _: ~key.isin(*own.columns))
     extras = F.transform_values(others, lambda _, value: value.cast("variant"))
     return stamped.select(

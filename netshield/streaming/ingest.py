@@ -12,7 +12,7 @@ from netshield.options import Options
 from netshield.plans.ingestion import detector_rows, gelf_messages, ingest_parsed
 from netshield.session import scratch, settle
 from netshield.sources.syslog import parse_messages
-from netshield.streaming.tables import run, write_batch
+from netshield.streaming.tables import run, spread, write_batch
 
 
 def start_ingest(raw: DataFrame, prefixes: DataFrame, geo: DataFrame, out: str, checkpoint: str,
@@ -21,8 +21,8 @@ def start_ingest(raw: DataFrame, prefixes: DataFrame, geo: DataFrame, out: str,
     """Run the ingest job on a stream of raw messages.
 
     The lookup tables are built once and serve every batch.
-    A batch is parsed once, for usable and other messages, and enriched once into ``{out}/logs``; the other
-    outputs read that table.
+    A batch is dealt evenly to tasks and parsed once, for usable and other messages, and enriched once into
+    ``{out}/logs``; the other outputs read that table.
     """
 
     prefixes, geo = prefix_buckets(prefixes), geo_buckets(geo)
@@ -33,7 +33,9 @@ def start_ingest(raw: DataFrame, prefixes: DataFrame, geo: DataFrame, out: str,
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        messages = settle(parse_messages(batch), "messages")
+        parsed = parse_messages(spread(batch, opts))
+        # usable messages don't need their bytes any more
+        messages = settle(parsed.withColumn("data", F.when(F.col("reason").isNotNull(), F.col("data"))), "messages")
         logs, bad = ingest_parsed(messages, prefixes, geo, time_field, opts)
         write_batch(logs, f"{out}/logs", batch_id)
         write_batch(bad, f"{out}/quarantine", batch_id)

@@ -14,6 +14,15 @@ def write_batch(df: DataFrame, table: str, batch_id: int, *partitions: str) -> N
     df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{table}/batch_id={batch_id}")
 
 
+def spread(batch: DataFrame, opts: Options = Options()) -> DataFrame:
+    """Deal a batch's rows evenly to a task for every ``task_rows`` of them; a batch within that stays as it is.
+
+    A source deals by files, their row groups or queue partitions, so that one task may get all rows.
+    """
+    tasks = -(-batch.count() // opts.task_rows)
+    return batch.repartition(tasks) if tasks > 1 else batch
+
+
 def read_table(spark: SparkSession, table: str, schema: StructType) -> DataFrame:
     """All batches so far; ``batch_id`` and partition columns prune folders."""
     stored = StructType([*schema.fields, StructField("batch_id", LongType())])

@@ -102,6 +102,20 @@ def test_ingest_keeps_static_and_bot_rows(spark):
     assert doc["tag"] == "access" and "_message" not in doc and "_hostname" not in doc
 
 
+def test_document_values_keep_their_types(spark):
+    prefixes, _ = parse_prefix_lines(spark.createDataFrame([("claude", "5.5.5.0/24")], "name string, line string"))
+    geo = ranges_from_addresses(spark.createDataFrame(
+        [("6.6.6.0", "6.6.6.255", "DE", None, "Frankfurt")],
+        "ip_from string, ip_to string, country string, region string, city string"))
+    logs, _ = ingest(raw(spark, [HEAD + payload(remote_addr="6.6.6.6", edge={"pop": 1})]), prefixes, geo)
+    more = logs.withColumns({"share": F.lit(10.0), "seen": F.col("ts"), "price": F.lit("1.50").cast("decimal(9,3)")})
+    doc = gelf_messages(more, "access", "logs", "logs-x").first()["doc"]
+    expected = {"bot_support": 0, "is_static": False, "domain": "example.com", "bot_name": None, "share": 10,
+                "timestamp": 1000, "price": 1.5, "seen": "1970-01-01T00:16:40.000Z", "edge": '{"pop":1}',
+                "ip2location": {"country": "DE", "region": None, "city": "Frankfurt"}}
+    assert {k: doc[k].toPython() for k in expected} == expected and doc["bot_category"].toJson() == "null"
+
+
 def test_queue_bodies(spark):
     bodies = ['{"message": "m", "n": 1.50, "hostname": null}', '"{\\"a\\": 1}"', '"text"', "12", "[1, 2]",
               "null", "true", '{"a": 1', "'x'", '{"a": 1} x', '"[1]"']

@@ -7,11 +7,16 @@ from netshield.operators.blocklist import first_detections
 from netshield.operators.features import minute_features, value_counts, with_window
 from netshield.options import Options
 from netshield.plans import detection
-from netshield.session import work_dir
+from netshield.session import names_in, work_dir
+from netshield.sources import synthetic
+from netshield.sources.geo import ranges_from_addresses
+from netshield.sources.prefixes import parse_prefix_lines
+from netshield.sources.syslog import RAW_SCHEMA
 from netshield.streaming.blocklist import stream_blocks
 from netshield.streaming.detection import DetectionLoop
 from netshield.streaming.features import ClosedWindows, pending_counters, stream_value_counts
-from netshield.streaming.tables import finish, forget
+from netshield.streaming.ingest import start_ingest
+from netshield.streaming.tables import finish, forget, spread
 from test_detection import SCORER, traffic
 from test_features import random_rows
 
@@ -118,3 +123,29 @@ def test_pending_counters_are_open_windows_only(spark):
     got = {tuple(r) for r in pending_counters(logs).select("ip", F.unix_micros("win")).collect()}
     assert got == {tuple(r) for r in windows if r[1] + 60_000_000 > newest}
     assert 0 < len(got) < len(windows)
+
+
+def test_ingest_deals_the_rows_of_one_file(spark):
+    """All rows in one row group don't stay one task's; the bytes of what can't be used are kept."""
+    out, n = work_dir(spark, "test"), 600
+    made = synthetic.traffic(synthetic.numbered(spark, n), F.timestamp_seconds(F.lit(1733034840)))
+    broken = F.when(F.crc32("data") % 10 == 0, F.lit(b"no header")).otherwise(F.col("data"))
+    made.withColumn("data", broken).coalesce(1).write.parquet(f"{out}/raw")
+    prefixes, _ = parse_prefix_lines(spark.createDataFrame([("vpn", "6.6.6.6")], "name string, line string"))
+    geo = ranges_from_addresses(spark.createDataFrame(
+        [("6.6.6.0", "6.6.6.255", "DE", "HE", "Frankfurt")],
+        "ip_from string, ip_to string, country string, region string, city string"))
+    stream = spark.readStream.schema(RAW_SCHEMA).parquet(f"{out}/raw")
+    opts = Options(task_rows=50)
+    finish(start_ingest(stream, prefixes, geo, f"{out}/tables", f"{out}/checkpoint", once=True, opts=opts))
+    files = [name for name in names_in(spark, f"{out}/tables/logs/batch_id=0") if name.startswith("part-")]
+    assert len(files) > 1
+    raw = spark.read.schema(RAW_SCHEMA).parquet(f"{out}/raw")
+    assert raw.rdd.getNumPartitions() == 1
+    sizes = spread(raw, opts).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 12 and max(r["count"] for r in sizes) <= 60
+    bad = raw.where(F.col("data") == F.lit(b"no header")).count()
+    kept = spark.read.parquet(f"{out}/tables/quarantine")
+    assert 0 < bad == kept.where(F.col("data") == F.lit(b"no header")).count() == kept.count()
+    for table in ("logs", "rows", "gelf"):
+        assert spark.read.parquet(f"{out}/tables/{table}").count() == n - bad
