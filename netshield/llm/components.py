@@ -18,35 +18,46 @@ def _smallest(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Link every larger neighbour of a node to the smallest of its neighbourhood."""
-    both = _both_ways(edges)
-    return (both.join(_smallest(both), "a").filter("b > a")
-            .select(F.col("b").alias("a"), F.col("low").alias("b")))
+    """Link every larger neighbour of a node to the smallest of its neighbourhood (edges have a > b).
+
+    A row for each edge, so the links don't grow in number.
+    """
+    low = _smallest(_both_ways(edges)).select(F.col("a").alias("b"), "low")
+    return edges.join(low, "b").select("a", F.col("low").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link every node and its smaller neighbours to the smallest of them (edges have a > b)."""
-    low = _smallest(edges)
-    return (edges.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-            .union(low.select("a", F.col("low").alias("b"))).filter("a <> b"))
+    joined = edges.join(_smallest(edges), "a")
+    linked = [F.struct(F.col(c).alias("a"), F.col("low").alias("b")) for c in "ab"]
+    return joined.select(F.inline(F.array(*linked))).filter("a <> b")
+
+
+def _named(edges: DataFrame) -> DataFrame:
+    """``node, label, done`` of distinct edges with a > b: ``done`` if the node is a star's center or has one link only.
+
+    Where all nodes are done, the links are stars, whose centers are the labels.
+    """
+    ends = edges.select(F.col("a").alias("node"), "b").union(
+        edges.select("b", F.lit(None).cast("bigint")))
+    return ends.groupBy("node").agg(
+        F.coalesce(F.min("b"), F.col("node")).alias("label"),
+        ((F.count("b") == 0) | (F.count("*") == 1)).alias("done"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, label``: the smallest node that each node of ``edges`` (``a, b``) reaches.
+    """``node, label``: the smallest node that each node of ``edges`` (``a, b``) reaches, written to the shared folder.
 
     Nodes without a link to another node don't occur. Direction, repeats, loops and nulls of the
     edges don't matter. Each round is written to the shared folder, and rounds go on until the
-    links stay the same; their number grows with the logarithm of the longest chain. Skewed hubs
-    only meet in joins, which Spark can split.
+    links are stars; their number grows with the logarithm of the longest chain. Skewed hubs
+    only meet in joins, which Spark can split. A round has few shuffles: the driver keeps records
+    of every task, and on many partitions those of short rounds add up.
     """
     current = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"),
-                                                   F.least("a", "b").alias("b")).distinct(), "links")
-    state = None
+                                                   F.least("a", "b").alias("b")), "links")
     while True:
-        mark = current.agg(F.count("*").alias("n"),
-                           F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if mark == state or not mark["n"]:
-            return current.select(F.col("a").alias("node"), F.col("b").alias("label")).union(
-                current.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
-        state = mark
-        current = settle(_small_star(_large_star(current).distinct()).distinct(), "links")
+        current = settle(_small_star(settle(_large_star(current), "links")).distinct(), "links")
+        named = settle(_named(current), "labels")
+        if named.agg(F.bool_and("done").alias("done")).first()["done"] is not False:
+            return named.select("node", "label")

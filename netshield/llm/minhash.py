@@ -317,9 +317,10 @@ def near_duplicates(df: DataFrame, words: int = 5, share: int = 80, id: str = "d
         rest = settle(_unsettled(rows_left, labels), "mixed")
         rows_left = rest.drop("label")
         of_label = rest.groupBy("key", "label").agg(F.count("*").cast("double").alias("m"))
-        work = of_label.groupBy("key").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("w")).agg(
-            F.sum("w") / 2).first()[0] or 0.0
-        last = turn == DRAW_ROUNDS or work <= PAIRS_A_MEMBER * rest.count()
+        work, left = of_label.groupBy("key").agg(
+            (F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("w"), F.sum("m").alias("m")).agg(
+            F.coalesce(F.sum("w") / 2, F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0.0))).first()
+        last = turn == DRAW_ROUNDS or work <= PAIRS_A_MEMBER * left
         if last:
             size = rest.groupBy("key").count()
             small = rest.join(size.filter(F.col("count") <= SMALL).select("key"), "key")
@@ -330,11 +331,11 @@ def near_duplicates(df: DataFrame, words: int = 5, share: int = 80, id: str = "d
         pairs = settle(pairs, "candidates")
         links = settle(confirmed(pairs, sets, share), "links")
         if last:
-            links = links.union(_in_blocks(large, sets, share))
+            links = links.union(_in_blocks(large, sets, share).distinct())
         tested = pairs if tested is None else tested.union(pairs)
         if labels is not None:
             links = links.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = settle(components(links), "labels")
+        labels = components(links)
         if last:
             break
 

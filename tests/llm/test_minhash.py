@@ -102,6 +102,34 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
 
 
+def tasks_of(spark, group, run):
+    """What ``run`` returns, and the tasks of its jobs while shuffles have 32 partitions."""
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    seen = spark.sparkContext.statusTracker()
+    stages = {s for job in seen.getJobIdsForGroup(group) for s in seen.getJobInfo(job).stageIds}
+    return out, sum(x.numCompletedTasks for x in map(seen.getStageInfo, stages) if x)
+
+
+def test_components_of_stars_take_one_round(spark):
+    """Few tasks on many partitions, as the driver keeps records of all of them."""
+    links = [(c, c + k) for c in (0, 1000, 2000) for k in range(1, 60)] + [(1003, 1004), (2005, 2002), (2002, 2005)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(2)
+    got, tasks = tasks_of(spark, "stars", lambda: {r.node: r.label for r in components(df).collect()})
+    assert got == {c + k: c for c in (0, 1000, 2000) for k in range(60)}
+    assert tasks <= 220
+
+
 def test_query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     got = sorted((tuple(r) for r in op4_minhash(spark, sf_dir).collect()), key=repr)
