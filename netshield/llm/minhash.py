@@ -11,13 +11,15 @@ their full shingle sets. At similarity 0.8 a pair misses all 42 bands with proba
 Groups of copies never become all pairs:
 
 * Equal sets are one class, found by a digest that is counted map-side.
-* In each band bucket, members are paired with a few of its classes, drawn by hash, only.
+* In each band bucket, members meet a few of its classes, drawn by hash, only. Of those that a
+  member meets in all its buckets, the nearest by bit sketch for each draw is compared with it, so
+  a turn of draws compares at most ``DRAWS`` pairs a member, however large a group is.
 * Classes linked so far share a label. Buckets that still hold several labels get new draws, each
   paired with members of other labels, while that leaves many pairs to look at.
 * What then still holds several labels is compared whole. Buckets of at most ``SMALL`` members are
   joined with themselves, on members of different labels that pass a size and a bit-sketch test.
   Larger ones are dealt into blocks of bounded shingles and members; a task takes two blocks,
-  counts all intersections as a matrix product, and returns at most one link a member. So every
+  counts all intersections as a matrix product, and returns at most one link a label. So every
   pair that shares a band is linked already or looked at, and no task or row count is quadratic
   in what it holds at once.
 """
@@ -148,6 +150,11 @@ def sketched(df: DataFrame, words: int, id: str = "doc_id", text: str = "text")
                      made(whole).alias("s")).select("id", "mark", "s.*")
 
 
+def _apart(a: str = "", b: str = "") -> F.Column:
+    """In how many places the bit sketches differ."""
+    return sum(F.bit_count(F.col(f"{a}bits")[k].bitwiseXOR(F.col(f"{b}bits")[k])) for k in range(4))
+
+
 def _likely(share: int, a: str = "", b: str = "") -> F.Column:
     """Sizes allow ``share`` percent, and the bit sketches don't rule it out.
 
@@ -158,8 +165,7 @@ def _likely(share: int, a: str = "", b: str = "") -> F.Column:
     mean = SKETCH * (100 - share) / 200
     most = int(mean + 6 * (mean * (1 - mean / SKETCH)) ** 0.5) + 1
     n = [F.col(f"{a}n"), F.col(f"{b}n")]
-    apart = sum(F.bit_count(F.col(f"{a}bits")[k].bitwiseXOR(F.col(f"{b}bits")[k])) for k in range(4))
-    return (F.least(*n) * 100 >= F.greatest(*n) * share) & (apart <= most)
+    return (F.least(*n) * 100 >= F.greatest(*n) * share) & (_apart(a, b) <= most)
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -223,13 +229,13 @@ def linked_in_blocks(nodes: np.ndarray, block: np.ndarray, sets: list[np.ndarray
 
 
 def _in_blocks(large: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Links ``a, b`` of the members of large buckets, from two blocks of a bucket at a time."""
+    """Links ``a, b`` between labels of the members of large buckets, from two blocks of a bucket at a time."""
     blocks = large.groupBy("key").agg(F.greatest(
         F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_MEMBERS)).alias("blocks"))
     dealt = (large.join(blocks, "key")
              .withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-             .select("node", "key", "block", F.least("block", "other").alias("first"),
+             .select("node", "label", "key", "block", F.least("block", "other").alias("first"),
                      F.greatest("block", "other").alias("second"))
              .join(sets, "node"))
 
@@ -239,7 +245,8 @@ def _in_blocks(large: DataFrame, sets: DataFrame, share: int) -> DataFrame:
         if block.min() == block.max() and group["first"][0] != group["second"][0]:
             found = []  # one of the two blocks is empty
         else:
-            found = linked_in_blocks(group["node"].to_numpy(), block, sets_of, share)
+            found = linked_in_blocks(group["label"].to_numpy(), block, sets_of, share)
+        found = {(a, b) for a, b in found if a != b}  # members of a label are linked already
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -261,18 +268,25 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _drawn(rest: DataFrame, share: int, turn: int) -> DataFrame:
-    """Likely pairs of members with a few members of their bucket that have another label.
+    """Likely pairs of members with a few members of their buckets that have another label.
 
-    Nodes are hashes, so the least one after flipping fixed bits is a draw.
+    Nodes are hashes, so the least one after flipping fixed bits is a draw. A member of many buckets
+    meets about as many drawn ones; of each draw, only the nearest by bit sketch is paired with it.
     """
     seeds = [int(x) for x in mix(np.arange(DRAWS, dtype=np.uint64) + np.uint64(1 + turn * DRAWS)).view(np.int64)]
     drawn = rest.groupBy("key").agg(*[
         F.min(F.col("node").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)).alias(f"d{k}") for k, x in enumerate(seeds)])
-    drawn = drawn.select("key", F.explode(F.array_distinct(F.array(*[f"d{k}" for k in range(DRAWS)]))).alias("node"))
+    drawn = drawn.select(
+        "key", F.posexplode(F.array_distinct(F.array(*[f"d{k}" for k in range(DRAWS)]))).alias("draw", "node"))
     drawn = drawn.join(rest.select("node", "label", "n", "bits").dropDuplicates(["node"]), "node")
-    return _ordered(rest.alias("l").join(
+    met = rest.alias("l").join(
         drawn.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label"))
-        & _likely(share, "l.", "r.")))
+        & _likely(share, "l.", "r.")).select(
+        F.col("l.node").alias("node"), "draw", F.col("r.node").alias("other"), _apart("l.", "r.").alias("apart"))
+    # one number, as hash aggregation can't keep a struct: the distance, then the other's hash
+    near = F.shiftleft(F.col("apart").cast("bigint"), 54).bitwiseOR(F.shiftrightunsigned("other", 10))
+    nearest = met.groupBy("node", "draw").agg(F.min_by("other", near).alias("other"))
+    return nearest.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def _all_across(rest: DataFrame, share: int) -> DataFrame:

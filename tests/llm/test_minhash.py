@@ -90,6 +90,31 @@ def test_large_group_of_near_copies(spark, monkeypatch, small, shingles):
     assert got == brute(rows, 2)
 
 
+def test_members_of_a_large_group_are_compared_with_few_others(spark, monkeypatch):
+    """At most one pair for each draw and member in a turn, whatever the group's size."""
+    compared, confirmed = [], minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda pairs, *rest: compared.append(pairs.count()) or confirmed(pairs, *rest))
+    rng = random.Random(11)
+    base = [f"v{i}" for i in range(150)]
+    rows = [(i, " ".join(edited(rng, base, 0.03))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in plain(minhash.near_duplicates(df, 2)).collect()), key=repr)
+    assert got == brute(rows, 2)
+    assert compared[0] <= minhash.DRAWS * len(rows)
+    assert sum(compared) <= 2 * minhash.DRAWS * len(rows)
+
+
+def test_blocks_link_labels_only(spark):
+    """Members 1 to 3 are linked already, as are 4 and 5; one more link joins the two labels."""
+    values = {1: range(20), 2: range(20), 3: range(1, 20), 4: range(1, 20), 5: range(2, 20), 6: range(100, 120)}
+    labels = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+    large = spark.createDataFrame([(n, 0, labels[n], len(v)) for n, v in values.items()], "node long, key long, label long, n long")
+    sets = spark.createDataFrame(
+        [(n, bytearray(np.array(v, np.uint64).tobytes())) for n, v in values.items()], "node long, shingles binary")
+    got = [tuple(sorted(r)) for r in minhash._in_blocks(large, sets, 80).collect()]
+    assert got == [(1, 4)]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(df).collect() == []
